@@ -1 +1,269 @@
+"""Boundary, point-of-interest and facility queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyward.catalog.registry import register
+from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FIXED_LABELS, POI, SPATIAL, area, using
+from tallyward.functions.national_grid import (
+    AIRY_A, AIRY_B, AIRY_E2, GRID_E0, GRID_F0, GRID_N, GRID_N0, ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC,
+    SCALE_PPM, SHIFT_X, SHIFT_Y, SHIFT_Z, WGS84_A, WGS84_E2, project,
+)
+from tallyward.operators import spatial
+from tallyward.plans import facilities as plans
+from tallyward.plans.reconcile import analysed_boundaries
+from tallyward.sources import role_views as views
+
+
+def layer_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysed_boundaries(views.boundaries(spark, sf_dir), views.EXCLUDED_LABELS)
+
+
+def facilities_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.facility_table(views.points_of_interest(spark, sf_dir), layer_of(spark, sf_dir))
+
+
+@register(
+    using(BOUNDARIES)
+    + """ SELECT geo_code, geo_label FROM boundaries
+WHERE left(geo_code, 1) IN ('E', 'W') AND NOT regexp_matches(geo_label, 'NATION_3 |NATION_7 ')"""
+)
+def regex_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer_of(spark, sf_dir).select("geo_code", "geo_label")
+
+
+@register(
+    using(BOUNDARIES)
+    + """
+SELECT min(x0) AS minx, min(y0) AS miny, max(x0) + 10 AS maxx, max(y0) + 10 AS maxy FROM boundaries
+WHERE left(geo_code, 1) IN ('E', 'W') AND NOT regexp_matches(geo_label, 'NATION_3 |NATION_7 ')"""
+)
+def layer_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.layer_box(layer_of(spark, sf_dir))
+
+
+@register(
+    using(SPATIAL)
+    + """
+SELECT poi_id, key, value, x, y FROM poi, (SELECT min(x0) AS a, min(y0) AS b, max(x0) + 10 AS c, max(y0) + 10 AS d FROM layer)
+WHERE key = 'amenity' AND value = 'pub' AND x BETWEEN a AND c AND y BETWEEN b AND d"""
+)
+def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pubs = views.points_of_interest(spark, sf_dir).filter((F.col("key") == "amenity") & (F.col("value") == "pub"))
+    return spatial.within_box(pubs, spatial.layer_box(layer_of(spark, sf_dir))).select("poi_id", "key", "value", "x", "y")
+
+
+@register(using(POI) + " SELECT DISTINCT key, value, x, y FROM poi")
+def dedupe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.distinct_points(views.points_of_interest(spark, sf_dir))
+
+
+@register(using(SPATIAL) + " SELECT geo_code, facility, n FROM counts")
+def poi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = layer_of(spark, sf_dir)
+    counts = plans.facility_counts(views.points_of_interest(spark, sf_dir), layer)
+    return plans.zero_filled_facilities(counts, layer)
+
+
+@register(using(FACILITIES) + " SELECT * FROM facilities")
+def facility_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facilities_of(spark, sf_dir)
+
+
+@register(
+    using(BOUNDARIES, POI)
+    + f" SELECT b.geo_code, p.poi_id, p.name, p.value FROM boundaries b JOIN poi p ON {COVERED}"
+)
+def poi_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = views.points_of_interest(spark, sf_dir).select("poi_id", "name", "value", "x", "y")
+    matched = spatial.match_points(points, views.boundaries(spark, sf_dir))
+    return matched.select("geo_code", "poi_id", "name", "value")
+
+
+_TOP = """
+, best AS (SELECT facility, max(n) AS n FROM hits GROUP BY facility)
+, top AS (SELECT h.facility, min(h.geo_code) AS geo_code, h.n FROM hits h JOIN best m ON m.facility = h.facility AND m.n = h.n
+          GROUP BY h.facility, h.n)"""
+
+
+@register(using(SPATIAL) + _TOP + " SELECT facility, geo_code, n FROM top")
+def top_area_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.top_areas(plans.facility_counts(views.points_of_interest(spark, sf_dir), layer_of(spark, sf_dir)))
+
+
+@register(
+    using(SPATIAL)
+    + _TOP
+    + f"""
+SELECT p.poi_id, p.name, t.geo_code FROM top t JOIN layer b ON b.geo_code = t.geo_code JOIN poi p ON {COVERED}
+WHERE t.facility = 'pubs' AND p.value = 'pub' AND p.name IS NOT NULL"""
+)
+def points_of_top_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named pubs inside the area that has most of them."""
+    layer, points = layer_of(spark, sf_dir), views.points_of_interest(spark, sf_dir)
+    pubs = [t for t in plans.FACILITY_TAGS if t.column == "pubs"]
+    top = plans.top_areas(plans.facility_counts(points, layer, pubs)).select("geo_code")
+    chosen = layer.join(top, "geo_code", "left_semi")
+    matched = spatial.match_points(plans.select_tags(points, pubs).select("poi_id", "name", "x", "y"), chosen)
+    return matched.select("poi_id", "name", "geo_code")
+
+
+@register(
+    f"""
+SELECT {area("c_custkey")} AS geo_code, k <> 5 AS closed, k <> 11 AS enough_points, k <> 17 AS no_repeats,
+       k <> 23 AS uncrossed, k NOT IN (5, 11, 17, 23) AS valid
+FROM (SELECT c_custkey, c_custkey % 40 AS k FROM customer)"""
+)
+def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.ring_validity(views.unchecked_boundaries(spark, sf_dir))
+
+
+_R = "0.017453292519943295"
+
+
+def _projection_sql() -> str:
+    k = 1 + SCALE_PPM * 1e-6
+    rx, ry, rz = (f"({v}/3600.0::DOUBLE*{_R})" for v in (ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC))
+    steps = "".join(
+        f", l{i} AS (SELECT *, atan2(z2 + {AIRY_E2!r} * {AIRY_A!r} / sqrt(1 - {AIRY_E2!r} * pow(sin(f{i - 1}), 2)) * sin(f{i - 1}), p) AS f{i} FROM l{i - 1})"
+        for i in range(1, 7)
+    )
+    n = GRID_N
+    return f"""
+, a AS (SELECT poi_id, radians(lat) AS phi, radians(lon) AS lam FROM poi)
+, b AS (SELECT *, {WGS84_A!r} / sqrt(1 - {WGS84_E2!r} * pow(sin(phi), 2)) AS nu FROM a)
+, c AS (SELECT *, nu * cos(phi) * cos(lam) AS x, nu * cos(phi) * sin(lam) AS y, (1 - {WGS84_E2!r}) * nu * sin(phi) AS z FROM b)
+, d AS (SELECT *, {SHIFT_X} + {k!r} * x - {rz} * y + {ry} * z AS x2, {SHIFT_Y} + {rz} * x + {k!r} * y - {rx} * z AS y2,
+               {SHIFT_Z} - {ry} * x + {rx} * y + {k!r} * z AS z2 FROM c)
+, e AS (SELECT *, sqrt(x2 * x2 + y2 * y2) AS p FROM d)
+, l0 AS (SELECT *, atan2(z2, p * (1 - {AIRY_E2!r})) AS f0 FROM e){steps}
+, g AS (SELECT poi_id, f6 AS f, atan2(y2, x2) + 2 * {_R} AS d, sin(f6) AS s, cos(f6) AS c, pow(tan(f6), 2) AS t,
+               1 - {AIRY_E2!r} * pow(sin(f6), 2) AS w FROM l6)
+, h AS (SELECT *, {AIRY_A * GRID_F0!r} / sqrt(w) AS v, {AIRY_A * GRID_F0!r} / sqrt(w) * (1 - {AIRY_E2!r}) / w AS r,
+               f - 49 * {_R} AS less, f + 49 * {_R} AS more FROM g)
+SELECT poi_id,
+  round({GRID_E0} + d * v * c + pow(d, 3) * v * pow(c, 3) * (v / r - t) / 6
+    + pow(d, 5) * v * pow(c, 5) * (5 - 18 * t + t * t + 14 * (v / r - 1) - 58 * t * (v / r - 1)) / 120, 3) AS easting,
+  round({GRID_N0} + {AIRY_B * GRID_F0!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * less
+      - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin(less) * cos(more) + {1.875 * n**2 + 1.875 * n**3!r} * sin(2 * less) * cos(2 * more)
+      - {35 / 24 * n**3!r} * sin(3 * less) * cos(3 * more))
+    + d * d * v * s * c / 2 + pow(d, 4) * v * s * pow(c, 3) * (5 - t + 9 * (v / r - 1)) / 24
+    + pow(d, 6) * v * s * pow(c, 5) * (61 - 58 * t + t * t) / 720, 3) AS northing
+FROM h"""
+
+
+@register(using(POI) + _projection_sql())
+def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = project(views.points_of_interest(spark, sf_dir).select("poi_id", "lon", "lat"))
+    return out.select("poi_id", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
+
+
+@register(
+    using(FACILITIES)
+    + """
+, cities AS (SELECT unnest(['North', 'South', 'East', 'West', 'Upper', 'Lower']) AS city,
+                    unnest(['NATION_2', 'NATION_24', 'NATION_5 ', 'NATION_6 ', 'NATION_8 ', 'NATION_9 ']) AS pattern)
+, members AS (SELECT c.city, f.geo_code, f.trains, nightlife_total + transport_total + bikes + shops_total AS facility_sum
+              FROM facilities f JOIN cities c ON contains(f.geo_label, c.pattern))
+SELECT city, geo_code, trains, facility_sum,
+       CAST(facility_sum = max(facility_sum) OVER (PARTITION BY city) AS INTEGER) AS centre1,
+       CAST(trains = max(trains) OVER (PARTITION BY city) AS INTEGER) AS centre2
+FROM members"""
+)
+def city_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = plans.city_centres(facilities_of(spark, sf_dir), views.CITIES)
+    return flagged.select("city", "geo_code", "trains", "facility_sum", "centre1", "centre2")
+
+
+_TITLES = """
+, titled AS (SELECT area_code, l.traj, '[' || l.traj || ']' AS title FROM area_labels l)"""
+
+_STATS = ", ".join(
+    f"avg({c}) AS m_{c}, median({c}) AS d_{c}, stddev_samp({c}) AS s_{c}"
+    for c in ("nightlife_total", "shops_total", "transport_total", "bikes")
+)
+
+
+def _stat_columns() -> str:
+    names = {"Nightlife": "nightlife_total", "Shops": "shops_total", "Public transport": "transport_total", "Bike parking": "bikes"}
+    return ", ".join(
+        f'round({p}_{c}, 6) AS "{title} ({s})"' for title, c in names.items() for s, p in (("mean", "m"), ("median", "d"), ("SD", "s"))
+    )
+
+
+def statistics_of(spark: SparkSession, sf_dir: str, digits: int | None) -> DataFrame:
+    table = facilities_of(spark, sf_dir)
+    labels = views.fixed_labels(spark, sf_dir)
+    titled = labels.withColumn("traj_title", F.format_string("[%s]", F.col("traj")))
+    joined = titled.join(table, F.col("area_code") == F.col("geo_code"), "left")
+    return plans.cluster_statistics(joined, digits=digits)
+
+
+@register(
+    using(FACILITIES, FIXED_LABELS)
+    + _TITLES
+    + f"""
+, stats AS (SELECT title, {_STATS} FROM titled LEFT JOIN facilities ON geo_code = area_code GROUP BY title)
+SELECT title AS traj_title, {_stat_columns()} FROM stats"""
+)
+def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = statistics_of(spark, sf_dir, None)
+    return stats.select("traj_title", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in stats.columns if c != "traj_title"])
+
+
+def _transposed_sql() -> str:
+    names = {"Nightlife": "nightlife_total", "Shops": "shops_total", "Public transport": "transport_total", "Bike parking": "bikes"}
+    two = "round_even(round(100 * {v}, 7), 0) / 100"
+    rows = [
+        f"SELECT title, '{title} ({s})' AS statistic, {two.format(v=f'{p}_{c}')} AS v FROM stats"
+        for title, c in names.items()
+        for s, p in (("mean", "m"), ("median", "d"), ("SD", "s"))
+    ]
+    cols = ", ".join(f"max(CASE WHEN title = '[{k}]' THEN v END) AS \"[{k}]\"" for k in "ABCDEF")
+    return f", long AS ({' UNION ALL '.join(rows)}) SELECT statistic, {cols} FROM long GROUP BY statistic"
+
+
+@register(
+    using(FACILITIES, FIXED_LABELS)
+    + _TITLES
+    + f", stats AS (SELECT title, {_STATS} FROM titled LEFT JOIN facilities ON geo_code = area_code GROUP BY title)"
+    + _transposed_sql()
+)
+def cluster_stats_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.transposed_statistics(statistics_of(spark, sf_dir, 2), [f"[{k}]" for k in "ABCDEF"])
+
+
+@register(
+    using(BOUNDARIES, FIXED_LABELS)
+    + """
+SELECT b.geo_code AS area_code, b.geo_label, l.traj FROM boundaries b
+LEFT JOIN area_labels l ON l.area_code = b.geo_code AND l.traj NOT IN ('E', 'F')"""
+)
+def right_join_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every polygon keeps its place; areas of the two smallest clusters are left unlabelled."""
+    labels = views.fixed_labels(spark, sf_dir).filter(~F.col("traj").isin("E", "F"))
+    polygons = views.boundaries(spark, sf_dir).select("geo_code", "geo_label")
+    return plans.labelled_layer(labels, polygons)
+
+
+@register(
+    using(FACILITIES, FIXED_LABELS)
+    + """
+SELECT b.geo_code AS area_code, b.geo_label, l.traj, f.pubs, f.shops_total FROM boundaries b
+LEFT JOIN area_labels l ON l.area_code = b.geo_code
+LEFT JOIN facilities f ON f.geo_code = b.geo_code AND f.geo_label = b.geo_label"""
+)
+def left_join_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polygons = views.boundaries(spark, sf_dir).select("geo_code", "geo_label")
+    layer = plans.labelled_layer(views.fixed_labels(spark, sf_dir), polygons)
+    counts = facilities_of(spark, sf_dir).select("geo_code", "geo_label", "pubs", "shops_total")
+    return plans.layer_with_facilities(layer, counts)
+
+
+@register(
+    using(FACILITIES)
+    + " SELECT CAST(sum(nightlife_total) AS BIGINT) AS nightlife, CAST(sum(shops_total) AS BIGINT) AS shops FROM facilities"
+)
+def facility_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facilities_of(spark, sf_dir).agg(F.sum("nightlife_total").alias("nightlife"), F.sum("shops_total").alias("shops"))

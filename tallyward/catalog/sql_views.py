@@ -62,8 +62,8 @@ poi AS (
          CASE WHEN event_id % 7 <> 0 THEN 'poi ' || event_id END AS name, x, y,
          -5.0::DOUBLE + x / 200.0::DOUBLE AS lon, 50.0::DOUBLE + (y % 800.0::DOUBLE) / 100.0::DOUBLE AS lat
   FROM (SELECT event_id, ({TAG_NAMES})[user_id % 20 + 1] AS tag,
-               CAST(event_id // 2 * 37 % 5000 AS DOUBLE) / 5.0::DOUBLE AS x,
-               CAST(event_id // 2 * 3 AS DOUBLE) / 100.0::DOUBLE AS y
+               CAST(event_id // 2 * 37 % 8000 AS DOUBLE) / 8.0::DOUBLE AS x,
+               CAST(event_id // 2 AS DOUBLE) / 32.0::DOUBLE AS y
         FROM events)
 )"""
 
@@ -89,3 +89,52 @@ panel AS (
 
 def using(*views: str) -> str:
     return "WITH " + ",".join(v.strip() for v in views)
+
+
+# Closed-form tests of the three polygon shapes; edges and hole rims belong to the polygon.
+COVERED = """p.x BETWEEN b.x0 AND b.x0 + 10 AND p.y BETWEEN b.y0 AND b.y0 + 10
+    AND CASE b.kind WHEN 1 THEN (p.x - b.x0) + (p.y - b.y0) <= 10
+          WHEN 2 THEN NOT (p.x > b.x0 + 3 AND p.x < b.x0 + 7 AND p.y > b.y0 + 3 AND p.y < b.y0 + 7)
+          ELSE true END"""
+
+SPATIAL = f"""{BOUNDARIES}, {POI},
+layer AS (
+  SELECT * FROM boundaries WHERE left(geo_code, 1) IN ('E', 'W') AND NOT regexp_matches(geo_label, 'NATION_3 |NATION_7 ')
+),
+tags AS (
+  SELECT unnest(['pubs', 'nightclubs', 'restaurants', 'clothes_shops', 'shoe_shops', 'malls_shops', 'deps_shops',
+           'supermarks_shops', 'cosmetic_shops', 'electric_shops', 'chemist_shops', 'greengrocer_shops', 'trains', 'bus',
+           'bikes', 'car_spaces', 'car_parkings', 'moto_parkings', 'conveniences']) AS facility,
+         unnest(['pub', 'nightclub', 'restaurant', 'clothes', 'shoes', 'mall', 'department_store', 'supermarket', 'cosmetics',
+           'electrical', 'chemist', 'greengrocer', 'station', 'bus_stop', 'bicycle_parking', 'parking_space',
+           'parking_entrance', 'motorcycle_parking', 'convenience']) AS value
+),
+countable AS (
+  SELECT t.facility, p.x, p.y FROM poi p JOIN tags t ON t.value = p.value
+  WHERE p.name IS NOT NULL AND t.facility NOT IN ('bikes', 'car_spaces', 'car_parkings', 'moto_parkings', 'conveniences')
+  UNION ALL
+  SELECT DISTINCT t.facility, p.x, p.y FROM poi p JOIN tags t ON t.value = p.value
+  WHERE t.facility IN ('bikes', 'car_spaces', 'car_parkings', 'moto_parkings', 'conveniences')
+),
+hits AS (SELECT b.geo_code, p.facility, count(*) AS n FROM layer b JOIN countable p ON {COVERED} GROUP BY ALL),
+counts AS (
+  SELECT b.geo_code, b.geo_label, t.facility, coalesce(h.n, 0) AS n
+  FROM layer b CROSS JOIN tags t LEFT JOIN hits h ON h.geo_code = b.geo_code AND h.facility = t.facility
+)"""
+
+FACILITY_COLUMNS = (
+    "pubs nightclubs restaurants clothes_shops shoe_shops malls_shops deps_shops supermarks_shops cosmetic_shops "
+    "electric_shops chemist_shops greengrocer_shops trains bus bikes car_spaces car_parkings moto_parkings conveniences"
+).split()
+
+_PIVOT = ", ".join(f"max(CASE WHEN facility = '{c}' THEN n END) AS {c}" for c in FACILITY_COLUMNS)
+
+FACILITIES = f"""{SPATIAL},
+facilities AS (
+  SELECT w.*, pubs + nightclubs + restaurants AS nightlife_total,
+         clothes_shops + shoe_shops + malls_shops + deps_shops + supermarks_shops + electric_shops + chemist_shops
+           + greengrocer_shops + conveniences AS shops_total,
+         trains + bus AS transport_total, CASE WHEN trains > 0 THEN 1 ELSE 0 END AS train_bin,
+         CASE WHEN bus > 0 THEN 1 ELSE 0 END AS bus_bin
+  FROM (SELECT geo_code, geo_label, {_PIVOT} FROM counts GROUP BY geo_code, geo_label) w
+)"""

@@ -65,16 +65,23 @@ def running_ranks(freq: DataFrame, keys: Sequence[str], value: str, count: str =
     return freq.withColumn("below", F.coalesce(F.sum(count).over(w), F.lit(0)))
 
 
-def exact_median(freq: DataFrame, keys: Sequence[str], value: str, count: str = "freq", name: str = "median") -> DataFrame:
-    """Exact median per group from its frequency table (mean of the two middle values).
+def exact_quantiles(
+    freq: DataFrame, keys: Sequence[str], value: str, at: dict[str, float], count: str = "freq"
+) -> DataFrame:
+    """Exact quantiles per group from a frequency table, linear between the two neighbouring ranks.
 
-    Plain running sums over distinct values, which Spark can spill; no per-group value map.
+    ``at`` maps output names to probabilities; 0.5 is the usual median. Plain running sums over
+    distinct values, which Spark can spill, instead of one value map per group.
     """
-    total = Window.partitionBy(*keys)
-    ranked = running_ranks(freq, keys, value, count).withColumn("_total", F.sum(count).over(total))
-    low = F.floor((F.col("_total") + 1) / 2)
-    high = F.floor((F.col("_total") + 2) / 2)
+    total = F.sum(count).over(Window.partitionBy(*keys))
+    ranked = running_ranks(freq, keys, value, count).withColumn("_total", total)
     last = F.col("below") + F.col(count)
-    holds = lambda rank: (F.col("below") < rank) & (rank <= last)
-    picked = F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))
-    return ranked.groupBy(*keys).agg((picked / F.lit(2.0)).alias(name))
+    picks = []
+    for name, p in at.items():
+        place = (F.col("_total") - 1) * F.lit(p)
+        low = F.floor(place) + 1
+        high = F.least(low + 1, F.col("_total"))
+        hit = lambda rank: F.max(F.when((F.col("below") < rank) & (rank <= last), F.col(value)))
+        part = F.max(place - F.floor(place))
+        picks.append((hit(low) * (1 - part) + hit(high) * part).alias(name))
+    return ranked.groupBy(*keys).agg(*picks)

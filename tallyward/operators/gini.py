@@ -46,5 +46,5 @@ def gini_from_frequencies(
     size = {"n": cells, "min": F.least(cells, total), "none": None}[correction]
     if size is not None:
         raw = raw * F.try_divide(size, size - 1)
-    value_or_null = F.when(total > 0, F.greatest(raw, F.lit(0.0)))
+    value_or_null = F.when(total > 0, F.when(raw < 0, 0.0).otherwise(raw))
     return sums.select(*keys, value_or_null.alias(name))

@@ -129,12 +129,15 @@ def unchecked_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One point per event; two consecutive events share a place, and the layer grows upwards."""
+    """One point per event; two consecutive events share a place, and the layer grows upwards.
+
+    Coordinates are multiples of 1/32, exact in binary, so points on an edge are on it in any engine.
+    """
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
     place = F.floor(F.col("event_id") / 2)
     tags = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in POI_TAGS])
     tag = F.element_at(tags, (F.col("user_id") % len(POI_TAGS) + 1).cast("int"))
-    x, y = (place * 37 % 5000) / F.lit(5.0), place * 3 / F.lit(100.0)
+    x, y = (place * 37 % 8000) / F.lit(8.0), place / F.lit(32.0)
     return events.select(
         F.col("event_id").alias("poi_id"),
         tag["key"].alias("key"),
