@@ -1 +1,121 @@
+"""Trajectory clustering, cluster quality and principal components over supplier trajectories."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyward.catalog.registry import register
+from tallyward.catalog.sql_views import SHIPMENT_LABELS, SHIPMENTS, using
+from tallyward.operators import clustering
+from tallyward.operators.counts import count_by
+from tallyward.plans import trajectories as plans
+from tallyward.plans.panel import CELL
+from tallyward.plans.settings import MONTH_NAMES, study_periods
+from tallyward.sources import role_views as views
+
+YEAR = "2000"
+K = 6
+CANDIDATES = (3, 4, 5, 6)
+
+_WIDE = ", ".join(
+    f"CAST(sum(CASE WHEN month = '{p}' THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for p, name in zip(study_periods(YEAR), MONTH_NAMES)
+)
+_TRAJECTORIES = f"""
+, every_row AS (SELECT area_code, {_WIDE} FROM shipments GROUP BY area_code)
+, wide AS (SELECT * FROM every_row WHERE february + march + april + may + june + july + august <> 0)
+, labelled AS (SELECT w.*, l.traj FROM wide w JOIN shipment_labels l ON l.area_code = w.area_code)"""
+_BASE = using(SHIPMENTS, SHIPMENT_LABELS) + _TRAJECTORIES
+
+
+def wide_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.trajectory_table(count_by(views.shipments(spark, sf_dir), CELL), YEAR, ())
+
+
+def labelled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_of(spark, sf_dir).join(views.shipment_labels(spark, sf_dir), "area_code")
+
+
+@register(_BASE + " SELECT * FROM wide")
+def shipment_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_of(spark, sf_dir)
+
+
+@register(_BASE + " SELECT area_code, CAST(february + march + april + may + june + july + august AS BIGINT) AS total_months FROM wide")
+def trajectory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.functions.numbers import row_sum
+    from tallyward.operators.reshape import column_range
+
+    wide = wide_of(spark, sf_dir)
+    return wide.select("area_code", row_sum(column_range(wide, "february", "august")).alias("total_months"))
+
+
+_AVG = ", ".join(f"avg({m}) AS {m}" for m in MONTH_NAMES)
+_DIST = " + ".join(f"(w.{m} - c.{m}) * (w.{m} - c.{m})" for m in MONTH_NAMES)
+_ROUND_AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in MONTH_NAMES)
+
+
+@register(
+    _BASE
+    + f"""
+, start AS (SELECT traj, {_AVG} FROM labelled GROUP BY traj)
+, near AS (
+  SELECT w.*, c.traj, {_DIST} AS d, row_number() OVER (PARTITION BY w.area_code ORDER BY {_DIST}, c.traj) AS rn
+  FROM wide w CROSS JOIN start c
+)
+SELECT traj AS cluster, count(*) AS size, round(sum(d), 4) AS cost, {_ROUND_AVG} FROM near WHERE rn = 1 GROUP BY traj"""
+)
+def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = labelled_of(spark, sf_dir)
+    start = labelled.groupBy(F.col("traj").alias("cluster")).agg(*[F.avg(m).alias(m) for m in MONTH_NAMES])
+    out = clustering.lloyd_step(wide_of(spark, sf_dir), MONTH_NAMES, start)
+    return out.select("cluster", "size", F.round("cost", 4).alias("cost"), *[F.round(m, 6).alias(m) for m in MONTH_NAMES])
+
+
+_WITHIN = " + ".join(f"(l.{m} - c.{m}) * (l.{m} - c.{m})" for m in MONTH_NAMES)
+_BETWEEN = " + ".join(f"(c.{m} - g.{m}) * (c.{m} - g.{m})" for m in MONTH_NAMES)
+
+
+@register(
+    _BASE
+    + f"""
+, c AS (SELECT traj, count(*) AS size, {_AVG} FROM labelled GROUP BY traj)
+, g AS (SELECT {_AVG}, count(*) AS n FROM labelled)
+, w AS (SELECT sum({_WITHIN}) AS within FROM labelled l JOIN c ON c.traj = l.traj)
+, b AS (SELECT sum(c.size * ({_BETWEEN})) AS between_, count(*) AS k FROM c CROSS JOIN g)
+SELECT b.k, g.n, round(w.within, 4) AS within, round(b.between_, 4) AS between,
+       round((b.between_ / (b.k - 1)) / (w.within / (g.n - b.k)), 6) AS ch
+FROM w, b, g"""
+)
+def ch_scores_fixed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = clustering.calinski_harabasz(labelled_of(spark, sf_dir), MONTH_NAMES, "traj")
+    return scored.select("k", "n", *[F.round(c, d).alias(c) for c, d in (("within", 4), ("between", 4), ("ch", 6))])
+
+
+_CORR = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM wide" for a in MONTH_NAMES for b in MONTH_NAMES
+)
+
+
+@register(_BASE + f" {_CORR}")
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.correlation_matrix(wide_of(spark, sf_dir), MONTH_NAMES).withColumn("corr", F.round("corr", 6))
+
+
+@register()
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.trajectory_clusters(wide_of(spark, sf_dir), K)
+
+
+@register()
+def kmeans_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.score_candidates(wide_of(spark, sf_dir), CANDIDATES)
+
+
+@register()
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.principal_components(wide_of(spark, sf_dir), "area_code", MONTH_NAMES).variance
+
+
+@register()
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.component_scores(wide_of(spark, sf_dir), views.shipment_labels(spark, sf_dir))

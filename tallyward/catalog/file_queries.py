@@ -1 +1,95 @@
+"""Round trips through files in a fresh shared folder."""
 
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyward.catalog.cluster_queries import K, wide_of
+from tallyward.catalog.panel_queries import panel_of
+from tallyward.catalog.registry import register
+from tallyward.catalog.spatial_queries import facilities_of
+from tallyward.catalog.sql_views import BOUNDARIES, FACILITIES, INCIDENTS, PANEL, using
+from tallyward.operators.clustering import assign, with_vector
+from tallyward.operators.counts import count_by
+from tallyward.plans.settings import MONTH_NAMES
+from tallyward.sources import files, role_views as views
+from tallyward.sources.staging import fresh_path
+
+
+@register(
+    using(INCIDENTS)
+    + """ SELECT year, month, crime_type, count(*) AS n, count(lsoa_code) AS n_located, count(DISTINCT lsoa_code) AS n_areas
+FROM (SELECT year, month, category AS crime_type, area_code AS lsoa_code FROM incidents) GROUP BY year, month, crime_type"""
+)
+def csv_glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly CSV drops below one folder, read back in one scan with the year taken from the path."""
+    rows = views.incidents(spark, sf_dir)
+    by_name = {
+        "Month": F.col("month"),
+        "Reported by": F.col("reported_by"),
+        "Longitude": F.col("x"),
+        "Latitude": F.col("y"),
+        "LSOA code": F.col("area_code"),
+        "Crime type": F.col("category"),
+    }
+    schema = files.INCIDENT_FILE_SCHEMA
+    drop = rows.select(*[by_name.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], F.col("month").alias("drop"))
+    root = fresh_path(spark, "drops")
+    drop.hint("rebalance", "drop").write.partitionBy("drop").option("header", True).csv(root)
+    back = files.read_csv_tree(spark, root, schema, "*.csv", r"/drop=(\d{4})-\d{2}/")
+    return back.groupBy("year", "month", "crime_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("lsoa_code").alias("n_located"), F.count_distinct("lsoa_code").alias("n_areas")
+    )
+
+
+@register(using(FACILITIES) + " SELECT * FROM facilities")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = facilities_of(spark, sf_dir)
+    path = fresh_path(spark, "facilities")
+    files.write_csv(table, path)
+    return files.read_csv(spark, path, table.schema)
+
+
+@register(
+    using(PANEL) + " SELECT category, month, area_code, n FROM panel WHERE year = '2000'"
+)
+def panel_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel written by year; reading one year touches that folder only."""
+    path = fresh_path(spark, "panel")
+    files.write_panel(panel_of(spark, sf_dir).dense(), path)
+    schema = "category string, month string, area_code string, n bigint, year string"
+    return spark.read.schema(schema).parquet(path).filter(F.col("year") == "2000").drop("year")
+
+
+@register(
+    using(BOUNDARIES)
+    + """
+SELECT geo_code, geo_label, CASE kind WHEN 2 THEN 2 ELSE 1 END AS n_rings,
+       CASE kind WHEN 1 THEN 4 WHEN 2 THEN 10 ELSE 5 END AS n_points, x0 AS first_x, y0 AS first_y
+FROM boundaries"""
+)
+def boundary_geojson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary layer through newline-delimited GeoJSON."""
+    path = fresh_path(spark, "boundaries")
+    files.write_boundary_lines(views.boundaries(spark, sf_dir), path)
+    back = files.read_boundary_lines(spark, path)
+    first = F.col("rings")[0][0]
+    return back.select(
+        "geo_code",
+        "geo_label",
+        F.size("rings").alias("n_rings"),
+        F.size(F.flatten("rings")).alias("n_points"),
+        first["x"].alias("first_x"),
+        first["y"].alias("first_y"),
+    )
+
+
+@register()
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted model saved, loaded and applied; counts per cluster."""
+    wide = wide_of(spark, sf_dir)
+    model = KMeans(k=K, seed=1612).fit(with_vector(wide, MONTH_NAMES))
+    path = fresh_path(spark, "model")
+    model.write().save(path)
+    return count_by(assign(wide, MONTH_NAMES, KMeansModel.load(path)), ["cluster"])

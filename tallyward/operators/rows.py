@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def drop_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Keep rows whose value differs from all ``values``; NULL rows go, as in SQL."""
+    if not values:
+        return df
     return df.filter(~F.col(column).isin(*values))
 
 

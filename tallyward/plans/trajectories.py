@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyward.functions.numbers import half_even, row_sum
+from tallyward.operators.clustering import assign, calinski_harabasz, fit_restarts, principal_components
 from tallyward.operators.counts import count_by, share_of_total
 from tallyward.operators.reshape import lengthen, widen
 from tallyward.operators.rows import drop_values, keep_values
 from tallyward.plans.settings import MONTH_NAMES, study_periods
+from tallyward.sources.files import union_all
+from tallyward.sources.staging import stage
 
 
 def trajectory_table(cells: DataFrame, year: str, non_notifiable: Sequence[str]) -> DataFrame:
@@ -59,3 +62,28 @@ def letters_by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     sizes = count_by(assigned, [cluster])
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc(cluster)))
     return sizes.select(cluster, F.char(F.lit(64) + rank).alias("traj"))
+
+
+def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612, parallel: int = 4) -> DataFrame:
+    """area_code, traj, traj_title: the best of ``restarts`` k-means runs, letters by size."""
+    wide = stage(wide, "trajectories")
+    best = fit_restarts(wide, MONTH_NAMES, [k], restarts, seed, parallel)[k]
+    assigned = stage(assign(wide, MONTH_NAMES, best.model).select("area_code", "cluster"), "assigned")
+    labels = assigned.join(letters_by_size(assigned), "cluster").select("area_code", "traj")
+    return titled_labels(labels)
+
+
+def score_candidates(wide: DataFrame, ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 4) -> DataFrame:
+    """Cost and Calinski-Harabasz score per number of clusters; the highest score is the choice."""
+    wide = stage(wide, "trajectories")
+    fits = fit_restarts(wide, MONTH_NAMES, ks, restarts, seed, parallel)
+    placed = [
+        assign(wide, MONTH_NAMES, f.model).select(F.lit(k).alias("candidate"), F.lit(f.cost).alias("cost"), "cluster", *MONTH_NAMES)
+        for k, f in fits.items()
+    ]
+    return calinski_harabasz(union_all(placed), MONTH_NAMES, "cluster", ["candidate", "cost"]).select("candidate", "cost", "ch")
+
+
+def component_scores(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """PCA scores of every area beside its cluster."""
+    return principal_components(wide, "area_code", MONTH_NAMES).scores.join(labels, "area_code")

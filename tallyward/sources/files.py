@@ -81,8 +81,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_panel(df: DataFrame, path: str, by: str = "year") -> None:
-    """Parquet partitioned by year, so that later reads prune whole years."""
-    df.write.partitionBy(by).mode("errorifexists").parquet(path)
+    """Parquet partitioned by year, so that later reads prune whole years.
+
+    Rebalancing gathers each year's rows into few files and splits a year that is too large for one task.
+    """
+    df.hint("rebalance", by).write.partitionBy(by).mode("errorifexists").parquet(path)
 
 
 def read_boundary_lines(spark: SparkSession, path: str, code: str = "geo_code", label: str = "geo_label") -> DataFrame:
@@ -109,5 +112,16 @@ def read_boundary_lines(spark: SparkSession, path: str, code: str = "geo_code",
     )
 
 
+def write_boundary_lines(df: DataFrame, path: str) -> None:
+    """Boundary layer as newline-delimited GeoJSON polygons; other scalar columns become properties."""
+    coordinates = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(*[c for c in df.columns if c != "rings"]).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+    )
+    df.select(F.to_json(feature).alias("value")).write.mode("errorifexists").text(path)
+
+
 def write_boundary_layer(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
