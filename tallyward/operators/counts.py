@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallyward.operators.rows import left_match
 from tallyward.sources.staging import stage
 
 
@@ -14,34 +15,46 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def level_axes(rows: DataFrame, within: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """Per ``within`` group, the values each level takes, as arrays ``_<level>``; NULL is a value too.
+
+    Levels are vocabularies (categories, months), so the arrays are short.
+    """
+    return rows.groupBy(*within).agg(*[F.collect_set(F.struct(c)).alias(f"_{c}") for c in levels])
+
+
 def complete(
-    counts: DataFrame,
-    within: Sequence[str],
-    levels: Sequence[str],
-    values: Sequence[str] = ("n",),
-    staged: bool = False,
+    counts: DataFrame, within: Sequence[str], wide: str, narrow: Sequence[str], value: str = "n", axes: DataFrame | None = None
 ) -> DataFrame:
     """Every combination of the levels that occur inside each ``within`` group; absent ones get 0.
 
-    Zero rows are unioned to the counts and summed. NULL is a level like any other, an explicit
-    NULL value becomes 0, and no product of whole tables is formed: the widest level is taken as
-    distinct rows, and the other levels, one short array per ``within`` group, are exploded onto it.
+    ``counts`` has one row per key. NULL is a level like any other and an explicit NULL value becomes 0.
+    The sparse rows are gathered per (``within``, ``wide``) into a nested map, at most one entry per
+    combination of the narrow levels, and the short axes are exploded over it. Only sparse rows are
+    shuffled, once; the dense result is produced in place and no product of tables is formed.
 
-    ``counts`` is read once per level, so it is staged unless the caller did that already.
+    Without ``axes`` the counts are read twice, so they are staged first.
     """
-    if not staged:
+    if axes is None:
         counts = stage(counts, "complete")
-    wide, *narrow = levels
-    skeleton = counts.select(*within, wide).distinct()
-    if narrow:
-        axes = counts.groupBy(*within).agg(*[F.collect_set(F.struct(c)).alias(f"_{c}") for c in narrow])
-        skeleton = skeleton.join(axes, list(within), "inner")
-        for c in narrow:
-            skeleton = skeleton.withColumn(c, F.explode(f"_{c}")).withColumn(c, F.col(f"{c}.{c}")).drop(f"_{c}")
-    keys = [*within, *levels]
-    zeros = skeleton.select(*keys, *[F.lit(0).cast(t).alias(c) for c, t in counts.dtypes if c in values])
-    rows = counts.select(*keys, *[c for c, _ in counts.dtypes if c in values]).unionByName(zeros)
-    return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+        axes = level_axes(counts, within, narrow)
+    keys = [*within, wide]
+    rows = counts.select(*keys, *narrow, F.col(value).alias("_cells")).repartition(*keys)
+    for i in reversed(range(len(narrow))):
+        entry = F.struct(F.struct(narrow[i]).alias("key"), F.col("_cells").alias("value"))
+        rows = rows.groupBy(*keys, *narrow[:i]).agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
+    out = left_match(rows, axes, {k: k for k in within})
+    for i, level in enumerate(narrow):
+        out = out.withColumn("_key", F.explode(f"_{level}"))
+        out = out.select(
+            *keys,
+            *narrow[:i],
+            F.col(f"_key.{level}").alias(level),
+            F.try_element_at("_cells", F.col("_key")).alias("_cells"),
+            *[f"_{later}" for later in narrow[i + 1 :]],
+        )
+    zero = F.lit(0).cast(dict(counts.dtypes)[value])
+    return out.select(*keys, *narrow, F.coalesce("_cells", zero).alias(value))
 
 
 def share_of_total(freq: DataFrame, value: str = "n", name: str = "pct") -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tallyward.functions.text import first_chars
-from tallyward.operators.counts import complete, count_by
+from tallyward.operators.counts import complete, count_by, level_axes
 from tallyward.operators.rows import drop_missing, drop_values, not_in
 from tallyward.sources.staging import stage
 
@@ -44,18 +44,8 @@ class CountPanel:
 
     def dense(self) -> DataFrame:
         """All category x month x area combinations of a year, zero-filled."""
-        areas = self.cells.select("year", "area_code").distinct()
-        axes = self.levels.groupBy("year").agg(
-            F.collect_set(F.struct("category")).alias("_c"), F.collect_set(F.struct("month")).alias("_m")
-        )
-        zeros = (
-            areas.join(axes, "year")
-            .select("year", "area_code", F.explode("_c").alias("_c"), "_m")
-            .select("year", "area_code", F.col("_c.category").alias("category"), F.explode("_m").alias("_m"))
-            .select("category", F.col("_m.month").alias("month"), "area_code", "year", F.lit(0).cast("long").alias("n"))
-        )
-        rows = self.cells.select(*CELL, "n").unionByName(zeros)
-        return rows.groupBy(*CELL).agg(F.sum("n").alias("n"))
+        axes = level_axes(self.levels, ["year"], ["category", "month"])
+        return complete(self.cells, ["year"], "area_code", ["category", "month"], axes=axes)
 
     def area_counts(self) -> DataFrame:
         """Number of analysed areas per year."""
@@ -78,12 +68,10 @@ def build_panel(
     """Scan the incidents once, stage the sparse counts, and derive the rest from them."""
     counts = stage(count_by(usable_incidents(incidents, excluded_providers), CELL), "cells")
     seen = counts.select("category", "month", "year").distinct()
-    axes = seen.groupBy("year").agg(
-        F.collect_set(F.struct("category")).alias("_c"), F.collect_set(F.struct("month")).alias("_m")
-    )
+    axes = level_axes(seen, ["year"], ["category", "month"])
     levels = (
-        axes.select("year", F.explode("_c").alias("_c"), "_m")
-        .select("year", F.col("_c.category").alias("category"), F.explode("_m").alias("_m"))
+        axes.select("year", F.explode("_category").alias("_c"), "_month")
+        .select("year", F.col("_c.category").alias("category"), F.explode("_month").alias("_m"))
         .select("year", "category", F.col("_m.month").alias("month"))
     )
     gone = excluded_areas(boundaries, label_pattern, prefix)
@@ -92,4 +80,4 @@ def build_panel(
 
 def dense_counts(incidents: DataFrame) -> DataFrame:
     """Zero-filled counts per year with no area excluded."""
-    return complete(count_by(drop_missing(incidents, "area_code"), CELL), ["year"], ["area_code", "category", "month"])
+    return complete(count_by(drop_missing(incidents, "area_code"), CELL), ["year"], "area_code", ["category", "month"])
