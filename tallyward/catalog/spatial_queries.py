@@ -51,7 +51,7 @@ WHERE key = 'amenity' AND value = 'pub' AND x BETWEEN a AND c AND y BETWEEN b AN
 )
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pubs = views.points_of_interest(spark, sf_dir).filter((F.col("key") == "amenity") & (F.col("value") == "pub"))
-    return spatial.within_box(pubs, spatial.layer_box(layer_of(spark, sf_dir))).select("poi_id", "key", "value", "x", "y")
+    return spatial.within_box(pubs, spatial.profile_layer(layer_of(spark, sf_dir))).select("poi_id", "key", "value", "x", "y")
 
 
 @register(using(POI) + " SELECT DISTINCT key, value, x, y FROM poi")

@@ -7,14 +7,24 @@ rings, so holes and parts need no special case; a point on an edge belongs to ev
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 8
+CROWDED_POINTS = 1_000_000
+MOST_CROWDED_CELLS = 4096
+
+
+def with_box(polygons: DataFrame) -> DataFrame:
+    """Add the bounding box columns."""
+    xs, ys = F.flatten("rings")["x"], F.flatten("rings")["y"]
+    return polygons.withColumns(
+        {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
+    )
 
 
 def with_edges(polygons: DataFrame) -> DataFrame:
-    """Replace ``rings`` by an edge list and the bounding box; open rings are closed."""
+    """Replace ``rings`` by an edge list; open rings are closed."""
 
     def edges_of(ring: Column) -> Column:
         following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
@@ -24,32 +34,45 @@ def with_edges(polygons: DataFrame) -> DataFrame:
             lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
         )
 
-    xs, ys = F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["y1"])
-    return polygons.withColumn("edges", F.flatten(F.transform("rings", edges_of))).drop("rings").withColumns(
-        {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
-    )
+    return polygons.withColumn("edges", F.flatten(F.transform("rings", edges_of))).drop("rings")
 
 
 def layer_box(polygons: DataFrame) -> DataFrame:
     """One row: bounding box of a whole layer."""
-    boxes = with_edges(polygons)
-    return boxes.agg(
+    return with_box(polygons).agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
     )
 
 
-def within_box(points: DataFrame, box: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Points inside a one-row box table, which is read as a scalar subquery."""
-    b = box.select(F.struct("minx", "miny", "maxx", "maxy")).scalar()
-    inside = F.col(x).between(b["minx"], b["maxx"]) & F.col(y).between(b["miny"], b["maxy"])
-    return points.filter(inside)
+@dataclass(frozen=True)
+class LayerProfile:
+    """Five numbers about a polygon layer: its bounding box and the median extent of its polygons."""
+
+    minx: float
+    miny: float
+    maxx: float
+    maxy: float
+    extent: float
 
 
-def typical_extent(polygons: DataFrame) -> Column:
-    """Median polygon extent as a scalar subquery; a good grid size for the join."""
+def profile_layer(polygons: DataFrame) -> LayerProfile:
+    """One aggregation over the layer, fetched as one row.
+
+    As plain numbers the box becomes a filter that the point scan can use, and the extent a literal grid size.
+    """
+    boxes = with_box(polygons)
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    extent_of = with_edges(polygons).agg(F.percentile_approx(extent, 0.5).alias("e"))
-    return F.coalesce(extent_of.select(F.when(F.col("e") > 0, F.col("e"))).scalar(), F.lit(1.0))
+    row = boxes.agg(
+        F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy"), F.percentile_approx(F.when(extent > 0, extent), 0.5)
+    ).first()
+    if row[0] is None:
+        return LayerProfile(0.0, 0.0, 0.0, 0.0, 1.0)
+    return LayerProfile(*row[:4], row[4] or 1.0)
+
+
+def within_box(points: DataFrame, box: LayerProfile, x: str = "x", y: str = "y") -> DataFrame:
+    """Points inside the bounding box of a layer."""
+    return points.filter(F.col(x).between(box.minx, box.maxx) & F.col(y).between(box.miny, box.maxy))
 
 
 def _side(e: Column, x: Column, y: Column) -> Column:
@@ -82,58 +105,74 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, lambda e: _on_edge(e, x, y)) | _odd_crossings(edges, x, y)
 
 
-def grid_cover(polygons: DataFrame, size: Column) -> DataFrame:
+def grid_cover(polygons: DataFrame, size: float) -> DataFrame:
     """One row per polygon and grid cell that it reaches.
 
     A cell that no edge enters lies wholly inside or outside: the outside ones are dropped, the inside ones
-    carry no edges and need no test per point. Other cells keep only the edges a test in them can meet.
+    carry no edges and need no test per point. Other cells keep only the edges a test in them can meet:
+    first those of the cell's grid row, then those not wholly to its left.
     """
-    cells = with_edges(polygons).withColumn("_g", size)
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_g")), F.floor(F.col(hi) / F.col("_g"))))
-    cells = cells.withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
-    left, low = F.col("cx") * F.col("_g"), F.col("cy") * F.col("_g")
-    right, high = (F.col("cx") + 1) * F.col("_g"), (F.col("cy") + 1) * F.col("_g")
-
-    def in_reach(e: Column) -> Column:
-        in_row = (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
-        return in_row & (F.greatest(e["x1"], e["x2"]) >= left)
-
-    cells = cells.withColumn("edges", F.filter("edges", in_reach))
+    cells = with_edges(with_box(polygons))
+    g = F.lit(float(size))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / g), F.floor(F.col(hi) / g)))
+    low, high = F.col("cy") * g, (F.col("cy") + 1) * g
+    left, right = F.col("cx") * g, (F.col("cx") + 1) * g
+    in_row = lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
+    cells = cells.withColumn("cy", span("miny", "maxy")).withColumn("edges", F.filter("edges", in_row))
+    not_left = lambda e: F.greatest(e["x1"], e["x2"]) >= left
+    cells = cells.withColumn("cx", span("minx", "maxx")).withColumn("edges", F.filter("edges", not_left))
     entered = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= right)
     centre = _odd_crossings(F.col("edges"), (left + right) / 2, (low + high) / 2)
     kept = cells.withColumn("_entered", entered).filter(F.col("_entered") | centre)
-    return kept.withColumn("edges", F.when(F.col("_entered"), F.col("edges"))).drop("_entered", "_g", "minx", "miny", "maxx", "maxy")
+    return kept.withColumn("edges", F.when(F.col("_entered"), F.col("edges"))).drop("_entered", "minx", "miny", "maxx", "maxy")
+
+
+def _place(points: DataFrame, size: float) -> DataFrame:
+    return points.withColumns({"cx": F.floor(F.col("x") / F.lit(size)), "cy": F.floor(F.col("y") / F.lit(size))})
+
+
+def crowded_cells(points: DataFrame, size: float, limit: int = CROWDED_POINTS, most: int = MOST_CROWDED_CELLS) -> DataFrame:
+    """Cells with more than ``limit`` points, or a ``most``-th of all points if that is more, with the number of
+    parts to split them into. By that rule there are never more than ``most`` rows."""
+    counts = _place(points.select("x", "y"), size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+    fair = F.greatest(F.lit(float(limit)), counts.agg(F.sum("_n")).scalar() / F.lit(float(most)))
+    return counts.withColumn("_fair", fair).filter(F.col("_n") > F.col("_fair")).select(
+        "cx", "cy", F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_parts")
+    )
 
 
 def match_points(
     points: DataFrame,
     polygons: DataFrame,
     keep: Sequence[str] = ("geo_code",),
-    size: Column | float | None = None,
-    salts: int = SALTS,
+    size: float | None = None,
+    crowding: DataFrame | None = None,
+    limit: int = CROWDED_POINTS,
 ) -> DataFrame:
     """Inner join of points with every polygon that covers them.
 
-    Equi-join on the grid cell, then the exact test. A crowded cell is spread over ``salts`` tasks: its points
-    are split by a hash of their coordinates and the polygon side, which is far smaller, is repeated per salt.
-    A point lies in one cell, so no match occurs twice.
+    Equi-join on the grid cell, then the exact test. A point lies in one cell, so no match occurs twice.
+    Crowded cells, of which there is a bounded number, are known beforehand from a count per cell
+    (of ``crowding``, by default the points themselves): their points are split by a hash into parts of fair
+    size, and only there the polygon rows are repeated per part.
     """
-    if size is None:
-        size = typical_extent(polygons)
-    grid = F.lit(float(size)) if isinstance(size, (int, float)) else size
-    cover = grid_cover(polygons.select(*keep, "rings"), grid).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    size = float(profile_layer(polygons).extent if size is None else size)
+    crowded = F.broadcast(crowded_cells(points if crowding is None else crowding, size, limit))
+    parts = F.coalesce("_parts", F.lit(1))
+    cover = (
+        grid_cover(polygons.select(*keep, "rings"), size)
+        .join(crowded, ["cx", "cy"], "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
     )
-    placed = points.withColumn("_g", grid).withColumns(
-        {
-            "cx": F.floor(F.col("x") / F.col("_g")),
-            "cy": F.floor(F.col("y") / F.col("_g")),
-            "salt": F.pmod(F.xxhash64("x", "y"), F.lit(salts)).cast("int"),
-        }
+    placed = (
+        _place(points, size)
+        .join(crowded, ["cx", "cy"], "left")
+        .withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts).cast("int"))
+        .drop("_parts")
     )
     hit = F.col("edges").isNull() | covers(F.col("edges"), F.col("x"), F.col("y"))
-    joined = placed.join(cover, ["cx", "cy", "salt"]).filter(hit)
-    return joined.drop("edges", "cx", "cy", "salt", "_g")
+    return placed.join(cover, ["cx", "cy", "_part"]).filter(hit).drop("edges", "cx", "cy", "_part")
 
 
 def distinct_points(points: DataFrame, tag: Sequence[str] = ("key", "value")) -> DataFrame:

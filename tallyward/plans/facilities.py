@@ -11,7 +11,7 @@ from tallyward.functions.numbers import half_even, positive_flag, round_numeric,
 from tallyward.functions.text import first_chars
 from tallyward.operators.counts import exact_quantiles
 from tallyward.operators.rows import flag_group_maximum, left_match, right_match, top_per_group
-from tallyward.operators.spatial import layer_box, match_points, within_box
+from tallyward.operators.spatial import match_points, profile_layer, within_box
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,17 @@ FACILITY_SUM = ("nightlife_total", "transport_total", "bikes", "shops_total")
 def select_tags(points: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
     """Points of the listed tags in one scan, with the facility they count for.
 
-    Membership of key and value is a plain filter, so it reaches the scan; unnamed points of named kinds go.
+    The list is a constant map, and membership of the tag value is a plain filter that reaches the scan.
+    Unnamed points of named kinds go.
     """
-    kind = None
-    for t in tags:
-        hit = (F.col("key") == t.key) & (F.col("value") == t.value)
-        hit = hit & F.col("name").isNotNull() if t.named else hit
-        kind = F.when(hit, t.column) if kind is None else kind.when(hit, t.column)
+    entries = ", ".join(f"'{t.key}={t.value}', '{t.column}'" for t in tags)
+    facility = F.try_element_at(F.expr(f"map({entries})"), F.concat_ws("=", "key", "value"))
+    counted = F.col("facility").isNotNull()
+    by_place = [t.column for t in tags if not t.named]
+    if len(by_place) < len(tags):
+        counted = counted & (F.col("name").isNotNull() | F.col("facility").isin(*by_place))
     listed = points.filter(F.col("value").isin(*sorted({t.value for t in tags})))
-    return listed.withColumn("facility", kind).filter(F.col("facility").isNotNull())
+    return listed.withColumn("facility", facility).filter(counted)
 
 
 def countable_points(points: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
@@ -76,11 +78,15 @@ def countable_points(points: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) ->
     return merged.withColumn("weight", F.when(single, F.lit(1).cast("long")).otherwise(F.col("weight")))
 
 
+def _matched(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag]) -> DataFrame:
+    layer = profile_layer(polygons)
+    boxed = within_box(points, layer)
+    return match_points(countable_points(boxed, tags), polygons, size=layer.extent, crowding=boxed)
+
+
 def facility_counts(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
     """Area x facility counts of the areas that have any; one spatial join for all tags."""
-    boxed = within_box(points, layer_box(polygons))
-    matched = match_points(countable_points(boxed, tags), polygons)
-    return matched.groupBy("geo_code", "facility").agg(F.sum("weight").alias("n"))
+    return _matched(points, polygons, tags).groupBy("geo_code", "facility").agg(F.sum("weight").alias("n"))
 
 
 def zero_filled_facilities(counts: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
@@ -93,9 +99,7 @@ def zero_filled_facilities(counts: DataFrame, polygons: DataFrame, tags: Sequenc
 def facility_table(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
     """One row per polygon: a count per facility, totals and presence flags."""
     columns = [t.column for t in tags]
-    boxed = within_box(points, layer_box(polygons))
-    matched = match_points(countable_points(boxed, tags), polygons)
-    wide = matched.groupBy("geo_code").agg(*[F.sum(F.when(F.col("facility") == c, F.col("weight"))).alias(c) for c in columns])
+    wide = _matched(points, polygons, tags).groupBy("geo_code").agg(*[F.sum(F.when(F.col("facility") == c, F.col("weight"))).alias(c) for c in columns])
     full = polygons.select("geo_code", "geo_label").join(wide, "geo_code", "left").na.fill(0, columns)
     totals = {name: row_sum([t.column for t in tags if t.total == name]) for name in TOTALS if any(t.total == name for t in tags)}
     full = full.withColumns(totals)

@@ -66,7 +66,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("o_orderkey") % 11 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("_reporter", shifted)
     located = F.col("o_orderkey") % 97 != 0
-    period = F.date_format("o_orderdate", "yyyy-MM")
+    period = F.substring(F.col("o_orderdate").cast("string"), 1, 7)
     key = F.col("o_custkey")
     return joined.join(nation, F.col("_reporter") == F.col("n_nationkey")).select(
         F.col("o_orderkey").alias("incident_id"),
@@ -135,13 +135,13 @@ def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
     place = F.floor(F.col("event_id") / 2)
-    tags = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in POI_TAGS])
-    tag = F.element_at(tags, (F.col("user_id") % len(POI_TAGS) + 1).cast("int"))
+    listed = ", ".join(f"'{k}={v}'" for k, v in POI_TAGS)
+    tag = F.split(F.element_at(F.expr(f"array({listed})"), (F.col("user_id") % len(POI_TAGS) + 1).cast("int")), "=")
     x, y = (place * 37 % 8000) / F.lit(8.0), place / F.lit(32.0)
     return events.select(
         F.col("event_id").alias("poi_id"),
-        tag["key"].alias("key"),
-        tag["value"].alias("value"),
+        tag[0].alias("key"),
+        tag[1].alias("value"),
         F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("poi "), F.col("event_id").cast("string"))).alias("name"),
         x.alias("x"),
         y.alias("y"),
@@ -159,7 +159,7 @@ def fixed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as incidents of their supplier: a dense panel for clustering."""
-    period = F.date_format("l_shipdate", "yyyy-MM")
+    period = F.substring(F.col("l_shipdate").cast("string"), 1, 7)
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0")).alias("area_code"),
         period.alias("month"),
