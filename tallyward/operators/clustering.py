@@ -31,7 +31,7 @@ class BestFit:
 
 
 def fit_restarts(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 4
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 8
 ) -> dict[int, BestFit]:
     """K-means for every k with several seeds; the lowest cost wins.
 

@@ -64,7 +64,7 @@ def letters_by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     return sizes.select(cluster, F.char(F.lit(64) + rank).alias("traj"))
 
 
-def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612, parallel: int = 4) -> DataFrame:
+def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612, parallel: int = 8) -> DataFrame:
     """area_code, traj, traj_title: the best of ``restarts`` k-means runs, letters by size."""
     wide = stage(wide, "trajectories")
     best = fit_restarts(wide, MONTH_NAMES, [k], restarts, seed, parallel)[k]
@@ -73,7 +73,7 @@ def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int =
     return titled_labels(labels)
 
 
-def score_candidates(wide: DataFrame, ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 4) -> DataFrame:
+def score_candidates(wide: DataFrame, ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 8) -> DataFrame:
     """Cost and Calinski-Harabasz score per number of clusters; the highest score is the choice."""
     wide = stage(wide, "trajectories")
     fits = fit_restarts(wide, MONTH_NAMES, ks, restarts, seed, parallel)
