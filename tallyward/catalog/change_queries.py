@@ -65,8 +65,8 @@ def trajectory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM wide"""
 )
 def pivot_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = keep_values(panel_of(spark, sf_dir).cells, "month", study_periods(YEAR))
-    return widen(cells, ["category"], "month", "n", dict(zip(study_periods(YEAR), MONTH_NAMES)))
+    monthly = keep_values(panel_of(spark, sf_dir).monthly(), "month", study_periods(YEAR))
+    return widen(monthly, ["category"], "month", "n", dict(zip(study_periods(YEAR), MONTH_NAMES)))
 
 
 _TOTALLED = """

@@ -11,15 +11,14 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyward-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    """The folder the cluster names for checkpoints; a temporary one is set only in local mode."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyward-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
