@@ -32,9 +32,9 @@ def split_period(df: DataFrame, period: str = "month") -> DataFrame:
 
 def split_stat_name(df: DataFrame, column: str, stats: dict[str, str]) -> DataFrame:
     """Take ``<prefix>_<from>_<to>`` names apart into ``stat`` and ``step``."""
-    prefix = F.regexp_extract(column, r"^([a-z]+)_", 1)
+    prefix = F.substring_index(column, "_", 1)
     stat = F.coalesce(*[F.when(prefix == p, F.lit(name)) for p, name in stats.items()])
-    return df.withColumns({"stat": stat, "step": F.regexp_extract(column, r"^[a-z]+_(.+)$", 1)})
+    return df.withColumns({"stat": stat, "step": F.substring(F.col(column), F.length(prefix) + 2, F.length(column))})
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
