@@ -180,9 +180,9 @@ def distinct_points(points: DataFrame, tag: Sequence[str] = ("key", "value")) ->
     return points.select(*tag, "x", "y").distinct()
 
 
-def ring_segments(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
+def ring_segments(polygons: DataFrame, carry: Sequence[str]) -> DataFrame:
     """One row per segment of every ring, numbered without repeated points; ``ring_size`` closes the circle."""
-    rings = polygons.select(code, F.posexplode("rings").alias("ring_no", "ring"))
+    rings = polygons.select(*carry, F.posexplode("rings").alias("ring_no", "ring"))
     tidy = F.filter("ring", lambda p, i: (i == 0) | (p != F.col("ring")[F.greatest(i - 1, F.lit(0))]))
     rings = rings.withColumn("ring", tidy)
     pairs = F.zip_with(
@@ -190,8 +190,8 @@ def ring_segments(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
         F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))),
         lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
     )
-    return rings.select(code, "ring_no", F.size(pairs).alias("ring_size"), F.posexplode(pairs).alias("seg_no", "s")).select(
-        code, "ring_no", "ring_size", "seg_no", "s.x1", "s.y1", "s.x2", "s.y2"
+    return rings.select(*carry, "ring_no", F.size(pairs).alias("ring_size"), F.posexplode(pairs).alias("seg_no", "s")).select(
+        *carry, "ring_no", "ring_size", "seg_no", "s.x1", "s.y1", "s.x2", "s.y2"
     )
 
 
@@ -199,25 +199,21 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
     """Codes of polygons with segments that cross.
 
     Each polygon gets its own grid with about as many cells as segments; only segments that share a cell
-    are compared. Inside a ring, any contact of segments that do not follow each other counts; between
-    rings only a true crossing does.
+    are compared, so even one huge polygon is spread over many keys. Inside a ring, any contact of segments
+    that do not follow each other counts; between rings only a true crossing does.
     """
-    segments = ring_segments(polygons, code)
-    boxes = segments.groupBy(code).agg(
-        F.ceil(F.sqrt(F.count(F.lit(1)))).alias("bands"),
-        F.min(F.least("x1", "x2")).alias("x0"),
-        F.min(F.least("y1", "y2")).alias("y0"),
-        F.max(F.greatest("x1", "x2")).alias("xm"),
-        F.max(F.greatest("y1", "y2")).alias("ym"),
+    bands = F.ceil(F.sqrt(F.size(F.flatten("rings"))))
+    width = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) / bands
+    boxed = with_box(polygons.select(code, "rings")).select(
+        code, "rings", F.col("minx").alias("x0"), F.col("miny").alias("y0"), F.when(width > 0, width).otherwise(1.0).alias("g")
     )
-    width = F.greatest(F.col("xm") - F.col("x0"), F.col("ym") - F.col("y0")) / F.col("bands")
-    boxes = boxes.select(code, "x0", "y0", F.when(width > 0, width).otherwise(F.lit(1.0)).alias("g"))
+    segments = ring_segments(boxed, [code, "x0", "y0", "g"])
 
     def band(a: str, b: str, start: str) -> Column:
         place = lambda v: F.floor((v - F.col(start)) / F.col("g"))
         return F.explode(F.sequence(place(F.least(a, b)), place(F.greatest(a, b))))
 
-    placed = segments.join(boxes, code).withColumn("gx", band("x1", "x2", "x0")).withColumn("gy", band("y1", "y2", "y0"))
+    placed = segments.withColumn("gx", band("x1", "x2", "x0")).withColumn("gy", band("y1", "y2", "y0"))
     a = placed.select(code, "gx", "gy", F.struct("ring_no", "ring_size", "seg_no", "x1", "y1", "x2", "y2").alias("a"))
     b = a.withColumnRenamed("a", "b")
     gap = F.col("b.seg_no") - F.col("a.seg_no")

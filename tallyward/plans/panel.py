@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyward.functions.text import first_chars
 from tallyward.operators.counts import complete, count_by, level_axes
-from tallyward.operators.rows import drop_missing, drop_values, not_in
+from tallyward.operators.rows import drop_missing, drop_values
 from tallyward.sources.staging import stage
 
 CELL = ["category", "month", "area_code", "year"]
@@ -65,17 +65,24 @@ def build_panel(
     label_pattern: str,
     prefix: str,
 ) -> CountPanel:
-    """Scan the incidents once, stage the sparse counts, and derive the rest from them."""
-    counts = stage(count_by(usable_incidents(incidents, excluded_providers), CELL), "cells")
-    seen = counts.select("category", "month", "year").distinct()
-    axes = level_axes(seen, ["year"], ["category", "month"])
+    """Scan the incidents once, stage the sparse counts, and derive the rest from them.
+
+    The excluded areas are marked in the same pass, so no consumer joins with the boundaries again. Rows are
+    sorted inside each file, which lets later month and year filters skip row groups.
+    """
+    counts = count_by(usable_incidents(incidents, excluded_providers), CELL)
+    gone = excluded_areas(boundaries, label_pattern, prefix).distinct().withColumn("_gone", F.lit(True))
+    marked = counts.join(gone, counts["area_code"] == gone["geo_code"], "left").select(
+        *CELL, "n", F.col("_gone").isNull().alias("kept")
+    )
+    staged = stage(marked.sortWithinPartitions("year", "month", "category"), "cells")
+    axes = level_axes(staged, ["year"], ["category", "month"])
     levels = (
         axes.select("year", F.explode("_category").alias("_c"), "_month")
         .select("year", F.col("_c.category").alias("category"), F.explode("_month").alias("_m"))
         .select("year", "category", F.col("_m.month").alias("month"))
     )
-    gone = excluded_areas(boundaries, label_pattern, prefix)
-    return CountPanel(cells=not_in(counts, "area_code", gone, "geo_code"), levels=levels)
+    return CountPanel(cells=staged.filter("kept").drop("kept"), levels=levels)
 
 
 def dense_counts(incidents: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from tallyward.plans.settings import MONTH_NAMES, study_periods
 from tallyward.sources.files import union_all
 from tallyward.sources.staging import stage
 
+MOST_CLUSTERS = 26
+
 
 def trajectory_table(cells: DataFrame, year: str, non_notifiable: Sequence[str]) -> DataFrame:
     """One row per area with seven monthly totals; areas without any incident in the season drop out.
@@ -49,9 +51,10 @@ def title_of(label: Column, n: Column, pct: Column) -> Column:
 
 
 def titled_labels(labels: DataFrame, label: str = "traj") -> DataFrame:
-    """Labels with their title; the title table has one row per cluster."""
+    """Labels with their title. There is one title per letter, 26 at most, so the titles are broadcast:
+    the largest cluster may hold most areas and must not be gathered by its letter."""
     titles = cluster_sizes(labels, label).select(label, "traj_title")
-    return labels.join(titles, label)
+    return labels.join(F.broadcast(titles), label)
 
 
 def letters_by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -66,10 +69,12 @@ def letters_by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612, parallel: int = 8) -> DataFrame:
     """area_code, traj, traj_title: the best of ``restarts`` k-means runs, letters by size."""
+    if not 1 < k <= MOST_CLUSTERS:
+        raise ValueError(f"k must lie between 2 and {MOST_CLUSTERS}, the number of letters")
     wide = stage(wide, "trajectories")
     best = fit_restarts(wide, MONTH_NAMES, [k], restarts, seed, parallel)[k]
     assigned = stage(assign(wide, MONTH_NAMES, best.model).select("area_code", "cluster"), "assigned")
-    labels = assigned.join(letters_by_size(assigned), "cluster").select("area_code", "traj")
+    labels = assigned.join(F.broadcast(letters_by_size(assigned)), "cluster").select("area_code", "traj")
     return titled_labels(labels)
 
 
