@@ -10,9 +10,8 @@ from tallyward.catalog.sql_views import FIXED_LABELS, PANEL, using
 from tallyward.functions.numbers import half_even
 from tallyward.operators.rows import drop_values, keep_values
 from tallyward.operators.reshape import lengthen, split_stat_name, widen, widen_many
-from tallyward.plans import change
+from tallyward.plans import change, distribution
 from tallyward.plans.composition import composition, share_sums
-from tallyward.plans.distribution import centres, cluster_frequencies, density_grid, median_mean_lines, percentile_table
 from tallyward.plans.settings import MONTH_NAMES, MONTH_STEPS, study_periods
 from tallyward.plans.trajectories import cluster_sizes as sizes, trajectory_table as trajectories
 from tallyward.sources import role_views as views
@@ -208,7 +207,7 @@ _TOTALS = """
 
 
 def frequencies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_frequencies(panel_of(spark, sf_dir), views.fixed_labels(spark, sf_dir), views.NON_NOTIFIABLE)
+    return distribution.cluster_frequencies(panel_of(spark, sf_dir), views.fixed_labels(spark, sf_dir), views.NON_NOTIFIABLE)
 
 
 @register(
@@ -219,13 +218,13 @@ SELECT traj, month, year, monthname(CAST(month || '-01' AS DATE)) AS month_name,
        CAST(median(n) AS DOUBLE) AS median, round(avg(n), 6) AS mean
 FROM totals GROUP BY ALL"""
 )
-def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return median_mean_lines(frequencies_of(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+def median_mean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.median_mean_lines(frequencies_of(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
 @register(_SEASON + _TOTALS + " SELECT traj, month, year, round(avg(n), 6) AS centre FROM totals GROUP BY ALL")
 def cluster_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centres(frequencies_of(spark, sf_dir)).withColumn("centre", F.round("centre", 6))
+    return distribution.centres(frequencies_of(spark, sf_dir)).withColumn("centre", F.round("centre", 6))
 
 
 @register(
@@ -237,7 +236,7 @@ SELECT traj, month, year, round(CAST(quantile_cont(n, 0.25) AS DOUBLE), 6) AS p2
 FROM (SELECT traj, month, year, CAST(n AS DOUBLE) AS n FROM totals) GROUP BY ALL"""
 )
 def cluster_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = percentile_table(frequencies_of(spark, sf_dir), {"p25": 0.25, "p75": 0.75, "p95": 0.95})
+    table = distribution.percentile_table(frequencies_of(spark, sf_dir), {"p25": 0.25, "p75": 0.75, "p95": 0.95})
     return table.select("traj", "month", "year", _six("p25"), _six("p75"), _six("p95"))
 
 
@@ -265,6 +264,6 @@ SELECT g.traj, g.month, CAST(g.point AS INTEGER) AS point, round(g.at, 6) AS at,
 FROM grid g JOIN (SELECT traj, month, n, count(*) AS freq FROM vals GROUP BY ALL) v ON v.traj = g.traj AND v.month = g.month
 GROUP BY g.traj, g.month, g.point, g.at, g.size, g.bw"""
 )
-def density_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = density_grid(frequencies_of(spark, sf_dir), YEAR, GRID_POINTS)
+def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = distribution.density_grid(frequencies_of(spark, sf_dir), YEAR, GRID_POINTS)
     return grid.select("traj", "month", "point", _six("at"), _six("density"))

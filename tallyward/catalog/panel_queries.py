@@ -10,7 +10,7 @@ from tallyward.operators.rows import not_in
 from tallyward.plans.panel import CountPanel, build_panel, dense_counts, excluded_areas, usable_incidents
 from tallyward.plans.reconcile import analysed_boundaries, area_counts, missing_areas
 from tallyward.plans.settings import TOTAL_CATEGORY
-from tallyward.plans.trends import long_run_trend, main_measure_trend, trend_table as trends
+from tallyward.plans.trends import long_run_trend as category_trend, main_measure_trend, trend_table as trends
 from tallyward.sources import role_views as views
 
 
@@ -74,8 +74,8 @@ WHERE (category = '1-URGENT' OR category = '2-HIGH' OR category = '3-MEDIUM')
   AND month <> '2001-06' AND month <> '2001-07' AND month <> '2001-08'
 GROUP BY category, month, year"""
 )
-def long_run_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_run_trend(panel_of(spark, sf_dir), views.LONG_RUN_CATEGORIES, LATE_PERIODS)
+def long_run_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category_trend(panel_of(spark, sf_dir), views.LONG_RUN_CATEGORIES, LATE_PERIODS)
 
 
 @register(

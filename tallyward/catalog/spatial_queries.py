@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
-from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FIXED_LABELS, POI, SPATIAL, area, using
+from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FACILITY_COLUMNS, FIXED_LABELS, POI, SPATIAL, area, using
 from tallyward.functions.national_grid import (
-    AIRY_A, AIRY_B, AIRY_E2, GRID_E0, GRID_F0, GRID_N, GRID_N0, ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC,
+    AIRY_A, AIRY_B, AIRY_E2, AIRY_EP2, GRID_E0, GRID_F0, GRID_N, GRID_N0, ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC,
     SCALE_PPM, SHIFT_X, SHIFT_Y, SHIFT_Z, WGS84_A, WGS84_E2, project,
 )
 from tallyward.operators import spatial
+from tallyward.operators.reshape import widen
 from tallyward.plans import facilities as plans
 from tallyward.plans.reconcile import analysed_boundaries
 from tallyward.sources import role_views as views
+from tallyward.sources.staging import stage
 
 
 def layer_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,12 @@ def facility_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facilities_of(spark, sf_dir)
 
 
+@register(using(FACILITIES) + f" SELECT geo_code, {', '.join(FACILITY_COLUMNS)} FROM facilities")
+def poi_counts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long counts turned into one column per facility."""
+    return widen(poi_counts(spark, sf_dir), ["geo_code"], "facility", "n", {c: c for c in FACILITY_COLUMNS})
+
+
 @register(
     using(BOUNDARIES, POI)
     + f" SELECT b.geo_code, p.poi_id, p.name, p.value FROM boundaries b JOIN poi p ON {COVERED}"
@@ -125,10 +133,6 @@ _R = "0.017453292519943295"
 def _projection_sql() -> str:
     k = 1 + SCALE_PPM * 1e-6
     rx, ry, rz = (f"({v}/3600.0::DOUBLE*{_R})" for v in (ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC))
-    steps = "".join(
-        f", l{i} AS (SELECT *, atan2(z2 + {AIRY_E2!r} * {AIRY_A!r} / sqrt(1 - {AIRY_E2!r} * pow(sin(f{i - 1}), 2)) * sin(f{i - 1}), p) AS f{i} FROM l{i - 1})"
-        for i in range(1, 7)
-    )
     n = GRID_N
     return f"""
 , a AS (SELECT poi_id, radians(lat) AS phi, radians(lon) AS lam FROM poi)
@@ -137,28 +141,44 @@ def _projection_sql() -> str:
 , d AS (SELECT *, {SHIFT_X} + {k!r} * x - {rz} * y + {ry} * z AS x2, {SHIFT_Y} + {rz} * x + {k!r} * y - {rx} * z AS y2,
                {SHIFT_Z} - {ry} * x + {rx} * y + {k!r} * z AS z2 FROM c)
 , e AS (SELECT *, sqrt(x2 * x2 + y2 * y2) AS p FROM d)
-, l0 AS (SELECT *, atan2(z2, p * (1 - {AIRY_E2!r})) AS f0 FROM e){steps}
-, g AS (SELECT poi_id, f6 AS f, atan2(y2, x2) + 2 * {_R} AS d, sin(f6) AS s, cos(f6) AS c, pow(tan(f6), 2) AS t,
-               1 - {AIRY_E2!r} * pow(sin(f6), 2) AS w FROM l6)
+, q AS (SELECT *, atan2(z2 * {AIRY_A!r}, p * {AIRY_B!r}) AS q FROM e)
+, l AS (SELECT *, atan2(z2 + {AIRY_EP2 * AIRY_B!r} * pow(sin(q), 3), p - {AIRY_E2 * AIRY_A!r} * pow(cos(q), 3)) AS f FROM q)
+, g AS (SELECT poi_id, f, atan2(y2, x2) + 2 * {_R} AS d, sin(f) AS s, cos(f) AS c, pow(tan(f), 2) AS t,
+               1 - {AIRY_E2!r} * pow(sin(f), 2) AS w FROM l)
 , h AS (SELECT *, {AIRY_A * GRID_F0!r} / sqrt(w) AS v, {AIRY_A * GRID_F0!r} / sqrt(w) * (1 - {AIRY_E2!r}) / w AS r,
                f - 49 * {_R} AS less, f + 49 * {_R} AS more FROM g)
-SELECT poi_id,
-  round({GRID_E0} + d * v * c + pow(d, 3) * v * pow(c, 3) * (v / r - t) / 6
-    + pow(d, 5) * v * pow(c, 5) * (5 - 18 * t + t * t + 14 * (v / r - 1) - 58 * t * (v / r - 1)) / 120, 3) AS easting,
-  round({GRID_N0} + {AIRY_B * GRID_F0!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * less
+, grid AS (SELECT poi_id,
+  {GRID_E0} + d * v * c + pow(d, 3) * v * pow(c, 3) * (v / r - t) / 6
+    + pow(d, 5) * v * pow(c, 5) * (5 - 18 * t + t * t + 14 * (v / r - 1) - 58 * t * (v / r - 1)) / 120 AS easting,
+  {GRID_N0} + {AIRY_B * GRID_F0!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * less
       - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin(less) * cos(more) + {1.875 * n**2 + 1.875 * n**3!r} * sin(2 * less) * cos(2 * more)
       - {35 / 24 * n**3!r} * sin(3 * less) * cos(3 * more))
     + d * d * v * s * c / 2 + pow(d, 4) * v * s * pow(c, 3) * (5 - t + 9 * (v / r - 1)) / 24
-    + pow(d, 6) * v * s * pow(c, 5) * (61 - 58 * t + t * t) / 720, 3) AS northing
-FROM h"""
+    + pow(d, 6) * v * s * pow(c, 5) * (61 - 58 * t + t * t) / 720 AS northing
+FROM h)"""
 
 
-@register(using(POI) + _projection_sql())
+@register(using(POI) + _projection_sql() + " SELECT poi_id, round(easting, 3) AS easting, round(northing, 3) AS northing FROM grid")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = project(views.points_of_interest(spark, sf_dir).select("poi_id", "lon", "lat"))
     return out.select("poi_id", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
 
 
+@register(
+    using(BOUNDARIES, POI)
+    + _projection_sql()
+    + f"""
+, placed AS (SELECT poi_id, (easting - {views.GRID_EAST}) / {views.GRID_SCALE_X} AS x, northing / {views.GRID_SCALE_Y} AS y FROM grid)
+SELECT b.geo_code, count(*) AS n FROM boundaries b JOIN placed p ON {COVERED} GROUP BY b.geo_code"""
+)
+def projected_poi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longitude and latitude to grid metres, then counted in a layer given in metres."""
+    points = views.points_of_interest(spark, sf_dir).select("poi_id", "lon", "lat")
+    placed = stage(project(points, easting="x", northing="y").select("poi_id", "x", "y"), "projected")
+    matched = spatial.match_points(placed, views.metric_boundaries(spark, sf_dir))
+    return matched.groupBy("geo_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     using(FACILITIES)
     + """

@@ -1,7 +1,7 @@
 """Longitude/latitude (WGS84) to British National Grid metres as column expressions.
 
 Published method: geodetic to Cartesian, seven-parameter Helmert shift to the
-Airy-based datum, Cartesian back to geodetic, transverse Mercator series.
+Airy-based datum, Cartesian back to geodetic by the closed formula, transverse Mercator series.
 Accuracy is a few metres, as no datum grid is used.
 """
 
@@ -28,10 +28,10 @@ GRID_LAT0_DEG = 49.0
 GRID_LON0_DEG = -2.0
 GRID_E0 = 400000.0
 GRID_N0 = -100000.0
-LATITUDE_STEPS = 6
 
 WGS84_E2 = 1 - (WGS84_B * WGS84_B) / (WGS84_A * WGS84_A)
 AIRY_E2 = 1 - (AIRY_B * AIRY_B) / (AIRY_A * AIRY_A)
+AIRY_EP2 = (AIRY_A * AIRY_A - AIRY_B * AIRY_B) / (AIRY_B * AIRY_B)
 GRID_N = (AIRY_A - AIRY_B) / (AIRY_A + AIRY_B)
 
 
@@ -42,7 +42,8 @@ def _seconds(value: float) -> float:
 def project(df: DataFrame, lon: str = "lon", lat: str = "lat", easting: str = "easting", northing: str = "northing") -> DataFrame:
     """Add ``easting`` and ``northing`` columns.
 
-    One ``withColumns`` per dependency level, so each intermediate is computed once per row.
+    One ``withColumns`` per dependency level, so each intermediate is computed once per row. Where the
+    result feeds joins or is read more than once, stage it: a filter on it would repeat the whole formula.
     """
     keep = df.columns
     out = df.withColumns({"_phi": F.radians(F.col(lat)), "_lam": F.radians(F.col(lon))})
@@ -65,10 +66,14 @@ def project(df: DataFrame, lon: str = "lon", lat: str = "lat", easting: str = "e
         }
     )
     out = out.withColumns({"_p": F.sqrt(F.col("_x2") * F.col("_x2") + F.col("_y2") * F.col("_y2"))})
-    out = out.withColumns({"_f": F.atan2(F.col("_z2"), F.col("_p") * (1 - AIRY_E2))})
-    for _ in range(LATITUDE_STEPS):
-        out = out.withColumns({"_v": F.lit(AIRY_A) / F.sqrt(1 - AIRY_E2 * F.pow(F.sin("_f"), 2))})
-        out = out.withColumns({"_f": F.atan2(F.col("_z2") + AIRY_E2 * F.col("_v") * F.sin("_f"), F.col("_p"))})
+    out = out.withColumns({"_q": F.atan2(F.col("_z2") * AIRY_A, F.col("_p") * AIRY_B)})
+    out = out.withColumns(
+        {
+            "_f": F.atan2(
+                F.col("_z2") + AIRY_EP2 * AIRY_B * F.pow(F.sin("_q"), 3), F.col("_p") - AIRY_E2 * AIRY_A * F.pow(F.cos("_q"), 3)
+            )
+        }
+    )
     out = out.withColumns({"_l": F.atan2(F.col("_y2"), F.col("_x2")) - math.radians(GRID_LON0_DEG)})
     out = _transverse_mercator(out)
     return out.select(*keep, F.col("_east").alias(easting), F.col("_north").alias(northing))

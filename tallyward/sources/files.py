@@ -33,6 +33,14 @@ GEOJSON_FEATURE = (
     "geometry struct<type:string,coordinates:string>"
 )
 
+POINT_FEATURE = (
+    "type string, id string, properties map<string,string>, "
+    "geometry struct<type:string,coordinates:array<double>>"
+)
+
+# The tag keys under which facilities are listed.
+POINT_TAG_KEYS = ("amenity", "shop", "railway", "highway")
+
 
 def read_csv_tree(
     spark: SparkSession,
@@ -112,6 +120,20 @@ def read_boundary_lines(spark: SparkSession, path: str, code: str = "geo_code",
     )
 
 
+def read_point_lines(spark: SparkSession, path: str, tag_keys: Sequence[str] = POINT_TAG_KEYS) -> DataFrame:
+    """Points of interest from newline-delimited GeoJSON: one row per point and tag, other shapes are left out."""
+    feature = F.from_json(F.col("value"), POINT_FEATURE)
+    raw = spark.read.text(path).select(feature.alias("f")).filter(F.col("f.geometry.type") == "Point")
+    wanted = F.map_filter("f.properties", lambda k, v: k.isin(*tag_keys) & v.isNotNull())
+    return raw.select(
+        F.col("f.id").alias("poi_id"),
+        F.explode(wanted).alias("key", "value"),
+        F.col("f.properties").getItem("name").alias("name"),
+        F.col("f.geometry.coordinates")[0].alias("lon"),
+        F.col("f.geometry.coordinates")[1].alias("lat"),
+    )
+
+
 def write_boundary_lines(df: DataFrame, path: str) -> None:
     """Boundary layer as newline-delimited GeoJSON polygons; other scalar columns become properties."""
     coordinates = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))

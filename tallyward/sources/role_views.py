@@ -24,6 +24,7 @@ CITIES = {
 }
 GRID_COLUMNS = 100
 CELL_SIZE = 10
+GRID_EAST, GRID_SCALE_X, GRID_SCALE_Y = 180000, 360, 1100
 LETTER_RESIDUES = "AAAAAAAAABBBBBBCCCCDDDEEF"
 POI_TAGS = (
     ("amenity", "pub"),
@@ -110,6 +111,15 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metric_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layer stretched to national grid metres."""
+    move = lambda p: F.struct(
+        (p["x"] * GRID_SCALE_X + GRID_EAST).alias("x"), (p["y"] * GRID_SCALE_Y).alias("y")
+    )
+    rings = F.transform("rings", lambda ring: F.transform(ring, move))
+    return boundaries(spark, sf_dir).withColumn("rings", rings)
+
+
 BAD_RINGS = {
     5: [(0, 0), (10, 0), (10, 10), (0, 10)],
     11: [(0, 0), (10, 0), (0, 0)],

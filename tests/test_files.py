@@ -63,6 +63,21 @@ def test_geojson_layer(spark, tmp_path):
     assert rows(got) == [("a", 2, 1.0), ("b", 2, 1.0), ("c", None, None)]
 
 
+def test_point_layer(spark, tmp_path):
+    features = [
+        {"type": "Feature", "id": "n1", "properties": {"amenity": "pub", "name": "Inn"}, "geometry": {"type": "Point", "coordinates": [-1.5, 52.5]}},
+        {"type": "Feature", "id": "n2", "properties": {"shop": "shoes", "amenity": "bar", "colour": "red"}, "geometry": {"type": "Point", "coordinates": [1, 50]}},
+        {"type": "Feature", "id": "w3", "properties": {"amenity": "pub"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 1], [0, 0]]]}},
+    ]
+    path = tmp_path / "points.json"
+    path.write_text("\n".join(json.dumps(f) for f in features))
+    assert rows(files.read_point_lines(spark, str(path)), "poi_id", "key", "value", "name", "lon", "lat") == [
+        ("n1", "amenity", "pub", "Inn", -1.5, 52.5),
+        ("n2", "amenity", "bar", None, 1.0, 50.0),
+        ("n2", "shop", "shoes", None, 1.0, 50.0),
+    ]
+
+
 def test_stage_writes_below_the_shared_folder(spark):
     df = staging.stage(spark.createDataFrame([(1,), (None,)], "n int"), "t")
     assert rows(df) == [(None,), (1,)]
