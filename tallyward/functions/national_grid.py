@@ -8,6 +8,7 @@ Accuracy is a few metres, as no datum grid is used.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,58 +40,92 @@ def _seconds(value: float) -> float:
     return math.radians(value / 3600.0)
 
 
-def project(df: DataFrame, lon: str = "lon", lat: str = "lat", easting: str = "easting", northing: str = "northing") -> DataFrame:
-    """Add ``easting`` and ``northing`` columns.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
 
-    One ``withColumns`` per dependency level, so each intermediate is computed once per row. Where the
-    result feeds joins or is read more than once, stage it: a filter on it would repeat the whole formula.
+    Bound by a lambda, the value stays a single node of the expression; plain columns would be repeated
+    at every use as soon as Spark moves a filter or join key below the projection.
     """
-    keep = df.columns
-    out = df.withColumns({"_phi": F.radians(F.col(lat)), "_lam": F.radians(F.col(lon))})
-    out = out.withColumns({"_nu": F.lit(WGS84_A) / F.sqrt(1 - WGS84_E2 * F.pow(F.sin("_phi"), 2))})
-    out = out.withColumns(
-        {
-            "_x": F.col("_nu") * F.cos("_phi") * F.cos("_lam"),
-            "_y": F.col("_nu") * F.cos("_phi") * F.sin("_lam"),
-            "_z": (1 - WGS84_E2) * F.col("_nu") * F.sin("_phi"),
-        }
+    return F.transform(F.array(value), body)[0]
+
+
+def project(df: DataFrame, lon: str = "lon", lat: str = "lat", easting: str = "easting", northing: str = "northing") -> DataFrame:
+    """Add ``easting`` and ``northing`` columns."""
+    degrees = F.struct(F.radians(lat).alias("phi"), F.radians(lon).alias("lam"))
+    grid = _let(_let(_let(_let(degrees, _cartesian), _shifted), _geodetic), transverse_mercator)
+    return df.select("*", grid.alias("_grid")).select(
+        *df.columns, F.col("_grid.east").alias(easting), F.col("_grid.north").alias(northing)
     )
+
+
+def _cartesian(at: Column) -> Column:
+    phi, lam = at["phi"], at["lam"]
+    nu = F.lit(WGS84_A) / F.sqrt(1 - WGS84_E2 * F.pow(F.sin(phi), 2))
+    return F.struct(
+        (nu * F.cos(phi) * F.cos(lam)).alias("x"),
+        (nu * F.cos(phi) * F.sin(lam)).alias("y"),
+        ((1 - WGS84_E2) * nu * F.sin(phi)).alias("z"),
+    )
+
+
+def _shifted(at: Column) -> Column:
+    x, y, z = at["x"], at["y"], at["z"]
     k = 1 + SCALE_PPM * 1e-6
-    rx, ry, rz = _seconds(ROTATE_X_SEC), _seconds(ROTATE_Y_SEC), _seconds(ROTATE_Z_SEC)
-    x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
-    out = out.withColumns(
-        {
-            "_x2": SHIFT_X + k * x - rz * y + ry * z,
-            "_y2": SHIFT_Y + rz * x + k * y - rx * z,
-            "_z2": SHIFT_Z - ry * x + rx * y + k * z,
-        }
+    rx, ry, rz = (math.radians(v / 3600.0) for v in (ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC))
+    return F.struct(
+        (SHIFT_X + k * x - rz * y + ry * z).alias("x"),
+        (SHIFT_Y + rz * x + k * y - rx * z).alias("y"),
+        (SHIFT_Z - ry * x + rx * y + k * z).alias("z"),
     )
-    out = out.withColumns({"_p": F.sqrt(F.col("_x2") * F.col("_x2") + F.col("_y2") * F.col("_y2"))})
-    out = out.withColumns({"_q": F.atan2(F.col("_z2") * AIRY_A, F.col("_p") * AIRY_B)})
-    out = out.withColumns(
-        {
-            "_f": F.atan2(
-                F.col("_z2") + AIRY_EP2 * AIRY_B * F.pow(F.sin("_q"), 3), F.col("_p") - AIRY_E2 * AIRY_A * F.pow(F.cos("_q"), 3)
-            )
-        }
+
+
+def _geodetic(at: Column) -> Column:
+    """Latitude by the closed formula; longitude relative to the grid's meridian."""
+    away = F.struct(
+        F.sqrt(at["x"] * at["x"] + at["y"] * at["y"]).alias("p"),
+        at["z"].alias("z"),
+        (F.atan2(at["y"], at["x"]) - math.radians(GRID_LON0_DEG)).alias("d"),
     )
-    out = out.withColumns({"_l": F.atan2(F.col("_y2"), F.col("_x2")) - math.radians(GRID_LON0_DEG)})
-    out = _transverse_mercator(out)
-    return out.select(*keep, F.col("_east").alias(easting), F.col("_north").alias(northing))
-
-
-def _transverse_mercator(df: DataFrame) -> DataFrame:
-    f, d = F.col("_f"), F.col("_l")
-    lat0 = math.radians(GRID_LAT0_DEG)
-    sin, cos, tan2 = F.sin(f), F.cos(f), F.pow(F.tan(f), 2)
-    df = df.withColumns({"_s": sin, "_c": cos, "_t": tan2, "_w": 1 - AIRY_E2 * F.pow(sin, 2)})
-    df = df.withColumns({"_v": F.lit(AIRY_A * GRID_F0) / F.sqrt("_w")})
-    df = df.withColumns({"_r": F.col("_v") * (1 - AIRY_E2) / F.col("_w")})
-    df = df.withColumns({"_h": F.col("_v") / F.col("_r") - 1})
-    v, r, h, s, c, t = (F.col(n) for n in ("_v", "_r", "_h", "_s", "_c", "_t"))
+
+    def latitude(c: Column) -> Column:
+        angle = F.struct(F.atan2(c["z"] * AIRY_A, c["p"] * AIRY_B).alias("q"), c.alias("c"))
+        return _let(
+            angle,
+            lambda a: F.struct(
+                F.atan2(
+                    a["c"]["z"] + AIRY_EP2 * AIRY_B * F.pow(F.sin(a["q"]), 3),
+                    a["c"]["p"] - AIRY_E2 * AIRY_A * F.pow(F.cos(a["q"]), 3),
+                ).alias("f"),
+                a["c"]["d"].alias("d"),
+            ),
+        )
+
+    return _let(away, latitude)
+
+
+def transverse_mercator(at: Column) -> Column:
+    """Grid position of ``struct(f, d)``: latitude, and longitude from the central meridian, in radians."""
+    f = at["f"]
+    w = 1 - AIRY_E2 * F.pow(F.sin(f), 2)
+    v = F.lit(AIRY_A * GRID_F0) / F.sqrt(w)
+    terms = F.struct(
+        f.alias("f"),
+        at["d"].alias("d"),
+        F.sin(f).alias("s"),
+        F.cos(f).alias("c"),
+        F.pow(F.tan(f), 2).alias("t"),
+        v.alias("v"),
+        (v * (1 - AIRY_E2) / w).alias("r"),
+    )
+    return _let(terms, _series)
+
+
+def _series(at: Column) -> Column:
+    d, s, c, t, v, r = (at[n] for n in ("d", "s", "c", "t", "v", "r"))
+    h = v / r - 1
     c3, c5 = F.pow(c, 3), F.pow(c, 5)
     north = (
-        _meridian_arc(f, lat0)
+        _meridian_arc(at["f"], math.radians(GRID_LAT0_DEG))
         + F.pow(d, 2) * v * s * c / 2
         + F.pow(d, 4) * v * s * c3 * (5 - t + 9 * h) / 24
         + F.pow(d, 6) * v * s * c5 * (61 - 58 * t + t * t) / 720
@@ -100,7 +135,7 @@ def _transverse_mercator(df: DataFrame) -> DataFrame:
         + F.pow(d, 3) * v * c3 * (v / r - t) / 6
         + F.pow(d, 5) * v * c5 * (5 - 18 * t + t * t + 14 * h - 58 * t * h) / 120
     )
-    return df.withColumns({"_north": GRID_N0 + north, "_east": GRID_E0 + east})
+    return F.struct((GRID_E0 + east).alias("east"), (GRID_N0 + north).alias("north"))
 
 
 def _meridian_arc(lat: Column, lat0: float) -> Column:

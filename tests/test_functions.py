@@ -85,7 +85,7 @@ def test_projection_of_a_published_point(spark):
 def test_transverse_mercator_of_a_published_point(spark):
     """The worked example of the grid definition: same datum, so only the series is tested."""
     lat, lon = math.radians(_degrees(52, 39, 27.2531)), math.radians(_degrees(1, 43, 4.5177) + 2)
-    df = spark.createDataFrame([(lat, lon)], ["_f", "_l"])
-    got = national_grid._transverse_mercator(df).select("_east", "_north").first()
-    assert abs(got[0] - 651409.903) < 0.01
-    assert abs(got[1] - 313177.270) < 0.01
+    df = spark.createDataFrame([((lat, lon),)], "at struct<f:double,d:double>")
+    got = df.select(national_grid.transverse_mercator(F.col("at")).alias("g")).first().g
+    assert abs(got.east - 651409.903) < 0.01
+    assert abs(got.north - 313177.270) < 0.01

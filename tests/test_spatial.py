@@ -203,3 +203,15 @@ def test_cluster_statistics(spark):
         ("Nightlife (mean)", 3.0, 4.0),
         ("Nightlife (median)", 2.0, 4.0),
     ]
+
+
+def test_projected_points_can_feed_the_join_directly(spark):
+    """The projection stays one expression node, so plans that use its result several times stay small."""
+    from tallyward.functions.national_grid import project
+
+    pts = spark.createDataFrame([(1, -1.5, 52.5), (2, -1.4, 52.5), (3, None, 52.5)], "poi_id long, lon double, lat double")
+    placed = project(pts, easting="x", northing="y").select("poi_id", "x", "y")
+    at = placed.filter("poi_id = 1").first()
+    box = [(at.x + dx, at.y + dy) for dx, dy in ((-100, -100), (100, -100), (100, 100), (-100, 100), (-100, -100))]
+    got = spatial.match_points(placed, layer(spark, {"here": [box]}))
+    assert rows(got, "poi_id", "geo_code") == [(1, "here")]
