@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import SHIPMENT_LABELS, SHIPMENTS, using
+from tallyward.functions.numbers import row_sum
 from tallyward.operators import clustering
 from tallyward.operators.counts import count_by
+from tallyward.operators.reshape import column_range
 from tallyward.plans import trajectories as plans
 from tallyward.plans.panel import CELL
 from tallyward.plans.settings import MONTH_NAMES, study_periods
@@ -42,9 +44,6 @@ def shipment_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_BASE + " SELECT area_code, CAST(february + march + april + may + june + july + august AS BIGINT) AS total_months FROM wide")
 def trajectory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyward.functions.numbers import row_sum
-    from tallyward.operators.reshape import column_range
-
     wide = wide_of(spark, sf_dir)
     return wide.select("area_code", row_sum(column_range(wide, "february", "august")).alias("total_months"))
 
@@ -62,13 +61,13 @@ _ROUND_AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in MONTH_NAMES)
   SELECT w.*, c.traj, {_DIST} AS d, row_number() OVER (PARTITION BY w.area_code ORDER BY {_DIST}, c.traj) AS rn
   FROM wide w CROSS JOIN start c
 )
-SELECT traj AS cluster, count(*) AS size, round(sum(d), 4) AS cost, {_ROUND_AVG} FROM near WHERE rn = 1 GROUP BY traj"""
+SELECT traj AS cluster, count(*) AS size, round(sum(d), 3) AS cost, {_ROUND_AVG} FROM near WHERE rn = 1 GROUP BY traj"""
 )
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labelled_of(spark, sf_dir)
     start = labelled.groupBy(F.col("traj").alias("cluster")).agg(*[F.avg(m).alias(m) for m in MONTH_NAMES])
     out = clustering.lloyd_step(wide_of(spark, sf_dir), MONTH_NAMES, start)
-    return out.select("cluster", "size", F.round("cost", 4).alias("cost"), *[F.round(m, 6).alias(m) for m in MONTH_NAMES])
+    return out.select("cluster", "size", F.round("cost", 3).alias("cost"), *[F.round(m, 6).alias(m) for m in MONTH_NAMES])
 
 
 _WITHIN = " + ".join(f"(l.{m} - c.{m}) * (l.{m} - c.{m})" for m in MONTH_NAMES)

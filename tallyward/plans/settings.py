@@ -17,8 +17,6 @@ CITIES = {
     "Cardiff": "Cardiff",
 }
 DETACHED_AREA = "W01001940"
-LAST_TREND_MONTH = "08"
-LOCKDOWN_MARKER = 27
 
 STUDY_MONTHS = ("02", "03", "04", "05", "06", "07", "08")
 MONTH_NAMES = ("february", "march", "april", "may", "june", "july", "august")

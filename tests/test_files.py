@@ -63,6 +63,13 @@ def test_geojson_layer(spark, tmp_path):
     assert rows(got) == [("a", 2, 1.0), ("b", 2, 1.0), ("c", None, None)]
 
 
+def test_labelled_layer_as_parquet(spark, tmp_path):
+    rings = [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([("a", "[A] x", rings)], f"area_code string, traj_title string, rings {files.RING_TYPE}")
+    files.write_boundary_layer(df, str(tmp_path / "layer"))
+    assert spark.read.parquet(str(tmp_path / "layer")).first().rings[0][1].x == 1.0
+
+
 def test_point_layer(spark, tmp_path):
     features = [
         {"type": "Feature", "id": "n1", "properties": {"amenity": "pub", "name": "Inn"}, "geometry": {"type": "Point", "coordinates": [-1.5, 52.5]}},
