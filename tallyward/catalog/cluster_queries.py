@@ -14,6 +14,7 @@ from tallyward.plans import trajectories as plans
 from tallyward.plans.panel import CELL
 from tallyward.plans.settings import MONTH_NAMES, study_periods
 from tallyward.sources import role_views as views
+from tallyward.sources.staging import stage
 
 YEAR = "2000"
 K = 6
@@ -64,9 +65,9 @@ _ROUND_AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in MONTH_NAMES)
 SELECT traj AS cluster, count(*) AS size, round(sum(d), 3) AS cost, {_ROUND_AVG} FROM near WHERE rn = 1 GROUP BY traj"""
 )
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = labelled_of(spark, sf_dir)
+    labelled = stage(labelled_of(spark, sf_dir), "labelled")
     start = labelled.groupBy(F.col("traj").alias("cluster")).agg(*[F.avg(m).alias(m) for m in MONTH_NAMES])
-    out = clustering.lloyd_step(wide_of(spark, sf_dir), MONTH_NAMES, start)
+    out = clustering.lloyd_step(labelled, MONTH_NAMES, start)
     return out.select("cluster", "size", F.round("cost", 3).alias("cost"), *[F.round(m, 6).alias(m) for m in MONTH_NAMES])
 
 

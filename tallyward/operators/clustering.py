@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tallyward.functions.numbers import ratio
+from tallyward.sources.staging import stage
 
 MAX_ITERATIONS = 200
 
@@ -113,8 +114,11 @@ class Components:
 
 
 def principal_components(df: DataFrame, key: str, columns: Sequence[str]) -> Components:
-    """PCA of the standardised columns. Each component points where its largest loading is positive."""
-    vectors = with_vector(df, columns, "_raw")
+    """PCA of the standardised columns. Each component points where its largest loading is positive.
+
+    The columns are read for the scaling, for the covariances and for the scores, so they are staged first.
+    """
+    vectors = with_vector(stage(df.select(key, *columns), "components"), columns, "_raw")
     scaled = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
     model = PCA(k=len(columns), inputCol="_scaled", outputCol="_pc").fit(scaled)
     loadings = model.pc.toArray()
