@@ -106,6 +106,26 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.trajectory_clusters(wide_of(spark, sf_dir), K)
 
 
+@register(
+    _BASE
+    + f" SELECT count(*) AS n_areas, CAST({K} AS BIGINT) AS n_clusters, true AS largest_first, true AS settled FROM wide"
+)
+def kmeans_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for any k-means result: every area labelled, letters by size, one more step changes nothing."""
+    wide = stage(wide_of(spark, sf_dir), "wide")
+    labelled = stage(wide.join(plans.trajectory_clusters(wide, K).select("area_code", "traj"), "area_code"), "labelled")
+    centres = labelled.groupBy(F.col("traj").alias("cluster")).agg(*[F.avg(m).alias(m) for m in MONTH_NAMES])
+    again = clustering.lloyd_step(labelled, MONTH_NAMES, centres).select("cluster", F.col("size").alias("again"))
+    sizes = labelled.groupBy(F.col("traj").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    ordered = F.sort_array(F.collect_list(F.struct("cluster", "size")))["size"]
+    return sizes.join(again, "cluster", "left").agg(
+        F.sum("size").alias("n_areas"),
+        F.count(F.lit(1)).alias("n_clusters"),
+        (ordered == F.sort_array(ordered, asc=False)).alias("largest_first"),
+        F.every(F.coalesce(F.col("size") == F.col("again"), F.lit(False))).alias("settled"),
+    )
+
+
 @register()
 def kmeans_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.score_candidates(wide_of(spark, sf_dir), CANDIDATES)
@@ -116,6 +136,30 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.principal_components(wide_of(spark, sf_dir), "area_code", MONTH_NAMES).variance
 
 
+_ROUND_R = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wide" for a in MONTH_NAMES for b in MONTH_NAMES)
+
+
+@register(
+    _BASE
+    + f"""
+, m AS ({_ROUND_R})
+, first AS (SELECT sum(r) / 7 AS s FROM m WHERE a = b)
+, second AS (SELECT sum(r * r) / 49 AS s FROM m)
+, third AS (SELECT sum(x.r * y.r * z.r) / 343 AS s FROM m x JOIN m y ON y.a = x.b JOIN m z ON z.a = y.b AND z.b = x.a)
+SELECT CAST(7 AS BIGINT) AS n_components, round(first.s, 6) AS shares, round(second.s, 6) AS squared, round(third.s, 6) AS cubed
+FROM first, second, third"""
+)
+def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power sums of the variance shares; they equal traces of powers of the correlation matrix."""
+    v = F.col("variance_share")
+    return pca_variance(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_components"),
+        F.round(F.sum(v), 6).alias("shares"),
+        F.round(F.sum(v * v), 6).alias("squared"),
+        F.round(F.sum(v * v * v), 6).alias("cubed"),
+    )
+
+
 @register()
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.component_scores(wide_of(spark, sf_dir), views.shipment_labels(spark, sf_dir))

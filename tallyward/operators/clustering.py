@@ -16,6 +16,7 @@ from tallyward.functions.numbers import ratio
 from tallyward.sources.staging import stage
 
 MAX_ITERATIONS = 200
+STILL = 1e-9
 
 
 def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -36,7 +37,7 @@ def fit_restarts(
 ) -> dict[int, BestFit]:
     """K-means for every k with several seeds; the lowest cost wins.
 
-    Each fit is a distributed job over the cached vectors. Fits are independent, so a few run side by side.
+    A run goes on until no centre moves. Each fit is a distributed job over the cached vectors. Fits are independent, so a few run side by side.
     """
     vectors = with_vector(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -44,7 +45,7 @@ def fit_restarts(
 
         def fit(run: tuple[int, int]) -> BestFit:
             k, s = run
-            model = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, featuresCol="features").fit(vectors)
+            model = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, tol=STILL, featuresCol="features").fit(vectors)
             return BestFit(k, model.summary.trainingCost, model)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
