@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,13 +28,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tallyward/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Free the shuffle files of each execution inside as soon as it ends."""
+    before = spark.conf.get(SHUFFLE_CLEANUP_SETTING, "false")
+    spark.conf.set(SHUFFLE_CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP_SETTING, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return a scan of it.
 
     Used where a result is read several times: each later read is a columnar scan with
     pushdown instead of a recomputation of everything above it.
     """
+    return stage_at(df, fresh_path(df.sparkSession, label))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
+    """As ``stage``, at a path that the caller knows and can ``remove`` when no later step reads it."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    with shuffle_files_freed(spark):
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__
 from check import difference, duck
+from tallyward import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
