@@ -12,6 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Each module offers QUERY = (name, function) and may offer ORACLE_SQL.
 _MODULES = (
     "mixing_query",
+    "secrets_query",
+    "near_query",
+    "warc_query",
 )
 
 
