@@ -14,6 +14,7 @@ _MODULES = (
     "mixing_query",
     "secrets_query",
     "near_query",
+    "search_query",
     "warc_query",
 )
 
