@@ -15,6 +15,7 @@ _MODULES = (
     "secrets_query",
     "near_query",
     "search_query",
+    "repeats_query",
     "warc_query",
 )
 
