@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Each module offers QUERY = (name, function) and may offer ORACLE_SQL.
 _MODULES = (
+    "bytes_query",
     "mixing_query",
     "secrets_query",
     "near_query",
