@@ -16,6 +16,7 @@ _MODULES = (
     "secrets_query",
     "near_query",
     "search_query",
+    "language_query",
     "repeats_query",
     "warc_query",
 )
