@@ -16,6 +16,8 @@ _MODULES = (
     "secrets_query",
     "near_query",
     "search_query",
+    "leaks_query",
+    "tokens_query",
     "language_query",
     "repeats_query",
     "warc_query",
