@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -174,14 +175,16 @@ def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "te
     return fit(sample.column("part").to_pylist(), sample.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, net: Network | None, columns: list[str], text: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, net: Network | None, columns: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
     """``columns`` of every row with ``lang_pred`` and ``score`` (the mean probability of that language).
 
-    Null texts and texts without a letter are ``und`` with score 0. Only the text is looked at.
+    Null texts and texts without a letter are ``und`` with score 0. Only the text is looked at. ``names`` renames the new
+    columns where ``columns`` has the same.
     """
-    kinds = dict(docs.dtypes)
     rows = docs.select(*columns, F.col(text).cast("binary").alias("_text"), has_letter(F.col(text)).alias("_letter"))
-    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double"])
+    shape = StructType([*docs.select(*columns).schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         applied = Applied(net) if net else None
@@ -195,6 +198,6 @@ def predict(docs: DataFrame, net: Network | None, columns: list[str], text: str
                 for i, k in zip(known, p.argmax(axis=1)):
                     best[i] = applied.net.languages[k]
             out = [*batch.columns[: len(columns)], pa.array(best, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(out, [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(out, [*columns, *names])
 
     return rows.mapInArrow(run, shape)

@@ -11,7 +11,7 @@ from tallyward.sources.staging import stage
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc``, ``fp`` and ``component`` (smallest id of the group, itself included) of every row.
+    """``doc``, ``mark``, ``fp``, ``root`` (the group) and ``component`` (its smallest id, itself included) of every row.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get a component but name none.
     Copies meet in their fingerprint before any search, so a fingerprint takes part once however many rows have it.
@@ -22,7 +22,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     named = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stage(named, "named")
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
-    return prints.join(named.join(least, "root").select("fp", "component"), "fp")
+    return prints.join(named.join(least, "root").select("fp", "root", "component"), "fp")
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

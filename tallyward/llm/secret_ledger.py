@@ -162,3 +162,21 @@ def report(paths: DataFrame, findings: DataFrame, rule_set: RuleSet = BASE_RULES
     found = paths.join(spans_by_blob(findings, rule_set), "blob", "left")
     counts = [F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in rule_set.kinds]
     return found.select("path", "blob", *counts, F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def redacted(docs: DataFrame, findings: DataFrame, text: str = "text", rule_set: RuleSet = BASE_RULES) -> DataFrame:
+    """``docs`` with each found span (overlapping ones as one) replaced by its kind in square brackets."""
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "kind")))
+    found = findings.filter(F.col("rule_version") == rule_set.version).groupBy("blob").agg(spans.alias("_spans"))
+    found = found.withColumnRenamed("blob", "_blob").hint("shuffle_hash")
+    joined = docs.withColumn("_of", F.sha2(text, 256)).join(found, F.col("_of") == F.col("_blob"), "left")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(done: Column, s: Column) -> Column:
+        before = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
+        mark = F.when(s["start"] >= done["at"], F.concat(before, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.concat(done["out"], mark).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    rest = lambda done: F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    whole = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.aggregate("_spans", start, step, rest))
+    return joined.withColumn(text, whole).select(docs.columns)

@@ -41,13 +41,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``doc`` (the id) and ``fp`` (long, the 64 bits) of each row; null text counts as empty."""
+    """``doc`` (the id), ``mark`` (a hash of the text, which tells rows of one id apart) and ``fp`` (long, the 64 bits) of
+    each row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (x.as_py() or b"" for x in batch.column("text"))
             bits = np.fromiter((fingerprint(shingle_hashes(t, k)) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bits.view(np.int64))], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(bits.view(np.int64))], ["doc", "mark", "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc_id]}, fp long")
+    mark = F.hash(F.coalesce(F.col(text), F.lit(""))).alias("mark")
+    rows = docs.select(F.col(doc_id).alias("doc"), mark, F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc_id]}, mark int, fp long")
