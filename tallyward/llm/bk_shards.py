@@ -70,7 +70,8 @@ class BKTree:
 
 
 def local_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, first value of its group) for the groups that links within the radius form among distinct values."""
+    """(value, first value of its group) for the groups that links within the radius form among distinct values,
+    given without a sign: a negative number would be counted by the bits of its magnitude."""
     tree, parent = BKTree(), list(range(len(values)))
 
     def top(i: int) -> int:
@@ -90,8 +91,8 @@ def local_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shards: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = [p for s in shards if len(s) > 1 for p in local_links(s.tolist(), radius)]
-            ends = np.array(pairs, np.int64).reshape(-1, 2)
+            pairs = [p for s in shards if len(s) > 1 for p in local_links(s.view(np.uint64).tolist(), radius)]
+            ends = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         rest, rest_key = np.empty(0, np.int64), None

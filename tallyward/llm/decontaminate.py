@@ -84,16 +84,18 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, doc_id: s
     """
     classes = stage(item_classes(items), "items")
     sizes = [r[0] for r in classes.select(F.least(F.size("tokens"), F.lit(SHINGLE)).alias("k")).distinct().collect()]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
+    # A struct with a null id equals another such, so null ids need no care in joins.
+    doc = F.struct(F.col(doc_id).alias("doc_id")).alias("doc")
+    rows = docs.select(doc, F.hash(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
     found = [_leaks_of_size(rows, classes.filter(F.least(F.size("tokens"), F.lit(SHINGLE)) == k), k, similar) for k in sorted(sizes)]
     if not found:
-        empty = rows.select("doc_id", "mark", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance"))
+        empty = rows.select("doc.doc_id", "mark", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance"))
         return empty.join(items.select(F.col("item_id")), F.lit(False)).limit(0)
     best = F.max(F.struct("similarity", -F.col("start"), "n_words", "distance")).alias("best")
-    pairs = reduce(DataFrame.union, found).groupBy("doc_id", "mark", "item").agg(best)
+    pairs = reduce(DataFrame.union, found).groupBy("doc", "mark", "item").agg(best)
     named = pairs.join(classes.select("item", F.explode("ids").alias("item_id")), "item")
     start = (-F.col("best")["col2"]).alias("start")
-    return named.select("doc_id", "mark", "item_id", start, "best.n_words", "best.similarity", "best.distance")
+    return named.select("doc.doc_id", "mark", "item_id", start, "best.n_words", "best.similarity", "best.distance")
 
 
 def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float) -> DataFrame:
@@ -102,7 +104,7 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     own = stage(hashed.select("item", "n", "n_words", F.explode("hashes").alias("h")), "item-shingles")
     known = stage(own.groupBy("h").agg(F.count("*").alias("uses")), "known")
     blocks = max(1, -(-known.count() // MOST_BROADCAST))
-    each = tokens_of(rows).select("doc_id", "mark", F.posexplode(shingles(F.col("tokens"), k)).alias("pos", "h"))
+    each = tokens_of(rows).select("doc", "mark", F.posexplode(shingles(F.col("tokens"), k)).alias("pos", "h"))
     hits = None
     for b in range(blocks):  # a block has at most about MOST_BROADCAST rows
         part = F.broadcast(known.filter(F.pmod("h", F.lit(blocks)) == b).select("h"))
@@ -113,22 +115,21 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     # Windows with enough hits, from the sorted places of an item's shingles in a document.
     need = F.ceil(F.col("n") * (2 * similar / (1 + similar)) - 1e-9).cast("int")
     sizes = own.select("item", "n", "n_words", "h").distinct()
-    places = hits.join(sizes, "h").groupBy("doc_id", "mark", "item", "n", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    places = hits.join(sizes, "h").groupBy("doc", "mark", "item", "n", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     places = places.withColumn("need", F.greatest(need, F.lit(1))).filter("size(at) >= need")
     span = "transform(sequence(need - 1, size(at) - 1), i -> struct(greatest(at[i] - n + 1, 0) AS a, at[i - need + 1] AS b))"
     ranges = places.withColumn("r", F.explode(F.expr(span))).filter("r.a <= r.b")
-    windows = ranges.select("doc_id", "mark", "item", "n", "n_words", F.explode(F.sequence("r.a", "r.b")).alias("start")).distinct()
+    windows = ranges.select("doc", "mark", "item", "n", "n_words", F.explode(F.sequence("r.a", "r.b")).alias("start")).distinct()
     windows = stage(windows, "windows")
 
     # Candidate documents' shingles; the windows are hashed, texts stream past them.
-    wanted = windows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item", "n", "n_words", "start")).alias("w"))
-    wanted = wanted.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"}).hint("shuffle_hash")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["mark"] == wanted["_mark"]))
-    texts = tokens_of(texts).select("doc_id", "mark", shingles(F.col("tokens"), k).alias("hashes"), "w")
-    cut = texts.select("doc_id", "mark", F.explode("w").alias("w"), "hashes").filter("w.start + w.n <= size(hashes)")
-    cut = cut.select("doc_id", "mark", "w.*", F.slice("hashes", F.col("w.start") + 1, F.col("w.n")).alias("hashes"))
-    cut = stage(cut.dropDuplicates(["doc_id", "mark", "item", "start"]), "cut")
-    keys = ["doc_id", "mark", "item", "start"]
+    wanted = windows.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", "n", "n_words", "start")).alias("w"))
+    texts = rows.join(wanted.hint("shuffle_hash"), ["doc", "mark"])
+    texts = tokens_of(texts).select("doc", "mark", shingles(F.col("tokens"), k).alias("hashes"), "w")
+    cut = texts.select("doc", "mark", F.explode("w").alias("w"), "hashes").filter("w.start + w.n <= size(hashes)")
+    cut = cut.select("doc", "mark", "w.*", F.slice("hashes", F.col("w.start") + 1, F.col("w.n")).alias("hashes"))
+    cut = stage(cut.dropDuplicates(["doc", "mark", "item", "start"]), "cut")
+    keys = ["doc", "mark", "item", "start"]
     prints = simhash(cut.select(*keys, F.explode("hashes").alias("h")), keys)
     item_prints = simhash(own, ["item"])
 
@@ -148,5 +149,5 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     both = counts.join(item_counts, ["item", "h"]).groupBy(*keys, "n", "n_words", "distance").agg(F.sum(F.least("c", "d")).alias("same"))
     similarity = F.col("same") / (2 * F.col("n") - F.col("same"))
     return both.withColumn("similarity", similarity).filter(F.col("similarity") >= similar).select(
-        "doc_id", "mark", "item", "start", "n_words", "similarity", "distance"
+        "doc", "mark", "item", "start", "n_words", "similarity", "distance"
     )
