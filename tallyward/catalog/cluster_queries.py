@@ -14,6 +14,7 @@ from tallyward.plans import trajectories as plans
 from tallyward.plans.panel import CELL
 from tallyward.plans.settings import MONTH_NAMES, study_periods
 from tallyward.sources import role_views as views
+from tallyward.sources.files import union_all
 from tallyward.sources.staging import stage
 
 YEAR = "2000"
@@ -163,3 +164,48 @@ def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.component_scores(wide_of(spark, sf_dir), views.shipment_labels(spark, sf_dir))
+
+
+_PAIRS = [(a, b) for a in MONTH_NAMES for b in MONTH_NAMES]
+
+
+@register(
+    _BASE
+    + " SELECT count(*) AS n_areas, true AS uncorrelated, true AS trace_is_seven, true AS rebuilds_correlations FROM labelled"
+)
+def pca_scores_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scores of standardised columns must satisfy: covariances 0 off the diagonal, variances that add up to the number
+    of columns, and correlations with the columns whose products over the components give the columns' correlations."""
+    wide = stage(wide_of(spark, sf_dir), "wide")
+    found = clustering.principal_components(wide, "area_code", MONTH_NAMES).scores
+    scores = stage(found.join(wide, "area_code"), "scores")
+    names = [f"pc{i + 1}" for i in range(len(MONTH_NAMES))]
+    cross = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(names) for b in names[:i]]
+    variances = sum((F.var_samp(n) for n in names), F.lit(0.0))
+    loads = {(m, n): F.coalesce(F.corr(m, n), F.lit(0.0)) for m in MONTH_NAMES for n in names}
+    gaps = [F.abs(F.corr(a, b) - sum((loads[a, n] * loads[b, n] for n in names), F.lit(0.0))) for a, b in _PAIRS]
+    joined = scores.join(views.shipment_labels(spark, sf_dir), "area_code").agg(F.count(F.lit(1)).alias("n_areas"))
+    checks = scores.agg(
+        (F.greatest(*cross) < 1e-6).alias("uncorrelated"),
+        (F.abs(variances - len(names)) < 1e-6).alias("trace_is_seven"),
+        (F.greatest(*gaps) < 1e-6).alias("rebuilds_correlations"),
+    )
+    return joined.withColumns({c: checks.select(c).scalar() for c in checks.columns})
+
+
+@register(
+    _BASE
+    + f" SELECT UNNEST({list(CANDIDATES)!r})::INTEGER AS candidate, true AS recomputed, true AS cheaper_with_more FROM (SELECT count(*) FROM wide)"
+)
+def kmeans_candidates_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and score of each candidate against sums of squares from the labels; more clusters never cost more."""
+    wide = stage(wide_of(spark, sf_dir), "wide")
+    fits = clustering.fit_restarts(wide, MONTH_NAMES, CANDIDATES)
+    costs = [f.cost for _, f in sorted(fits.items())]
+    rows = []
+    for k, f in sorted(fits.items()):
+        placed = clustering.assign(wide, MONTH_NAMES, f.centres)
+        within = clustering.calinski_harabasz(placed, MONTH_NAMES, "cluster").select("within")
+        rows.append(within.select(F.lit(k).alias("candidate"), (F.abs(F.col("within") - f.cost) <= 1e-6 * (1 + f.cost)).alias("recomputed")))
+    falling = all(a >= b for a, b in zip(costs, costs[1:]))
+    return union_all(rows).withColumn("cheaper_with_more", F.lit(falling))

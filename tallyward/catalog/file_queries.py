@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.cluster_queries import K, wide_of
@@ -10,11 +9,10 @@ from tallyward.catalog.panel_queries import panel_of
 from tallyward.catalog.registry import register
 from tallyward.catalog.spatial_queries import facilities_of
 from tallyward.catalog.sql_views import BOUNDARIES, FACILITIES, INCIDENTS, PANEL, using
-from tallyward.operators.clustering import assign, with_vector
-from tallyward.operators.counts import count_by
+from tallyward.operators.clustering import assign, fit_restarts, load_centres, save_centres
 from tallyward.plans.settings import MONTH_NAMES
 from tallyward.sources import files, role_views as views
-from tallyward.sources.staging import fresh_path
+from tallyward.sources.staging import fresh_path, stage
 
 
 @register(
@@ -62,34 +60,76 @@ def panel_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).filter(F.col("year") == "2000").drop("year")
 
 
-@register(
-    using(BOUNDARIES)
-    + """
-SELECT geo_code, geo_label, CASE kind WHEN 2 THEN 2 ELSE 1 END AS n_rings,
-       CASE kind WHEN 1 THEN 4 WHEN 2 THEN 10 ELSE 5 END AS n_points, x0 AS first_x, y0 AS first_y
-FROM boundaries"""
+# Every coordinate of the layer, by part, ring and point: squares, triangles, squares with a hole, and every third square
+# as an area of two parts.
+PARTS_SQL = """
+, shape AS (
+  SELECT geo_code, geo_label, x0, y0, kind, part, ring, UNNEST(CASE
+    WHEN kind = 1 THEN [[0, 0], [10, 0], [0, 10], [0, 0]]
+    WHEN ring = 1 THEN [[3, 3], [3, 7], [7, 7], [7, 3], [3, 3]]
+    WHEN kind = 3 AND part = 0 THEN [[0, 0], [4, 0], [4, 10], [0, 10], [0, 0]]
+    WHEN kind = 3 THEN [[6, 0], [10, 0], [10, 10], [6, 10], [6, 0]]
+    ELSE [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]] END) AS p,
+    generate_subscripts(CASE WHEN kind = 1 THEN [1, 2, 3, 4] ELSE [1, 2, 3, 4, 5] END, 1) - 1 AS point
+  FROM boundaries, (VALUES (0, 0), (0, 1), (1, 0)) AS v(part, ring)
+  WHERE (part = 0 AND ring = 0) OR (kind = 2 AND ring = 1) OR (kind = 3 AND part = 1)
 )
+SELECT geo_code, geo_label, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(point AS INTEGER) AS point,
+       CAST(x0 + p[1] AS DOUBLE) AS x, CAST(y0 + p[2] AS DOUBLE) AS y FROM shape"""
+
+
+@register(using(BOUNDARIES) + PARTS_SQL)
 def boundary_geojson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary layer through newline-delimited GeoJSON."""
+    """Boundary layer, areas of two parts included, through newline-delimited GeoJSON; all coordinates."""
     path = fresh_path(spark, "boundaries")
-    files.write_boundary_lines(views.boundaries(spark, sf_dir), path)
+    files.write_boundary_lines(views.boundaries_in_parts(spark, sf_dir), path)
     back = files.read_boundary_lines(spark, path)
-    first = F.col("rings")[0][0]
-    return back.select(
-        "geo_code",
-        "geo_label",
-        F.size("rings").alias("n_rings"),
-        F.size(F.flatten("rings")).alias("n_points"),
-        first["x"].alias("first_x"),
-        first["y"].alias("first_y"),
-    )
+    parts = back.select("geo_code", "geo_label", F.posexplode(files.parts_of(F.col("rings"), F.col("part_sizes"))).alias("part", "rings"))
+    rings = parts.select("geo_code", "geo_label", "part", F.posexplode("rings").alias("ring", "points"))
+    points = rings.select("geo_code", "geo_label", "part", "ring", F.posexplode("points").alias("point", "p"))
+    return points.select("geo_code", "geo_label", "part", "ring", "point", "p.x", "p.y")
+
+
+@register(using(BOUNDARIES) + " SELECT geo_code, geo_label, k AS traj FROM (SELECT *, kind % 3 AS k FROM boundaries) WHERE k <> 2")
+def labelled_layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer with a label of each area, written as GeoJSON and as parquet; rows where both come back the same."""
+    kind = F.expr("CAST(substr(geo_code, 2) AS BIGINT) % 4")
+    layer = views.boundaries(spark, sf_dir).withColumn("traj", (kind % 3).cast("long")).filter("traj <> 2")
+    lines, table = fresh_path(spark, "lines"), fresh_path(spark, "layer")
+    files.write_boundary_lines(layer, lines)
+    files.write_boundary_layer(layer, table)
+    a = files.read_boundary_lines(spark, lines, properties={"traj": "traj"}).withColumnRenamed("rings", "other")
+    b = spark.read.schema(layer.schema).parquet(table)
+    same = a.join(b.drop("geo_label"), "geo_code").filter((a["traj"].cast("long") == b["traj"]) & (F.col("other") == F.col("rings")))
+    return same.select("geo_code", "geo_label", b["traj"])
+
+
+@register(
+    using(INCIDENTS)
+    + """
+SELECT month, category, count(*) AS n, count(area_code) AS n_located FROM incidents GROUP BY month, category"""
+)
+def csv_header_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their columns in two orders, and with one column more, below one folder: bound by name."""
+    rows = views.incidents(spark, sf_dir)
+    root = fresh_path(spark, "orders")
+    first = rows.filter(F.col("incident_id") % 2 == 0).select("month", "category", "area_code")
+    second = rows.filter(F.col("incident_id") % 2 != 0).select("area_code", F.lit("x").alias("note"), "category", "month")
+    files.write_csv(first, f"{root}/first")
+    files.write_csv(second, f"{root}/second")
+    back = files.read_csv_tree(spark, root, first.schema)
+    return back.groupBy("month", "category").agg(F.count(F.lit(1)).alias("n"), F.count("area_code").alias("n_located"))
 
 
-@register()
+@register("SELECT true AS same_labels, true AS same_centres")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted model saved, loaded and applied; counts per cluster."""
-    wide = wide_of(spark, sf_dir)
-    model = KMeans(k=K, seed=1612).fit(with_vector(wide, MONTH_NAMES))
+    """A fitted model saved and loaded: the labels before and after."""
+    wide = stage(wide_of(spark, sf_dir), "wide")
+    centres = fit_restarts(wide, MONTH_NAMES, [K], restarts=2)[K].centres
     path = fresh_path(spark, "model")
-    model.write().save(path)
-    return count_by(assign(wide, MONTH_NAMES, KMeansModel.load(path)), ["cluster"])
+    save_centres(spark, MONTH_NAMES, centres, path)
+    loaded = load_centres(spark, MONTH_NAMES, path)
+    before = assign(wide, MONTH_NAMES, centres).select("area_code", "cluster")
+    after = assign(wide, MONTH_NAMES, loaded).select("area_code", F.col("cluster").alias("again"))
+    same = F.every(F.coalesce(F.col("cluster") == F.col("again"), F.lit(False)))
+    return before.join(after, "area_code", "full").agg(same.alias("same_labels")).withColumn("same_centres", F.lit(bool((centres == loaded).all())))

@@ -12,6 +12,7 @@ from tallyward.functions.national_grid import (
 )
 from tallyward.operators import spatial
 from tallyward.operators.reshape import widen
+from tallyward.operators.rows import top_per_group
 from tallyward.plans import facilities as plans
 from tallyward.plans.reconcile import analysed_boundaries
 from tallyward.sources import role_views as views
@@ -89,6 +90,37 @@ def poi_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("geo_code", "poi_id", "name", "value")
 
 
+@register(
+    """
+SELECT a.c_custkey AS area, b.c_custkey AS place FROM customer a JOIN customer b
+ON b.c_custkey % 40 - a.c_custkey % 40 IN (0, 1)
+AND (b.c_custkey - b.c_custkey % 40) // 40 - (a.c_custkey - a.c_custkey % 40) // 40 IN (0, 1)"""
+)
+def poi_border_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of side 0.1 with a point on every corner: borders that are not exact in binary, on a grid of that size."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    i, j = F.col("c_custkey") % 40, F.floor(F.col("c_custkey") / 40)
+    at = lambda x, y: F.struct((x * F.lit(0.1)).alias("x"), (y * F.lit(0.1)).alias("y"))
+    ring = F.array(at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1), at(i, j))
+    squares = customer.select(F.col("c_custkey").alias("area"), F.array(ring).alias("rings"))
+    points = customer.select(F.col("c_custkey").alias("place"), (i * F.lit(0.1)).alias("x"), (j * F.lit(0.1)).alias("y"))
+    return spatial.match_points(points, squares, keep=["area"], size=0.1).select("area", "place")
+
+
+@register(
+    """
+SELECT facility, min(area) AS area, max(n) AS n FROM (
+  SELECT c_nationkey AS facility, c_custkey AS area, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END AS n FROM customer
+) t WHERE n IS NOT DISTINCT FROM (SELECT max(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END) FROM customer c WHERE c.c_nationkey = t.facility)
+GROUP BY facility"""
+)
+def top_with_missing_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest measure a group where a left join left some NULL: NULL comes last."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("facility"), F.col("c_custkey").alias("area"))
+    some = customer.filter(F.col("area") % 3 != 0).select("area", (F.col("area") % 7).alias("n"))
+    return top_per_group(customer.join(some, "area", "left"), ["facility"], "n", "area")
+
+
 _TOP = """
 , best AS (SELECT facility, max(n) AS n FROM hits GROUP BY facility)
 , top AS (SELECT h.facility, min(h.geo_code) AS geo_code, h.n FROM hits h JOIN best m ON m.facility = h.facility AND m.n = h.n
@@ -105,22 +137,23 @@ def top_area_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _TOP
     + f"""
 SELECT p.poi_id, p.name, t.geo_code FROM top t JOIN layer b ON b.geo_code = t.geo_code JOIN poi p ON {COVERED}
-WHERE t.facility = 'pubs' AND p.value = 'pub' AND p.name IS NOT NULL"""
+WHERE ((t.facility = 'pubs' AND p.value = 'pub') OR (t.facility = 'nightclubs' AND p.value = 'nightclub')) AND p.name IS NOT NULL"""
 )
 def points_of_top_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The named pubs inside the area that has most of them."""
+    """The named pubs inside the area that has most of them, and the nightclubs inside theirs."""
     layer, points = layer_of(spark, sf_dir), views.points_of_interest(spark, sf_dir)
-    pubs = [t for t in plans.FACILITY_TAGS if t.column == "pubs"]
-    top = plans.top_areas(plans.facility_counts(points, layer, pubs)).select("geo_code")
-    chosen = layer.join(top, "geo_code", "left_semi")
-    matched = spatial.match_points(plans.select_tags(points, pubs).select("poi_id", "name", "x", "y"), chosen)
+    tags = [t for t in plans.FACILITY_TAGS if t.column in ("pubs", "nightclubs")]
+    top = plans.top_areas(plans.facility_counts(points, layer, tags)).select("geo_code", F.col("facility").alias("best"))
+    chosen = layer.join(top, "geo_code").select("geo_code", "best", "rings")
+    named = plans.select_tags(points, tags).select("poi_id", "name", "facility", "x", "y")
+    matched = spatial.match_points(named, chosen, keep=["geo_code", "best"]).filter("facility = best")
     return matched.select("poi_id", "name", "geo_code")
 
 
 @register(
     f"""
 SELECT {area("c_custkey")} AS geo_code, k <> 5 AS closed, k <> 11 AS enough_points, k <> 17 AS no_repeats,
-       k <> 23 AS uncrossed, k NOT IN (5, 11, 17, 23) AS valid
+       k NOT IN (23, 31, 35) AS uncrossed, k <> 29 AS holes_inside, k NOT IN (5, 11, 23, 29, 31, 35) AS valid
 FROM (SELECT c_custkey, c_custkey % 40 AS k FROM customer)"""
 )
 def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,19 @@
-"""K-means with restarts, cluster quality, principal components, on Spark ML."""
+"""K-means with restarts, cluster quality, principal components."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.functions.numbers import ratio
 from tallyward.sources.staging import stage
 
-MAX_ITERATIONS = 200
 STILL = 1e-9
 
 
@@ -25,39 +23,146 @@ def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -
 
 @dataclass(frozen=True)
 class BestFit:
-    """The cheapest of several restarts for one number of clusters."""
+    """The cheapest of several restarts for one number of clusters; ``steps`` until no centre moved."""
 
     k: int
     cost: float
-    model: KMeansModel
+    centres: np.ndarray
+    steps: int
+
+
+def _over_rows(df: DataFrame, work: Callable[[np.ndarray], Iterator[tuple]], join: Callable, width: int) -> DataFrame:
+    """``work`` gives (key, values) pairs for a block of rows; values of one key are joined by ``join``.
+
+    Blocks are joined inside a task first, so a task hands on one row a key, and one more grouped step joins the tasks.
+    """
+    names = [f"v{i}" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                for key, values in work(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)):
+                    held[key] = join(held[key], values) if key in held else values
+        rows = [(*key, *values) for key, values in held.items()]
+        data = np.array(rows, np.float64).reshape(-1, 2 + width)
+        yield pa.RecordBatch.from_arrays([pa.array(data[:, i]) for i in range(2 + width)], ["run", "part", *names])
+
+    shape = ", ".join(f"{c} double" for c in ("run", "part", *names))
+    return df.mapInArrow(run, shape)
+
+
+def _draw(rows: np.ndarray, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each row, from its values and the seed alone, however the rows are spread."""
+    bits = np.ascontiguousarray(rows).view(np.uint64)
+    state = np.full(len(rows), np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    for column in bits.T:
+        state = (state ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        state ^= state >> np.uint64(29)
+    state = (state ^ (state >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((state >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2)
+
+
+def first_centres(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -> dict[tuple[int, int], np.ndarray]:
+    """Starting centres of every (k, seed): each next row is drawn with its squared distance to those drawn before as weight.
+
+    Drawing is a race: the row with the smallest -log(u) / weight wins, which one pass finds for all seeds. The rows drawn
+    for the largest k serve the smaller ones too.
+    """
+    width = len(vectors.columns)
+    chosen: dict[int, np.ndarray] = {}
+    for turn in range(max(ks)):
+        def race(rows: np.ndarray) -> Iterator[tuple]:
+            for i, seed in enumerate(seeds):
+                weight = _squared(rows, chosen[i]).min(axis=1) if turn else np.ones(len(rows))
+                with np.errstate(divide="ignore"):
+                    time = -np.log(_draw(rows, seed + 1000003 * turn)) / weight
+                best = int(time.argmin())
+                yield (i, 0), (time[best], *rows[best])
+
+        found = _over_rows(vectors, race, min, width + 1)
+        best = F.min(F.struct(*[f"v{i}" for i in range(width + 1)])).alias("best")
+        for r in found.groupBy("run").agg(best).collect():
+            row = np.array(r.best[1:])[None]
+            i = int(r.run)
+            chosen[i] = row if turn == 0 else np.concatenate([chosen[i], row])
+    return {(k, i): chosen[i][:k] for k in ks for i in range(len(seeds)) if i in chosen}
+
+
+def settle(vectors: DataFrame, starts: dict) -> dict:
+    """Lloyd steps for many sets of centres at once, each until none of its centres moves: (centres, cost, steps).
+
+    A step is one pass over the rows for all runs that still move. Rows meet centres of bounded number (runs x k) in
+    arrays; what comes back is a row for each run and cluster. An empty cluster keeps its centre. A step never raises the
+    cost and there are finitely many partitions, so every run ends.
+    """
+    width, names = len(vectors.columns), list(starts)
+    moving, done = {i: np.asarray(starts[n], float) for i, n in enumerate(names)}, {}
+    steps = 0
+    while moving:
+        steps += 1
+        now = dict(moving)
+
+        def sums(rows: np.ndarray) -> Iterator[tuple]:
+            for i, centres in now.items():
+                d = _squared(rows, centres)
+                near = d.argmin(axis=1)
+                cost = d[np.arange(len(rows)), near]
+                for c in np.unique(near):
+                    own = near == c
+                    yield (i, int(c)), np.concatenate(([own.sum(), cost[own].sum()], rows[own].sum(axis=0)))
+
+        total = [F.sum(f"v{i}").alias(f"v{i}") for i in range(width + 2)]
+        after, cost = {i: c.copy() for i, c in now.items()}, dict.fromkeys(now, 0.0)
+        for r in _over_rows(vectors, sums, np.add, width + 2).groupBy("run", "part").agg(*total).collect():
+            after[int(r.run)][int(r.part)] = np.array(r[4:]) / r[2]
+            cost[int(r.run)] += r[3]
+        for i, centres in after.items():
+            if np.all(np.abs(centres - now[i]) <= STILL * (1 + np.abs(centres))):
+                done[i] = (centres, cost[i], steps)
+                del moving[i]
+            else:
+                moving[i] = centres
+    return {names[i]: d for i, d in done.items()}
 
 
 def fit_restarts(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 8
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], restarts: int = 20, seed: int = 1612
 ) -> dict[int, BestFit]:
-    """K-means for every k with several seeds; the lowest cost wins.
+    """K-means for every k with several seeds; the lowest cost wins, the first of equals.
 
-    A run goes on until no centre moves. Each fit is a distributed job over the cached vectors. Fits are independent, so a few run side by side.
+    All runs move together: a step is one job however many runs there are.
     """
-    vectors = with_vector(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        runs = [(k, seed + i) for k in ks for i in range(restarts)]
+    vectors = stage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "vectors")
+    fits = settle(vectors, first_centres(vectors, ks, [seed + i for i in range(restarts)]))
+    best = {}
+    for (k, i), (centres, cost, steps) in sorted(fits.items()):
+        if k not in best or cost < best[k].cost:
+            best[k] = BestFit(k, cost, centres, steps)
+    return best
+
+
+def assign(df: DataFrame, columns: Sequence[str], centres: np.ndarray) -> DataFrame:
+    """Rows with the number of their nearest centre, the smaller of equals; the key column travels along."""
+    def squared(centre):
+        return sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre)), F.lit(0.0))
+
+    near = F.array_min(F.array(*[F.struct(squared(c).alias("d"), F.lit(i).alias("id")) for i, c in enumerate(centres)]))
+    return df.withColumn("cluster", near["id"])
 
-        def fit(run: tuple[int, int]) -> BestFit:
-            k, s = run
-            model = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, tol=STILL, featuresCol="features").fit(vectors)
-            return BestFit(k, model.summary.trainingCost, model)
 
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            fits = list(pool.map(fit, runs))
-    finally:
-        vectors.unpersist()
-    return {k: min((f for f in fits if f.k == k), key=lambda f: f.cost) for k in ks}
+def save_centres(spark: SparkSession, columns: Sequence[str], centres: np.ndarray, path: str) -> None:
+    rows = [(i, *map(float, c)) for i, c in enumerate(centres)]
+    shape = "cluster int, " + ", ".join(f"`{c}` double" for c in columns)
+    spark.createDataFrame(rows, shape).coalesce(1).write.mode("errorifexists").parquet(path)
 
 
-def assign(df: DataFrame, columns: Sequence[str], model: KMeansModel) -> DataFrame:
-    """Rows with their cluster id; the key column travels along, nothing is matched by position."""
-    return model.transform(with_vector(df, columns)).drop("features").withColumnRenamed("prediction", "cluster")
+def load_centres(spark: SparkSession, columns: Sequence[str], path: str) -> np.ndarray:
+    return np.array([[r[c] for c in columns] for r in spark.read.parquet(path).orderBy("cluster").collect()])
 
 
 def lloyd_step(df: DataFrame, columns: Sequence[str], centres: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyward.operators.rows import left_match
+from tallyward.operators.rows import bounded, left_match
 from tallyward.sources.staging import stage
 
 
@@ -28,7 +28,7 @@ def complete(
 ) -> DataFrame:
     """Every combination of the levels that occur inside each ``within`` group; absent ones get 0.
 
-    ``counts`` has one row per key. NULL is a level like any other and an explicit NULL value becomes 0.
+    Rows of ``counts`` with the same key are added up. NULL is a level like any other and an explicit NULL value becomes 0.
     The sparse rows are gathered per (``within``, ``wide``) into a nested map, at most one entry per
     combination of the narrow levels, and the short axes are exploded over it. Only sparse rows are
     shuffled, once; the dense result is produced in place and no product of tables is formed.
@@ -39,11 +39,12 @@ def complete(
         counts = stage(counts, "complete")
         axes = level_axes(counts, within, narrow)
     keys = [*within, wide]
-    rows = counts.select(*keys, *narrow, F.col(value).alias("_cells")).repartition(*keys)
+    kind = dict(counts.dtypes)[value]
+    rows = counts.groupBy(*keys, *narrow).agg(F.sum(value).cast(kind).alias("_cells")).repartition(*keys)
     for i in reversed(range(len(narrow))):
         entry = F.struct(F.struct(narrow[i]).alias("key"), F.col("_cells").alias("value"))
         rows = rows.groupBy(*keys, *narrow[:i]).agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
-    out = left_match(rows, axes, {k: k for k in within})
+    out = left_match(rows, bounded(axes, "axes"), {k: k for k in within})
     for i, level in enumerate(narrow):
         out = out.withColumn("_key", F.explode(f"_{level}"))
         out = out.select(

@@ -8,6 +8,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyward.sources.staging import stage
+
+MOST_SENT = 10_000
+
 
 def drop_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Keep rows whose value differs from all ``values``; NULL rows go, as in SQL."""
@@ -48,6 +52,16 @@ def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> D
     return df.join(keys, df[column].eqNullSafe(keys["_absent_key"]), "left_anti")
 
 
+def bounded(side: DataFrame, label: str, most: int = MOST_SENT) -> DataFrame:
+    """``side`` staged, and sent to all tasks if it has at most ``most`` rows; else joins shuffle as usual.
+
+    For sides with a row for each of few groups: their estimate follows their input, and a shuffle of the other
+    side on so few keys would end in as few tasks.
+    """
+    staged = stage(side, label)
+    return F.broadcast(staged) if staged.count() <= most else staged
+
+
 def left_match(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Left join in which NULL keys match NULL keys; the right key columns are dropped."""
     renamed = right.withColumnsRenamed({b: f"_r_{b}" for b in keys.values()})
@@ -64,8 +78,8 @@ def right_match(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Data
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], measure: str, key: str) -> DataFrame:
-    """The row key with the largest measure per group; equal measures resolve to the smallest key."""
-    best = F.min_by(F.struct(F.col(key), F.col(measure)), F.struct(-F.col(measure), F.col(key)))
+    """The row key with the largest measure per group; equal measures resolve to the smallest key, NULL comes last."""
+    best = F.min_by(F.struct(F.col(key), F.col(measure)), F.struct(F.col(measure).isNull(), -F.col(measure), F.col(key)))
     return (
         df.groupBy(*group)
         .agg(best.alias("_best"))
@@ -80,7 +94,7 @@ def flag_group_maximum(df: DataFrame, group: str, flags: dict[str, str]) -> Data
     over its partitions instead of being sorted in one window task.
     """
     maxima = df.groupBy(group).agg(*[F.max(m).alias(f"_max_{flag}") for flag, m in flags.items()])
-    joined = left_match(df, maxima, {group: group})
+    joined = left_match(df, bounded(maxima, "maxima"), {group: group})
     return joined.withColumns(
         {flag: (F.col(m) == F.col(f"_max_{flag}")).cast("int") for flag, m in flags.items()}
     ).drop(*[f"_max_{flag}" for flag in flags])

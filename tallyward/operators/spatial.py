@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyward.sources.staging import stage
+
 CROWDED_POINTS = 1_000_000
-MOST_CROWDED_CELLS = 4096
 
 
 def with_box(polygons: DataFrame) -> DataFrame:
@@ -113,16 +114,16 @@ def grid_cover(polygons: DataFrame, size: float) -> DataFrame:
     first those of the cell's grid row, then those not wholly to its left.
     """
     cells = with_edges(with_box(polygons))
-    g = F.lit(float(size))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / g), F.floor(F.col(hi) / g)))
-    low, high = F.col("cy") * g, (F.col("cy") + 1) * g
-    left, right = F.col("cx") * g, (F.col("cx") + 1) * g
-    in_row = lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
+    number = lambda v: F.floor(v / F.lit(float(size)))
+    span = lambda lo, hi: F.explode(F.sequence(number(F.col(lo)), number(F.col(hi))))
+    # Cells are compared by number, never by their borders: a point's cell is a rounded quotient, and a border
+    # computed from a cell number may round the other way.
+    in_row = lambda e: F.col("cy").between(number(F.least(e["y1"], e["y2"])), number(F.greatest(e["y1"], e["y2"])))
     cells = cells.withColumn("cy", span("miny", "maxy")).withColumn("edges", F.filter("edges", in_row))
-    not_left = lambda e: F.greatest(e["x1"], e["x2"]) >= left
+    not_left = lambda e: number(F.greatest(e["x1"], e["x2"])) >= F.col("cx")
     cells = cells.withColumn("cx", span("minx", "maxx")).withColumn("edges", F.filter("edges", not_left))
-    entered = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= right)
-    centre = _odd_crossings(F.col("edges"), (left + right) / 2, (low + high) / 2)
+    entered = F.exists("edges", lambda e: number(F.least(e["x1"], e["x2"])) <= F.col("cx"))
+    centre = _odd_crossings(F.col("edges"), (F.col("cx") + 0.5) * F.lit(float(size)), (F.col("cy") + 0.5) * F.lit(float(size)))
     kept = cells.withColumn("_entered", entered).filter(F.col("_entered") | centre)
     return kept.withColumn("edges", F.when(F.col("_entered"), F.col("edges"))).drop("_entered", "minx", "miny", "maxx", "maxy")
 
@@ -131,14 +132,10 @@ def _place(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({"cx": F.floor(F.col("x") / F.lit(size)), "cy": F.floor(F.col("y") / F.lit(size))})
 
 
-def crowded_cells(points: DataFrame, size: float, limit: int = CROWDED_POINTS, most: int = MOST_CROWDED_CELLS) -> DataFrame:
-    """Cells with more than ``limit`` points, or a ``most``-th of all points if that is more, with the number of
-    parts to split them into. By that rule there are never more than ``most`` rows."""
+def crowded_cells(points: DataFrame, size: float, limit: int = CROWDED_POINTS) -> DataFrame:
+    """Cells with more than ``limit`` points, with the number of parts of at most about ``limit`` to split them into."""
     counts = _place(points.select("x", "y"), size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    fair = F.greatest(F.lit(float(limit)), counts.agg(F.sum("_n")).scalar() / F.lit(float(most)))
-    return counts.withColumn("_fair", fair).filter(F.col("_n") > F.col("_fair")).select(
-        "cx", "cy", F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_parts")
-    )
+    return counts.filter(F.col("_n") > limit).select("cx", "cy", F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
 
 
 def match_points(
@@ -152,12 +149,13 @@ def match_points(
     """Inner join of points with every polygon that covers them.
 
     Equi-join on the grid cell, then the exact test. A point lies in one cell, so no match occurs twice.
-    Crowded cells, of which there is a bounded number, are known beforehand from a count per cell
-    (of ``crowding``, by default the points themselves): their points are split by a hash into parts of fair
-    size, and only there the polygon rows are repeated per part.
+    Crowded cells are known beforehand from a count per cell (of ``crowding``, by default the points themselves):
+    their points are split by a hash into parts of at most about ``limit`` points, and only there the polygon rows are
+    repeated per part. The list of crowded cells has at most a ``limit``-th of the points; it is staged, so Spark knows
+    its size and broadcasts it or not.
     """
     size = float(profile_layer(polygons).extent if size is None else size)
-    crowded = F.broadcast(crowded_cells(points if crowding is None else crowding, size, limit))
+    crowded = stage(crowded_cells(points if crowding is None else crowding, size, limit), "crowded")
     parts = F.coalesce("_parts", F.lit(1))
     cover = (
         grid_cover(polygons.select(*keep, "rings"), size)
@@ -200,7 +198,7 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
 
     Each polygon gets its own grid with about as many cells as segments; only segments that share a cell
     are compared, so even one huge polygon is spread over many keys. Inside a ring, any contact of segments
-    that do not follow each other counts; between rings only a true crossing does.
+    that do not follow each other counts; between rings a true crossing or a common stretch does, a common point does not.
     """
     bands = F.ceil(F.sqrt(F.size(F.flatten("rings"))))
     width = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) / bands
@@ -227,7 +225,33 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
     touch = F.lit(False)
     for p, px, py, e in ends:
         touch = touch | _on_edge(F.col(e), F.col(f"{p}.{px}"), F.col(f"{p}.{py}"))
-    return met.filter(proper | (same_ring & touch)).select(code).distinct()
+    line = F.lit(True)
+    for side in sides:
+        line = line & (side == 0)
+    stretch = line & (_overlap("x") | _overlap("y"))
+    return met.filter(proper | (same_ring & touch) | stretch).select(code).distinct()
+
+
+def _overlap(axis: str) -> Column:
+    """Segments ``a`` and ``b`` share more than a point along an axis."""
+    ends = {s: (F.col(f"{s}.{axis}1"), F.col(f"{s}.{axis}2")) for s in "ab"}
+    return F.greatest(*(F.least(*e) for e in ends.values())) < F.least(*(F.greatest(*e) for e in ends.values()))
+
+
+def stray_holes(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
+    """Codes of polygons with a hole outside the shell of its part.
+
+    The first ring of a part is its shell (``part_sizes`` has the rings of each part; without it all rings are one
+    part). For rings that do not cross, three points of a hole tell, as at most two touch the shell by chance.
+    """
+    sizes = F.col("part_sizes") if "part_sizes" in polygons.columns else F.array(F.size("rings"))
+    before = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda s, n: s + n))
+    parts = F.zip_with(before, sizes, lambda at, n: F.slice("rings", at + 1, n))
+    part = polygons.filter(F.size(sizes) > 0).select(code, F.explode(parts).alias("part")).filter(F.size("part") > 1)
+    shells = with_edges(part.select(code, F.slice("part", 1, 1).alias("rings"), F.expr("slice(part, 2, size(part) - 1)").alias("holes")))
+    outside = lambda p: ~covers(F.col("edges"), p["x"], p["y"])
+    stray = F.exists("holes", lambda hole: F.exists(F.slice(hole, 1, 3), outside))
+    return shells.filter(stray).select(code).distinct()
 
 
 def _pair_sides(a: Column, b: Column) -> list[Column]:
@@ -235,7 +259,10 @@ def _pair_sides(a: Column, b: Column) -> list[Column]:
 
 
 def ring_validity(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
-    """Per polygon: rings closed, at least four points, no repeated point, no crossing, and all of it."""
+    """Per polygon: rings closed, at least four points, no crossing or common stretch, holes inside, and all of it.
+
+    A repeated point is flagged too, but does not make a polygon invalid.
+    """
     every = lambda test: F.forall("rings", test)
 
     def no_repeat(ring: Column) -> Column:
@@ -249,5 +276,8 @@ def ring_validity(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
         every(no_repeat).alias("no_repeats"),
     )
     crossing = crossing_rings(polygons, code).withColumn("_crossed", F.lit(True))
-    joined = flagged.join(crossing, code, "left").withColumn("uncrossed", F.col("_crossed").isNull()).drop("_crossed")
-    return joined.withColumn("valid", F.col("closed") & F.col("enough_points") & F.col("no_repeats") & F.col("uncrossed"))
+    stray = stray_holes(polygons, code).withColumn("_stray", F.lit(True))
+    joined = flagged.join(crossing, code, "left").join(stray, code, "left")
+    joined = joined.withColumns({"uncrossed": F.col("_crossed").isNull(), "holes_inside": F.col("_stray").isNull()})
+    valid = F.col("closed") & F.col("enough_points") & F.col("uncrossed") & F.col("holes_inside")
+    return joined.drop("_crossed", "_stray").withColumn("valid", valid)

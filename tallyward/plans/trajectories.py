@@ -10,13 +10,11 @@ from tallyward.functions.numbers import half_even, row_sum
 from tallyward.operators.clustering import assign, calinski_harabasz, fit_restarts, principal_components
 from tallyward.operators.counts import count_by, share_of_total
 from tallyward.operators.reshape import lengthen, widen
-from tallyward.operators.rows import drop_values, keep_values
+from tallyward.operators.rows import bounded, drop_values, keep_values
 from tallyward.plans.settings import MONTH_NAMES, study_periods
 from tallyward.sources.files import union_all
 from tallyward.sources.staging import stage
 
-MOST_CLUSTERS = 26
-
 
 def trajectory_table(cells: DataFrame, year: str, non_notifiable: Sequence[str]) -> DataFrame:
     """One row per area with seven monthly totals; areas without any incident in the season drop out.
@@ -51,39 +49,41 @@ def title_of(label: Column, n: Column, pct: Column) -> Column:
 
 
 def titled_labels(labels: DataFrame, label: str = "traj") -> DataFrame:
-    """Labels with their title. There is one title per letter, 26 at most, so the titles are broadcast:
-    the largest cluster may hold most areas and must not be gathered by its letter."""
+    """Labels with their title. Few titles are sent to the labels: the largest cluster may hold most areas and must not
+    be gathered by its letter."""
     titles = cluster_sizes(labels, label).select(label, "traj_title")
-    return labels.join(F.broadcast(titles), label)
+    return labels.join(bounded(titles, "titles"), label)
 
 
 def letters_by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Cluster id -> letter, the largest cluster being A; equal sizes go by cluster id.
+    """Cluster id -> letters A, B, ..., Z, AA, AB, ...; the largest cluster being A; equal sizes go by cluster id.
 
     The ranking window sees one row per cluster.
     """
     sizes = count_by(assigned, [cluster])
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc(cluster)))
-    return sizes.select(cluster, F.char(F.lit(64) + rank).alias("traj"))
+    place = rank - 1
+    letter = lambda n: F.char(F.lit(65) + F.floor(n) % 26)
+    one, two = letter(place), F.concat(letter((place - 26) / 26), letter(place))
+    three = F.concat(letter((place - 702) / 676), letter((place - 702) / 26), letter(place - 702))
+    return sizes.select(cluster, F.when(place < 26, one).when(place < 702, two).otherwise(three).alias("traj"))
 
 
-def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612, parallel: int = 8) -> DataFrame:
+def trajectory_clusters(wide: DataFrame, k: int, restarts: int = 20, seed: int = 1612) -> DataFrame:
     """area_code, traj, traj_title: the best of ``restarts`` k-means runs, letters by size."""
-    if not 1 < k <= MOST_CLUSTERS:
-        raise ValueError(f"k must lie between 2 and {MOST_CLUSTERS}, the number of letters")
     wide = stage(wide, "trajectories")
-    best = fit_restarts(wide, MONTH_NAMES, [k], restarts, seed, parallel)[k]
-    assigned = stage(assign(wide, MONTH_NAMES, best.model).select("area_code", "cluster"), "assigned")
-    labels = assigned.join(F.broadcast(letters_by_size(assigned)), "cluster").select("area_code", "traj")
+    best = fit_restarts(wide, MONTH_NAMES, [k], restarts, seed)[k]
+    assigned = stage(assign(wide, MONTH_NAMES, best.centres).select("area_code", "cluster"), "assigned")
+    labels = assigned.join(bounded(letters_by_size(assigned), "letters"), "cluster").select("area_code", "traj")
     return titled_labels(labels)
 
 
-def score_candidates(wide: DataFrame, ks: Sequence[int], restarts: int = 20, seed: int = 1612, parallel: int = 8) -> DataFrame:
+def score_candidates(wide: DataFrame, ks: Sequence[int], restarts: int = 20, seed: int = 1612) -> DataFrame:
     """Cost and Calinski-Harabasz score per number of clusters; the highest score is the choice."""
     wide = stage(wide, "trajectories")
-    fits = fit_restarts(wide, MONTH_NAMES, ks, restarts, seed, parallel)
+    fits = fit_restarts(wide, MONTH_NAMES, ks, restarts, seed)
     placed = [
-        assign(wide, MONTH_NAMES, f.model).select(F.lit(k).alias("candidate"), F.lit(f.cost).alias("cost"), "cluster", *MONTH_NAMES)
+        assign(wide, MONTH_NAMES, f.centres).select(F.lit(k).alias("candidate"), F.lit(f.cost).alias("cost"), "cluster", *MONTH_NAMES)
         for k, f in fits.items()
     ]
     return calinski_harabasz(union_all(placed), MONTH_NAMES, "cluster", ["candidate", "cost"]).select("candidate", "cost", "ch")

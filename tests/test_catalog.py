@@ -18,7 +18,7 @@ def con():
 
 def test_sql_names_are_query_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"kmeans_clusters", "kmeans_candidates", "pca_variance", "pca_scores", "model_roundtrip"}
+    assert set(QUERIES) - set(SQL) == {"kmeans_clusters", "kmeans_candidates", "pca_variance", "pca_scores"}
 
 
 def test_entry(spark):
@@ -33,6 +33,6 @@ def test_query_equals_sql(spark, con, name):
     assert difference(got, columns, cursor.fetchall()) is None
 
 
-@pytest.mark.parametrize("name", ["pca_variance", "pca_scores", "model_roundtrip"])
+@pytest.mark.parametrize("name", ["pca_variance", "pca_scores"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0

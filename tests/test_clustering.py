@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -79,13 +78,43 @@ def test_correlation_matrix(planted):
     assert got[("march", "july")] == pytest.approx(want[1, 5]) and got[("july", "march")] == got[("march", "july")]
 
 
-def test_saved_model_gives_the_same_labels(spark, planted):
-    model = clustering.fit_restarts(planted, MONTH_NAMES, [6], restarts=2)[6].model
+def test_saved_centres_give_the_same_labels(spark, planted):
+    centres = clustering.fit_restarts(planted, MONTH_NAMES, [6], restarts=2)[6].centres
     path = fresh_path(spark, "model")
-    model.write().save(path)
-    before = clustering.assign(planted, MONTH_NAMES, model).select("area_code", "cluster")
-    after = clustering.assign(planted, MONTH_NAMES, KMeansModel.load(path)).select("area_code", "cluster")
-    assert rows(before) == rows(after)
+    clustering.save_centres(spark, MONTH_NAMES, centres, path)
+    loaded = clustering.load_centres(spark, MONTH_NAMES, path)
+    assert (loaded == centres).all()
+    assert clustering.assign(planted, MONTH_NAMES, loaded).select("cluster").distinct().count() == 6
+
+
+def test_runs_end_where_no_centre_moves_and_do_not_depend_on_partitions(planted):
+    one = clustering.fit_restarts(planted.coalesce(1), MONTH_NAMES, [4], restarts=3)[4]
+    many = clustering.fit_restarts(planted.repartition(7), MONTH_NAMES, [4], restarts=3)[4]
+    assert np.allclose(one.centres, many.centres) and one.steps == many.steps
+    data = np.array([[r[m] for m in MONTH_NAMES] for r in planted.collect()], float)
+    near = ((data[:, None] - one.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(one.centres, [data[near == c].mean(axis=0) for c in range(4)])
+
+
+def test_settle_equals_plain_lloyd(spark):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(200, 2))
+    start = data[:5].copy()
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in data], "x double, y double")
+    centres, cost, _ = clustering.settle(frame, {"a": start, "b": start[:2]})["a"]
+    while True:
+        near = ((data[:, None] - start[None]) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.array([data[near == c].mean(axis=0) for c in range(5)])
+        if np.allclose(after, start, atol=1e-12):
+            break
+        start = after
+    assert np.allclose(centres, start) and cost == pytest.approx(((data - start[near]) ** 2).sum())
+
+
+def test_letters_go_on_after_z(spark):
+    df = spark.range(710).select(F.col("id").cast("int").alias("cluster"))
+    got = {r.cluster: r.traj for r in trajectories.letters_by_size(df).collect()}
+    assert [got[i] for i in (0, 25, 26, 27, 52, 701, 702, 703)] == ["A", "Z", "AA", "AB", "BA", "ZZ", "AAA", "AAB"]
 
 
 def test_letters_break_size_ties_by_id(spark):

@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from conftest import rows
 from tallyward.sources import files, staging
@@ -63,6 +63,32 @@ def test_geojson_layer(spark, tmp_path):
     assert rows(got) == [("a", 2, 1.0), ("b", 2, 1.0), ("c", None, None)]
 
 
+def test_parts_survive_a_round_trip(spark, tmp_path):
+    square = [[[0, 0], [4, 0], [4, 4], [0, 0]]]
+    hole = [[1, 1], [2, 1], [2, 2], [1, 1]]
+    geometry = {"type": "MultiPolygon", "coordinates": [[*square, hole], [[[9, 9], [10, 9], [9, 10], [9, 9]]]]}
+    lines = [{"type": "Feature", "properties": {"geo_code": "a", "geo_label": "A"}, "geometry": geometry}]
+    lines += [{"type": "Feature", "properties": {"geo_code": "p"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]
+    path = tmp_path / "layer.json"
+    path.write_text("\n".join([*map(json.dumps, lines), "not json"]))
+    layer = files.read_boundary_lines(spark, str(path)).filter("geo_code = 'a'")
+    assert layer.first().part_sizes == [2, 1]
+    files.write_boundary_lines(layer, str(tmp_path / "out"))
+    back = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert back["geometry"] == geometry
+    assert rows(files.boundary_faults(spark, str(path))) == [("Point", 1), ("unreadable", 1)]
+
+
+def test_csv_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "two.csv").write_text('"b",c,a\ny,?,2\n')
+    (tmp_path / "three.csv").write_text("b\nz\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    assert rows(files.read_csv_tree(spark, str(tmp_path), schema)) == [(None, "z"), (1, "x"), (2, "y")]
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "two.csv"), schema).collect()
+
+
 def test_labelled_layer_as_parquet(spark, tmp_path):
     rings = [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]
     df = spark.createDataFrame([("a", "[A] x", rings)], f"area_code string, traj_title string, rings {files.RING_TYPE}")

@@ -47,6 +47,27 @@ def test_group_maximum_flags_all_ties(spark):
     assert rows(out, "k", "top") == [("a", 1), ("b", 1), ("d", 0), ("f", 1)]
 
 
+def test_top_per_group_puts_null_last(spark):
+    df = spark.createDataFrame([("g", "a", None), ("g", "b", 5), ("g", "c", 3), ("h", "z", None), ("h", "y", None)], "g string, k string, n long")
+    assert rows(ops.top_per_group(df, ["g"], "n", "k")) == [("g", "b", 5), ("h", "y", None)]
+
+
+@pytest.mark.parametrize("keep_adaptive", ["true", "false"])
+def test_few_keys_are_no_shuffle_keys(spark, keep_adaptive):
+    """With a tiny broadcast threshold the side with a row for each of few keys is still not met by a shuffle."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+        spark.conf.set("spark.sql.adaptive.enabled", keep_adaptive)
+        df = spark.range(1000).selectExpr("id", "concat('c', id % 3) AS city", "id % 17 AS n")
+        out = ops.flag_group_maximum(df, "city", {"top": "n"})
+        out.collect()
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_top_per_group_breaks_ties_by_key(spark):
     df = spark.createDataFrame([("t", "b", 3), ("t", "a", 3), ("t", "c", 1)], "g string, k string, n int")
     assert rows(ops.top_per_group(df, ["g"], "n", "k")) == [("t", "a", 3)]

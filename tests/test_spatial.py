@@ -80,11 +80,17 @@ def test_crowded_cells_are_split_without_loss(spark, scene):
     assert sorted((r.poi_id, r.geo_code) for r in got.collect()) == want
 
 
-def test_number_of_crowded_cells_is_bounded(spark):
-    pts = points(spark, [(i, 0) for i in range(300)])
-    assert spatial.crowded_cells(pts, 1.0, limit=0, most=10).count() <= 10
-    piled = points(spark, [(i % 3, 0) for i in range(300)])
-    assert spatial.crowded_cells(piled, 1.0, limit=0, most=10).count() == 3
+def test_parts_of_a_crowded_cell_follow_its_own_count(spark):
+    piled = points(spark, [(i % 3, 0) for i in range(300)] + [(9, 9)] * 10)
+    assert rows(spatial.crowded_cells(piled, 1.0, limit=20).select("_parts")) == [(5,), (5,), (5,)]
+
+
+@pytest.mark.parametrize("size", [0.1, 0.05, 0.3, 0.7])
+def test_borders_that_are_not_exact_in_binary(spark, size):
+    side = lambda i: i * 0.1
+    squares = {f"{i}-{j}": [[(side(i), side(j)), (side(i + 1), side(j)), (side(i + 1), side(j + 1)), (side(i), side(j + 1)), (side(i), side(j))]] for i in range(12) for j in range(12)}
+    corners = [(side(i), side(j)) for i in range(13) for j in range(13)]
+    assert spatial.match_points(points(spark, corners), layer(spark, squares), size=size).count() == 4 * 144
 
 
 def test_profile_of_an_empty_layer(spark):
@@ -109,15 +115,21 @@ def test_ring_validity(spark):
             "bow": [[(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]],
             "touch": [[(0, 0), (10, 0), (5, 5), (10, 10), (0, 10), (5, 5), (0, 0)]],
             "cut": [SQUARE, [(5, 5), (15, 5), (15, 8), (5, 8), (5, 5)]],
+            "outside": [SQUARE, [(12, 3), (12, 7), (16, 7), (16, 3), (12, 3)]],
+            "twice": [SQUARE, SQUARE],
+            "shared edge": [SQUARE, [(0, 3), (0, 7), (4, 7), (4, 3), (0, 3)]],
+            "touching hole": [SQUARE, [(0, 5), (4, 7), (4, 3), (0, 5)]],
         },
     )
-    got = {r.geo_code: tuple(r)[1:] for r in spatial.ring_validity(polygons).collect()}
-    assert got["fine"] == (True, True, True, True, True)
-    assert got["open"] == (False, True, True, True, False)
-    assert got["short"] == (True, False, True, True, False)
-    assert got["repeat"] == (True, True, False, True, False)
-    assert got["bow"] == (True, True, True, False, False)
+    got = {r.geo_code: (r.closed, r.enough_points, r.no_repeats, r.uncrossed, r.holes_inside, r.valid) for r in spatial.ring_validity(polygons).collect()}
+    assert got["fine"] == got["touching hole"] == (True, True, True, True, True, True)
+    assert got["open"] == (False, True, True, True, True, False)
+    assert got["short"] == (True, False, True, True, True, False)
+    assert got["repeat"] == (True, True, False, True, True, True)
+    assert got["bow"] == (True, True, True, False, True, False)
     assert not got["touch"][3] and not got["cut"][3]
+    assert got["outside"] == (True, True, True, True, False, False)
+    assert not got["twice"][5] and not got["shared edge"][5]
 
 
 def test_crossings_match_brute_force(spark):
