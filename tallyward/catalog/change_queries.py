@@ -13,8 +13,9 @@ from tallyward.operators.reshape import lengthen, split_stat_name, widen, widen_
 from tallyward.plans import change, distribution
 from tallyward.plans.composition import composition, share_sums
 from tallyward.plans.settings import MONTH_NAMES, MONTH_STEPS, study_periods
-from tallyward.plans.trajectories import cluster_sizes as sizes, trajectory_table as trajectories
+from tallyward.plans.trajectories import cluster_sizes as sizes, trajectory_clusters, trajectory_table as trajectories
 from tallyward.sources import role_views as views
+from tallyward.sources.staging import stage
 
 YEAR, BASE = "2000", "1999"
 
@@ -24,7 +25,7 @@ def _six(name: str):
 
 
 def season_of(spark: SparkSession, sf_dir: str, *years: str) -> DataFrame:
-    cells = panel_of(spark, sf_dir).cells
+    cells = panel_of(spark, sf_dir, *years).cells
     return change.season_counts(cells, views.fixed_labels(spark, sf_dir), years, views.NON_NOTIFIABLE)
 
 
@@ -52,7 +53,7 @@ _WIDE = ", ".join(
 SELECT * FROM wide WHERE february + march + april + may + june + july + august <> 0"""
 )
 def trajectory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectories(panel_of(spark, sf_dir).cells, YEAR, views.NON_NOTIFIABLE)
+    return trajectories(panel_of(spark, sf_dir, YEAR).cells, YEAR, views.NON_NOTIFIABLE)
 
 
 @register(
@@ -64,7 +65,7 @@ def trajectory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM wide"""
 )
 def pivot_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = keep_values(panel_of(spark, sf_dir).monthly(), "month", study_periods(YEAR))
+    monthly = keep_values(panel_of(spark, sf_dir, YEAR).monthly(), "month", study_periods(YEAR))
     return widen(monthly, ["category"], "month", "n", dict(zip(study_periods(YEAR), MONTH_NAMES)))
 
 
@@ -173,14 +174,14 @@ _COMPOSITION = """
 
 @register(_SEASON + _COMPOSITION + " SELECT category, traj, month, round(share, 6) AS share FROM composed")
 def composition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, labels = panel_of(spark, sf_dir), views.fixed_labels(spark, sf_dir)
+    panel, labels = panel_of(spark, sf_dir, YEAR), views.fixed_labels(spark, sf_dir)
     shares = composition(panel, labels, YEAR, views.NON_NOTIFIABLE)
     return shares.select("category", "traj", "month", _six("share")).orderBy("month", "traj", "category")
 
 
 @register(_SEASON + _COMPOSITION + " SELECT traj, month, round(sum(share), 6) AS total FROM composed GROUP BY traj, month")
 def composition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, labels = panel_of(spark, sf_dir), views.fixed_labels(spark, sf_dir)
+    panel, labels = panel_of(spark, sf_dir, YEAR), views.fixed_labels(spark, sf_dir)
     return share_sums(composition(panel, labels, YEAR, views.NON_NOTIFIABLE)).withColumn("total", F.round("total", 6))
 
 
@@ -267,3 +268,25 @@ GROUP BY g.traj, g.month, g.point, g.at, g.size, g.bw"""
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = distribution.density_grid(frequencies_of(spark, sf_dir), YEAR, GRID_POINTS)
     return grid.select("traj", "month", "point", _six("at"), _six("density"))
+
+
+@register(
+    using(PANEL)
+    + f"""
+, kept AS (
+  SELECT *, split_part(month, '-', 2) AS mm FROM panel
+  WHERE category NOT IN ('4-NOT SPECIFIED', '5-LOW') AND split_part(month, '-', 2) BETWEEN '02' AND '08' AND year IN ('{BASE}', '{YEAR}')
+)
+, clustered AS (SELECT area_code FROM kept WHERE year = '{YEAR}' GROUP BY area_code HAVING sum(n) <> 0)
+SELECT mm AS month, CAST(sum(n) FILTER (year = '{YEAR}') - sum(n) FILTER (year = '{BASE}') AS BIGINT) AS change
+FROM kept WHERE area_code IN (SELECT area_code FROM clustered) GROUP BY mm"""
+)
+def cluster_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means labels of the season's trajectories joined to the incident panel; the changes of the clusters between two
+    years, added up, are the change of all clustered areas."""
+    cells = panel_of(spark, sf_dir, BASE, YEAR).cells
+    labels = stage(trajectory_clusters(trajectories(cells, YEAR, views.NON_NOTIFIABLE), 4, restarts=2), "labels")
+    season = change.season_counts(cells, labels, (BASE, YEAR), views.NON_NOTIFIABLE).filter("traj IS NOT NULL")
+    sign = F.when(F.col("year") == YEAR, F.col("n")).otherwise(-F.col("n"))
+    by_cluster = season.groupBy("month", "traj").agg(F.sum(sign).alias("change"))
+    return by_cluster.groupBy("month").agg(F.sum("change").alias("change"))

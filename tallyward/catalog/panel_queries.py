@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import BOUNDARIES, INCIDENTS, PANEL, using
-from tallyward.operators.rows import not_in
+from tallyward.operators.rows import keep_values, not_in
 from tallyward.plans.panel import CountPanel, build_panel, dense_counts, excluded_areas, usable_incidents
 from tallyward.plans.reconcile import analysed_boundaries, area_counts, missing_areas
 from tallyward.plans.settings import TOTAL_CATEGORY
 from tallyward.plans.trends import long_run_trend as category_trend, main_measure_trend, trend_table as trends
 from tallyward.sources import role_views as views
+from tallyward.sources.staging import fresh_path
 
 
-def panel_of(spark: SparkSession, sf_dir: str) -> CountPanel:
+def panel_of(spark: SparkSession, sf_dir: str, *years: str) -> CountPanel:
     return build_panel(
-        views.incidents(spark, sf_dir),
+        views.incidents(spark, sf_dir, *years),
         views.boundaries(spark, sf_dir),
         views.EXCLUDED_PROVIDERS,
         views.EXCLUDED_LABELS,
@@ -29,6 +30,16 @@ def count_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_of(spark, sf_dir).dense()
 
 
+@register(using(PANEL) + " SELECT category, month, area_code, year, n FROM panel WHERE year = '1998'")
+def panel_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel saved by year and loaded; one year of it, zero-filled."""
+    path = fresh_path(spark, "saved-panel")
+    panel_of(spark, sf_dir).save(path)
+    loaded = CountPanel.load(spark, path)
+    year = lambda df: keep_values(df, "year", ["1998"])
+    return CountPanel(year(loaded.cells), year(loaded.levels)).dense()
+
+
 @register(
     using(INCIDENTS)
     + """

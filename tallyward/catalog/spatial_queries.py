@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FACILITY_COLUMNS, FIXED_LABELS, POI, SPATIAL, area, using
-from tallyward.functions.national_grid import (
-    AIRY_A, AIRY_B, AIRY_E2, AIRY_EP2, GRID_E0, GRID_F0, GRID_N, GRID_N0, ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC,
-    SCALE_PPM, SHIFT_X, SHIFT_Y, SHIFT_Z, WGS84_A, WGS84_E2, project,
-)
+from tallyward.functions.national_grid import project, unproject
 from tallyward.operators import spatial
 from tallyward.operators.reshape import widen
 from tallyward.operators.rows import top_per_group
@@ -160,6 +157,17 @@ def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.ring_validity(views.unchecked_boundaries(spark, sf_dir))
 
 
+# Fixed values of the published definition, typed here once more so that the SQL does not share them with the library.
+WGS84_A, WGS84_B = 6378137.0, 6356752.314245
+AIRY_A, AIRY_B = 6377563.396, 6356256.909
+SHIFT_X, SHIFT_Y, SHIFT_Z = -446.448, 125.157, -542.060
+ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC = -0.1502, -0.2470, -0.8421
+SCALE_PPM = 20.4894
+GRID_F0, GRID_E0, GRID_N0 = 0.9996012717, 400000.0, -100000.0
+WGS84_E2 = 1 - WGS84_B**2 / WGS84_A**2
+AIRY_E2, AIRY_EP2 = 1 - AIRY_B**2 / AIRY_A**2, AIRY_A**2 / AIRY_B**2 - 1
+GRID_N = (AIRY_A - AIRY_B) / (AIRY_A + AIRY_B)
+
 _R = "0.017453292519943295"
 
 
@@ -207,11 +215,49 @@ SELECT b.geo_code, count(*) AS n FROM boundaries b JOIN placed p ON {COVERED} GR
 def projected_poi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longitude and latitude to grid metres, then counted in a layer given in metres."""
     points = views.points_of_interest(spark, sf_dir).select("poi_id", "lon", "lat")
-    placed = stage(project(points, easting="x", northing="y").select("poi_id", "x", "y"), "projected")
-    matched = spatial.match_points(placed, views.metric_boundaries(spark, sf_dir))
+    areas = views.metric_boundaries(spark, sf_dir)
+    placed = stage(plans.projected_in_box(points, areas).select("poi_id", "x", "y"), "projected")
+    matched = spatial.match_points(placed, areas)
     return matched.groupBy("geo_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LONLAT = FACILITIES.replace(
+    POI,
+    POI.replace("poi AS (", "raw AS (", 1)
+    + _projection_sql().replace("FROM poi)", "FROM raw)", 1)
+    + f""", poi AS (
+  SELECT raw.poi_id, key, value, name, (easting - {views.GRID_EAST}) / {views.GRID_SCALE_X} AS x, northing / {views.GRID_SCALE_Y} AS y
+  FROM raw JOIN grid ON grid.poi_id = raw.poi_id
+)""",
+)
+
+
+@register(using(_LONLAT) + " SELECT * FROM facilities")
+def facility_table_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in degrees to the facility table in one path: box in degrees, projection, counts by tag."""
+    areas = analysed_boundaries(views.metric_boundaries(spark, sf_dir), views.EXCLUDED_LABELS)
+    return plans.facility_table_lonlat(views.points_of_interest(spark, sf_dir).drop("x", "y"), areas)
+
+
+@register(using(POI) + " SELECT poi_id, true AS same FROM poi")
+def unproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to the grid and back: the same to a hundred-millionth of a degree."""
+    points = views.points_of_interest(spark, sf_dir).select("poi_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
+    back = unproject(project(points, "lon0", "lat0"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-8
+    return back.select("poi_id", (near("lon", "lon0") & near("lat", "lat0")).alias("same"))
+
+
+@register(
+    using(POI)
+    + """
+SELECT key, value, count(*) AS n_points, count(DISTINCT (x, y)) AS n_places, count(*) - count(DISTINCT (x, y)) AS n_repeats
+FROM poi GROUP BY key, value"""
+)
+def places_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.places_per_tag(views.points_of_interest(spark, sf_dir))
+
+
 @register(
     using(FACILITIES)
     + """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.panel_queries import panel_of
 from tallyward.catalog.registry import register
-from tallyward.catalog.sql_views import FIXED_LABELS, INCIDENTS, PANEL, area, using
+from tallyward.catalog.sql_views import FIXED_LABELS, INCIDENTS, PANEL, POI, area, using
 from tallyward.functions.text import first_chars, from_position, month_name, month_of, ordinal, recode
 from tallyward.operators.counts import count_by, share_of_total
 from tallyward.operators.rows import bounded, drop_values, keep_values, left_match
@@ -133,7 +133,7 @@ def _missing(name: str, condition: str) -> str:
 
 
 @register(
-    using(PANEL)
+    using(PANEL, POI)
     + """, seen AS (SELECT DISTINCT year, area_code FROM panel)
 """
     + " UNION ALL ".join(
@@ -146,8 +146,13 @@ def _missing(name: str, condition: str) -> str:
             "SELECT 'areas', year, count(*) FROM seen GROUP BY year",
             "SELECT 'areas_by_prefix', year || ':' || left(area_code, 1), count(*) FROM seen GROUP BY ALL",
             "SELECT 'boundary_valid', CASE WHEN c_custkey % 40 IN (5, 11, 23, 29, 31, 35) THEN 'false' ELSE 'true' END, count(*) FROM customer GROUP BY ALL",
+            "SELECT 'panel_total', year, CAST(sum(n) AS BIGINT) FROM panel GROUP BY year",
+            "SELECT 'boundary_without_panel', year, (SELECT count(*) FROM boundaries) - count(b.geo_code) FROM seen LEFT JOIN boundaries b ON b.geo_code = area_code GROUP BY year",
+            "SELECT 'panel_without_boundary', year, count(*) - count(b.geo_code) FROM seen LEFT JOIN boundaries b ON b.geo_code = area_code GROUP BY year",
+            "SELECT 'point_repeats', key || '=' || value, count(*) - count(DISTINCT (x, y)) FROM poi GROUP BY key, value",
         ]
     )
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(views.incidents(spark, sf_dir), panel_of(spark, sf_dir), views.unchecked_boundaries(spark, sf_dir))
+    points = views.points_of_interest(spark, sf_dir)
+    return report(views.incidents(spark, sf_dir), panel_of(spark, sf_dir), views.unchecked_boundaries(spark, sf_dir), points)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyward.functions.national_grid import project, unproject
 from tallyward.functions.numbers import half_even, positive_flag, round_numeric, row_sum
 from tallyward.functions.text import first_chars
 from tallyward.operators.counts import exact_quantiles
 from tallyward.operators.rows import flag_group_maximum, left_match, right_match, top_per_group
-from tallyward.operators.spatial import match_points, profile_layer, within_box
+from tallyward.operators.spatial import LayerProfile, match_points, profile_layer, within_box
+from tallyward.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,44 @@ def facility_table(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] =
     return full.withColumns({"train_bin": positive_flag(F.col("trains")), "bus_bin": positive_flag(F.col("bus"))})
 
 
+def places_per_tag(points: DataFrame) -> DataFrame:
+    """Points, distinct places and points that repeat a place, per tag. Points of one place meet before they are counted."""
+    at = points.groupBy("key", "value", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    sums = at.groupBy("key", "value").agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_places"))
+    return sums.withColumn("n_repeats", F.col("n_points") - F.col("n_places"))
+
+
+BORDER_POINTS = 32
+BORDER_MARGIN_DEG = 1e-4
+
+
+def box_in_degrees(spark: SparkSession, box: LayerProfile) -> tuple[float, float, float, float]:
+    """Longitudes and latitudes (low, high, low, high) around a box in grid metres, from points along its border."""
+    parts = [i / BORDER_POINTS for i in range(BORDER_POINTS + 1)]
+    xs = [box.minx + t * (box.maxx - box.minx) for t in parts]
+    ys = [box.miny + t * (box.maxy - box.miny) for t in parts]
+    border = [(x, y) for x in xs for y in (box.miny, box.maxy)] + [(x, y) for y in ys for x in (box.minx, box.maxx)]
+    placed = unproject(spark.createDataFrame(border, "easting double, northing double"))
+    low_lon, high_lon, low_lat, high_lat = placed.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    m = BORDER_MARGIN_DEG
+    return low_lon - m, high_lon + m, low_lat - m, high_lat + m
+
+
+def projected_in_box(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Points given in degrees as ``x`` and ``y`` in grid metres, those around the layer only.
+
+    The layer's box is compared in degrees, on the stored columns, before any point is projected.
+    """
+    low_lon, high_lon, low_lat, high_lat = box_in_degrees(points.sparkSession, profile_layer(polygons))
+    near = points.filter(F.col("lon").between(low_lon, high_lon) & F.col("lat").between(low_lat, high_lat))
+    return project(near, easting="x", northing="y")
+
+
+def facility_table_lonlat(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
+    """The facility table of points in degrees (no ``x``, ``y``) and areas in grid metres."""
+    return facility_table(stage(projected_in_box(points, polygons), "projected"), polygons, tags)
+
+
 def with_facility_sum(table: DataFrame) -> DataFrame:
     return table.withColumn("facility_sum", row_sum(FACILITY_SUM))
 
@@ -121,7 +161,7 @@ def city_centres(facilities: DataFrame, cities: dict[str, str], detached: Sequen
     A label that fits two patterns belongs to both cities. Detached areas are taken out after flagging.
     """
     matches = F.array_compact(F.array(*[F.when(F.col("geo_label").rlike(p), F.lit(c)) for c, p in cities.items()]))
-    members = with_facility_sum(facilities).withColumn("city", F.explode(matches))
+    members = stage(with_facility_sum(facilities).withColumn("city", F.explode(matches)), "members")
     flagged = flag_group_maximum(members, "city", {"centre1": "facility_sum", "centre2": "trains"})
     return flagged.filter(~F.col("geo_code").isin(*detached)) if detached else flagged
 

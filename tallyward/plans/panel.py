@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.functions.text import first_chars
 from tallyward.operators.counts import complete, count_by, level_axes
-from tallyward.operators.rows import drop_missing, drop_values
+from tallyward.operators.rows import drop_missing, drop_values, keep_values
+from tallyward.sources.files import write_panel
 from tallyward.sources.staging import stage
 
 CELL = ["category", "month", "area_code", "year"]
@@ -42,6 +43,16 @@ class CountPanel:
     cells: DataFrame
     levels: DataFrame
 
+    def save(self, path: str) -> None:
+        """Cells by year, so that later reads prune whole years, and levels, below one folder."""
+        write_panel(self.cells, f"{path}/cells")
+        self.levels.coalesce(1).write.mode("errorifexists").parquet(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CountPanel:
+        cells = spark.read.schema("category string, month string, area_code string, n bigint, year string").parquet(f"{path}/cells")
+        return cls(cells.select(*CELL, "n"), spark.read.parquet(f"{path}/levels"))
+
     def dense(self) -> DataFrame:
         """All category x month x area combinations of a year, zero-filled."""
         axes = level_axes(self.levels, ["year"], ["category", "month"])
@@ -64,13 +75,18 @@ def build_panel(
     excluded_providers: Sequence[str],
     label_pattern: str,
     prefix: str,
+    years: Sequence[str] | None = None,
 ) -> CountPanel:
     """Scan the incidents once, stage the sparse counts, and derive the rest from them.
 
+    Levels and seen areas are those of a year, so an analysis of some ``years`` needs no others: they are left out
+    before anything is counted.
+
     The excluded areas are marked in the same pass, so no consumer joins with the boundaries again. Rows are
     sorted inside each file, which lets later month and year filters skip row groups.
     """
-    counts = count_by(usable_incidents(incidents, excluded_providers), CELL)
+    wanted = incidents if years is None else keep_values(incidents, "year", years)
+    counts = count_by(usable_incidents(wanted, excluded_providers), CELL)
     gone = excluded_areas(boundaries, label_pattern, prefix).distinct().withColumn("_gone", F.lit(True))
     marked = counts.join(gone, counts["area_code"] == gone["geo_code"], "left").select(
         *CELL, "n", F.col("_gone").isNull().alias("kept")

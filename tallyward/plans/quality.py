@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyward.operators.rows import bounded
 from tallyward.operators.spatial import ring_validity
+from tallyward.plans.facilities import places_per_tag
 from tallyward.plans.panel import CountPanel
 
 
@@ -37,5 +40,33 @@ def boundary_checks(boundaries: DataFrame) -> DataFrame:
     return flags.select(F.lit("boundary_valid").alias("check"), F.col("valid").cast("string").alias("detail"), "value")
 
 
-def quality_report(incidents: DataFrame, panel: CountPanel, boundaries: DataFrame) -> DataFrame:
-    return missing_values(incidents).unionByName(area_checks(panel)).unionByName(boundary_checks(boundaries))
+def panel_totals(panel: CountPanel) -> DataFrame:
+    """Counted incidents per year."""
+    totals = panel.cells.groupBy("year").agg(F.sum("n").alias("value"))
+    return totals.select(F.lit("panel_total").alias("check"), F.col("year").alias("detail"), "value")
+
+
+def boundaries_against_panel(panel: CountPanel, boundaries: DataFrame) -> DataFrame:
+    """Per year, how many boundary areas the panel lacks and how many of its areas have no boundary."""
+    years = bounded(panel.cells.select("year").distinct(), "years")
+    codes = boundaries.select(F.col("geo_code").alias("area_code"), F.lit(1).alias("drawn")).distinct()
+    seen = panel.cells.select("year", "area_code").distinct()
+    per_year = seen.groupBy("year").agg(F.count(F.lit(1)).alias("areas"))
+    met = seen.join(codes, "area_code").groupBy("year").agg(F.count(F.lit(1)).alias("both"))
+    sides = years.join(per_year, "year").join(met, "year", "left").withColumn("drawn", codes.agg(F.count(F.lit(1))).scalar())
+    both = F.coalesce(F.col("both"), F.lit(0))
+    rows = sides.withColumns({"boundary_without_panel": F.col("drawn") - both, "panel_without_boundary": F.col("areas") - both})
+    long = rows.unpivot(["year"], ["boundary_without_panel", "panel_without_boundary"], "check", "value")
+    return long.select("check", F.col("year").alias("detail"), "value")
+
+
+def repeated_points(points: DataFrame) -> DataFrame:
+    """Points that repeat a place of their tag, per tag."""
+    found = places_per_tag(points)
+    return found.select(F.lit("point_repeats").alias("check"), F.concat_ws("=", "key", "value").alias("detail"), F.col("n_repeats").alias("value"))
+
+
+def quality_report(incidents: DataFrame, panel: CountPanel, boundaries: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """All checks; those of the points only if they are given."""
+    parts = [missing_values(incidents), area_checks(panel), panel_totals(panel), boundaries_against_panel(panel, boundaries), boundary_checks(boundaries)]
+    return reduce(DataFrame.unionByName, parts if points is None else [*parts, repeated_points(points)])
