@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -29,6 +30,7 @@ BATCH = 64
 RATE = 0.01
 UNKNOWN = "und"
 _ROWS = 64
+_SHARE_BYTES = 1 << 20
 
 
 @dataclass
@@ -157,8 +159,9 @@ def training_rows(docs: DataFrame, keep: Column, doc_id: str, text: str, lang: s
     chosen = rows.select("id", "lang", F.xxhash64("id", "text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h", "id")
     chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS ids a language.
-    picked = rows.withColumn("h", F.xxhash64("id", "text")).join(chosen.select("h", "lang").distinct(), ["h", "lang"])
+    # At most SAMPLE_DOCS small rows a language, so they are sent to the texts and not the texts to them.
+    sent = F.broadcast(chosen.select("h", "lang").distinct())
+    picked = rows.withColumn("h", F.xxhash64("id", "text")).join(sent, ["h", "lang"])
     size = F.octet_length("text")
     steps = F.transform(
         F.sequence(F.lit(0), F.least(F.lit(SAMPLE_WINDOWS - 1), F.floor((size - 1) / WINDOW).cast("int"))),
@@ -175,6 +178,14 @@ def train(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "te
     return fit(sample.column("part").to_pylist(), sample.column("lang").to_pylist())
 
 
+def _shares(texts: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows`` cut where their texts pass each multiple of ``_SHARE_BYTES``, so that copies in a task stay small."""
+    if not len(rows):
+        return []
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)[rows])
+    return np.split(rows, np.flatnonzero(np.diff(sizes // _SHARE_BYTES)) + 1)
+
+
 def predict(
     docs: DataFrame, net: Network | None, columns: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
 ) -> DataFrame:
@@ -191,11 +202,11 @@ def predict(
         for batch in batches:
             letter = batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)
             best, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            known = np.flatnonzero(letter) if applied else []
-            if len(known):
-                p = applied.texts([batch.column(len(columns))[int(i)].as_py() for i in known])
-                score[known] = np.minimum(p.max(axis=1), 1)
-                for i, k in zip(known, p.argmax(axis=1)):
+            known = np.flatnonzero(letter) if applied else np.empty(0, np.int64)
+            for rows in _shares(batch.column(len(columns)), known):
+                p = applied.texts([batch.column(len(columns))[int(i)].as_py() for i in rows])
+                score[rows] = np.minimum(p.max(axis=1), 1)
+                for i, k in zip(rows, p.argmax(axis=1)):
                     best[i] = applied.net.languages[k]
             out = [*batch.columns[: len(columns)], pa.array(best, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(out, [*columns, *names])
