@@ -69,3 +69,14 @@ def op9_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = ("op9_warc_pages", op9_warc_pages)
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT body, max(page_id) AS first FROM p GROUP BY body)
+SELECT page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, CAST(1 + 5 * (k // 4) AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f ON f.body = p.body
+"""
