@@ -129,7 +129,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     paths = [fresh_path(spark, f"bytes-{i}") for i in range(4 + len(STEPS))]
     runs = stage_at(docs.filter(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), _RUN), paths[0])
     shared = runs.groupBy("gram").agg(F.min("whole").alias("_a"), F.max("whole").alias("_b"), F.count("*").alias("_n"))
-    shared = shared.filter("_n > 1").select("gram", (F.col("_a") != F.col("_b")).alias("mixed"))
+    # Sides reduced to a row a bucket are written first: adaptive execution splits the other side of a bucket that very
+    # many runs share only where both sides of the join are plain shuffles.
+    shared = stage(shared.filter("_n > 1").select("gram", (F.col("_a") != F.col("_b")).alias("mixed")), "grams")
     met = stage_at(runs.join(shared, "gram"), paths[1])
     remove(spark, paths[0])
     start, end = F.col("at") - F.col("up"), F.col("at") - F.col("down")
@@ -140,7 +142,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     one = F.min(F.struct("doc", "mark", "at", "up", "down")).alias("one")
     kinds = stage_at(mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), one), paths[2])
     settled.append(mixed.join(kinds.filter("n > 1").select("gram", "whole"), ["gram", "whole"]).select(*ends))
-    undecided = kinds.groupBy("gram").agg(F.min("n").alias("least")).filter("least = 1").select("gram")
+    undecided = stage(kinds.groupBy("gram").agg(F.min("n").alias("least")).filter("least = 1").select("gram"), "undecided")
     needed = kinds.join(undecided, "gram").select("gram", (F.col("n") == 1).cast("int").alias("open"), "one.*")
     per_text = needed.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "at", "up", "down", "open")).alias("wanted"))
     held = docs.join(per_text.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
@@ -154,12 +156,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         place = [F.min(c).alias(c) for c in ("doc", "mark", "at")]
         kinds = pieces.groupBy("bucket", "own").agg(F.count("*").alias("n"), F.max("open").alias("open"), *place, *first)
         kinds = kinds.withColumn("open", F.when(F.col("n") == 1, F.col("open")).otherwise(F.lit(0)))
-        twice = pieces.groupBy("bucket", "own").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "own")
+        counts = stage(pieces.groupBy("bucket", "own").agg(F.count("*").alias("n"), F.max("open").alias("open")), "counts")
+        twice = counts.filter("n > 1 AND open = 1").select("bucket", "own")
         found = pieces.filter("open = 1").select("bucket", "own", "doc", "mark", "at", "up", "down").join(twice, ["bucket", "own"])
         settled.append(stage(found.select(*ends), "settled"))
-        groups = pieces.groupBy("bucket", "own").agg(F.count("*").alias("n"), F.max("open").alias("open"))
-        groups = groups.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.expr("int(n = 1 AND open = 1)")).alias("left"))
-        rows = kinds.join(groups.filter("kinds > 1 AND left = 1").select("bucket"), "bucket").drop("n", "own")
+        groups = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.expr("int(n = 1 AND open = 1)")).alias("left"))
+        left = stage(groups.filter("kinds > 1 AND left = 1").select("bucket"), "left")
+        rows = kinds.join(left, "bucket").drop("n", "own")
     return reduce(DataFrame.union, settled)
 
 
