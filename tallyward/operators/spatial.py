@@ -6,14 +6,21 @@ rings, so holes and parts need no special case; a point on an edge belongs to ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyward.sources.staging import stage
 
 CROWDED_POINTS = 1_000_000
+LEVEL_STEP = 64.0
+FINEST_LEVEL = -1
+CELL_SEGMENTS = 512
+CELL_CUTS = 8
+CUT_DEPTH = 6
 
 
 def with_box(polygons: DataFrame) -> DataFrame:
@@ -106,15 +113,34 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, lambda e: _on_edge(e, x, y)) | _odd_crossings(edges, x, y)
 
 
-def grid_cover(polygons: DataFrame, size: float) -> DataFrame:
-    """One row per polygon and grid cell that it reaches.
+def _level(size: float) -> Column:
+    """Grid level of a boxed polygon: cells are ``size`` times a power of ``LEVEL_STEP``, and the polygon at most about
+    ``sqrt(LEVEL_STEP)`` cells wide."""
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    level = F.floor(F.log(extent / F.lit(size)) / F.lit(math.log(LEVEL_STEP)) + 0.5).cast("int")
+    return F.greatest(F.when(extent > 0, level).otherwise(F.lit(0)), F.lit(FINEST_LEVEL))
+
+
+def _cell_size(size: float, level: int) -> float:
+    return size * LEVEL_STEP**level
+
+
+def levels_of(polygons: DataFrame, size: float) -> list[int]:
+    """Grid levels in use; extents that differ by a factor of a million still give no more than five."""
+    return sorted(r[0] for r in with_box(polygons.select("rings")).select(_level(size)).distinct().collect())
+
+
+def grid_cover(polygons: DataFrame, size: float, levels: Sequence[int] = (0,)) -> DataFrame:
+    """One row per polygon and grid cell that it reaches, in the grid of the polygon's ``_level``.
 
-    A cell that no edge enters lies wholly inside or outside: the outside ones are dropped, the inside ones
-    carry no edges and need no test per point. Other cells keep only the edges a test in them can meet:
-    first those of the cell's grid row, then those not wholly to its left.
+    A polygon has some hundred cells at most, however wide. A cell that no edge enters lies wholly inside or outside:
+    the outside ones are dropped, the inside ones carry no edges and need no test per point. Other cells keep only the
+    edges a test in them can meet: first those of the cell's grid row, then those not wholly to its left.
     """
-    cells = with_edges(with_box(polygons))
-    number = lambda v: F.floor(v / F.lit(float(size)))
+    cells = with_edges(with_box(polygons)).withColumn("_level", _level(size))
+    known = [F.lit(x) for level in levels for x in (level, _cell_size(size, level))]
+    cells = cells.withColumn("_size", F.create_map(*known)[F.col("_level")])
+    number = lambda v: F.floor(v / F.col("_size"))
     span = lambda lo, hi: F.explode(F.sequence(number(F.col(lo)), number(F.col(hi))))
     # Cells are compared by number, never by their borders: a point's cell is a rounded quotient, and a border
     # computed from a cell number may round the other way.
@@ -123,19 +149,26 @@ def grid_cover(polygons: DataFrame, size: float) -> DataFrame:
     not_left = lambda e: number(F.greatest(e["x1"], e["x2"])) >= F.col("cx")
     cells = cells.withColumn("cx", span("minx", "maxx")).withColumn("edges", F.filter("edges", not_left))
     entered = F.exists("edges", lambda e: number(F.least(e["x1"], e["x2"])) <= F.col("cx"))
-    centre = _odd_crossings(F.col("edges"), (F.col("cx") + 0.5) * F.lit(float(size)), (F.col("cy") + 0.5) * F.lit(float(size)))
+    centre = _odd_crossings(F.col("edges"), (F.col("cx") + 0.5) * F.col("_size"), (F.col("cy") + 0.5) * F.col("_size"))
     kept = cells.withColumn("_entered", entered).filter(F.col("_entered") | centre)
-    return kept.withColumn("edges", F.when(F.col("_entered"), F.col("edges"))).drop("_entered", "minx", "miny", "maxx", "maxy")
+    edges = F.when(F.col("_entered"), F.col("edges"))
+    return kept.withColumn("edges", edges).drop("_entered", "_size", "minx", "miny", "maxx", "maxy")
 
 
-def _place(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumns({"cx": F.floor(F.col("x") / F.lit(size)), "cy": F.floor(F.col("y") / F.lit(size))})
+def _place(points: DataFrame, size: float, levels: Sequence[int]) -> DataFrame:
+    """Each point with its cell in the grid of each level."""
 
+    def cell(level: int) -> Column:
+        number = lambda c: F.floor(F.col(c) / F.lit(_cell_size(size, level)))
+        return F.struct(F.lit(level).alias("_level"), number("x").alias("cx"), number("y").alias("cy"))
 
-def crowded_cells(points: DataFrame, size: float, limit: int = CROWDED_POINTS) -> DataFrame:
+    return points.withColumn("_cell", F.explode(F.array(*map(cell, levels)))).select(*points.columns, "_cell.*")
+
+
+def crowded_cells(points: DataFrame, size: float, limit: int = CROWDED_POINTS, levels: Sequence[int] = (0,)) -> DataFrame:
     """Cells with more than ``limit`` points, with the number of parts of at most about ``limit`` to split them into."""
-    counts = _place(points.select("x", "y"), size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > limit).select("cx", "cy", F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    counts = _place(points.select("x", "y"), size, levels).groupBy("_level", "cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > limit).select("_level", "cx", "cy", F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
 
 
 def match_points(
@@ -143,34 +176,36 @@ def match_points(
     polygons: DataFrame,
     keep: Sequence[str] = ("geo_code",),
     size: float | None = None,
-    crowding: DataFrame | None = None,
     limit: int = CROWDED_POINTS,
 ) -> DataFrame:
     """Inner join of points with every polygon that covers them.
 
-    Equi-join on the grid cell, then the exact test. A point lies in one cell, so no match occurs twice.
-    Crowded cells are known beforehand from a count per cell (of ``crowding``, by default the points themselves):
+    Equi-join on the grid cell, then the exact test. Polygons of very different width lie in grids of different levels,
+    and a point goes to its cell of each level in use. In a level it lies in one cell and a polygon lies in one level, so
+    no match occurs twice. Crowded cells are known beforehand from a count per cell (``points`` is read twice):
     their points are split by a hash into parts of at most about ``limit`` points, and only there the polygon rows are
     repeated per part. The list of crowded cells has at most a ``limit``-th of the points; it is staged, so Spark knows
     its size and broadcasts it or not.
     """
     size = float(profile_layer(polygons).extent if size is None else size)
-    crowded = stage(crowded_cells(points if crowding is None else crowding, size, limit), "crowded")
+    levels = levels_of(polygons, size) or [0]
+    crowded = stage(crowded_cells(points, size, limit, levels), "crowded")
+    cell = ["_level", "cx", "cy"]
     parts = F.coalesce("_parts", F.lit(1))
     cover = (
-        grid_cover(polygons.select(*keep, "rings"), size)
-        .join(crowded, ["cx", "cy"], "left")
+        grid_cover(polygons.select(*keep, "rings"), size, levels)
+        .join(crowded, cell, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
     placed = (
-        _place(points, size)
-        .join(crowded, ["cx", "cy"], "left")
+        _place(points, size, levels)
+        .join(crowded, cell, "left")
         .withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts).cast("int"))
         .drop("_parts")
     )
     hit = F.col("edges").isNull() | covers(F.col("edges"), F.col("x"), F.col("y"))
-    return placed.join(cover, ["cx", "cy", "_part"]).filter(hit).drop("edges", "cx", "cy", "_part")
+    return placed.join(cover, [*cell, "_part"]).filter(hit).drop("edges", *cell, "_part")
 
 
 def distinct_points(points: DataFrame, tag: Sequence[str] = ("key", "value")) -> DataFrame:
@@ -193,32 +228,45 @@ def ring_segments(polygons: DataFrame, carry: Sequence[str]) -> DataFrame:
     )
 
 
-def crossing_rings(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
-    """Codes of polygons with segments that cross.
+SEGMENT_CELL = ["_x0", "_y0", "_g", "_gx", "_gy"]
 
-    Each polygon gets its own grid with about as many cells as segments; only segments that share a cell
-    are compared, so even one huge polygon is spread over many keys. Inside a ring, any contact of segments
-    that do not follow each other counts; between rings a true crossing or a common stretch does, a common point does not.
-    """
-    bands = F.ceil(F.sqrt(F.size(F.flatten("rings"))))
-    width = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) / bands
-    boxed = with_box(polygons.select(code, "rings")).select(
-        code, "rings", F.col("minx").alias("x0"), F.col("miny").alias("y0"), F.when(width > 0, width).otherwise(1.0).alias("g")
-    )
-    segments = ring_segments(boxed, [code, "x0", "y0", "g"])
 
-    def band(a: str, b: str, start: str) -> Column:
-        place = lambda v: F.floor((v - F.col(start)) / F.col("g"))
-        return F.explode(F.sequence(place(F.least(a, b)), place(F.greatest(a, b))))
+def _walk(segments: DataFrame, cuts: int | None = None) -> DataFrame:
+    """A row for each cell (``_gx``, ``_gy``) that a segment passes in the grid with corner ``_x0``, ``_y0`` and cell
+    size ``_g``; with ``cuts`` only for cells of that many rows and columns (and a rim against rounding).
 
-    placed = segments.withColumn("gx", band("x1", "x2", "x0")).withColumn("gy", band("y1", "y2", "y0"))
-    a = placed.select(code, "gx", "gy", F.struct("ring_no", "ring_size", "seg_no", "x1", "y1", "x2", "y2").alias("a"))
+    The rows of the grid first, then in each row the columns between the places where the segment enters and leaves
+    it. These places are widened by more than the rounding can shift them, so cells are added but none is left out.
+    """
+    rim = lambda v, way: v if cuts is None else (F.greatest(v, F.lit(-1)) if way < 0 else F.least(v, F.lit(cuts)))
+
+    def spread(df: DataFrame, name: str, low: Column, high: Column, start: str) -> DataFrame:
+        number = lambda v: F.floor((v - F.col(start)) / F.col("_g"))
+        ends = df.withColumn("_a", rim(number(low), -1)).withColumn("_b", rim(number(high), 1)).filter("_a <= _b")
+        return ends.withColumn(name, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = spread(segments, "_gy", F.least(y1, y2), F.greatest(y1, y2), "_y0")
+    slack = lambda a, b: F.lit(1e-14) * (F.abs(a) + F.abs(b))
+    border = F.col("_y0") + F.col("_gy") * F.col("_g")
+    share = lambda y: F.least(F.greatest(F.coalesce(F.try_divide(y - y1, y2 - y1), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    enters, leaves = x1 + share(border - slack(y1, y2)) * (x2 - x1), x1 + share(border + F.col("_g") + slack(y1, y2)) * (x2 - x1)
+    level = y1 == y2
+    low = F.when(level, F.least(x1, x2)).otherwise(F.least(enters, leaves) - slack(x1, x2))
+    high = F.when(level, F.greatest(x1, x2)).otherwise(F.greatest(enters, leaves) + slack(x1, x2))
+    return spread(rows, "_gx", low, high, "_x0")
+
+
+def _contacts(placed: DataFrame, code: str) -> DataFrame:
+    """Codes with two segments in one cell that meet in a way that rings must not."""
+    cell = [code, *SEGMENT_CELL]
+    a = placed.select(*cell, F.struct("ring_no", "ring_size", "seg_no", "x1", "y1", "x2", "y2").alias("a"))
     b = a.withColumnRenamed("a", "b")
     gap = F.col("b.seg_no") - F.col("a.seg_no")
     same_ring = F.col("a.ring_no") == F.col("b.ring_no")
     apart = (gap > 1) & (gap < F.col("a.ring_size") - 1)
     later = (F.col("a.ring_no") < F.col("b.ring_no")) | (same_ring & apart)
-    met = a.join(b, [code, "gx", "gy"]).filter(later)
+    met = a.join(b, cell).filter(later)
     sides = _pair_sides(F.col("a"), F.col("b"))
     proper = (F.signum(sides[0]) * F.signum(sides[1]) < 0) & (F.signum(sides[2]) * F.signum(sides[3]) < 0)
     ends = [("b", "x1", "y1", "a"), ("b", "x2", "y2", "a"), ("a", "x1", "y1", "b"), ("a", "x2", "y2", "b")]
@@ -232,6 +280,34 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
     return met.filter(proper | (same_ring & touch) | stretch).select(code).distinct()
 
 
+def crossing_rings(polygons: DataFrame, code: str = "geo_code", limit: int = CELL_SEGMENTS) -> DataFrame:
+    """Codes of polygons with segments that cross.
+
+    Each polygon gets its own grid with about as many cells as segments, and a segment goes to the cells that it passes;
+    only segments that share a cell are compared, so even one huge polygon is spread over many keys. Cells with more than
+    ``limit`` segments are cut into finer ones, up to ``CUT_DEPTH`` times. Only segments that all pass one spot remain
+    together after that. Inside a ring, any contact of segments that do not follow each other counts; between rings a true
+    crossing or a common stretch does, a common point does not.
+    """
+    bands = F.ceil(F.sqrt(F.size(F.flatten("rings"))))
+    width = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) / bands
+    boxed = with_box(polygons.select(code, "rings")).select(
+        code, "rings", F.col("minx").alias("_x0"), F.col("miny").alias("_y0"), F.when(width > 0, width).otherwise(1.0).alias("_g")
+    )
+    todo, found, cell = _walk(ring_segments(boxed, [code, "_x0", "_y0", "_g"])), [], [code, *SEGMENT_CELL]
+    for depth in range(CUT_DEPTH + 1):
+        if depth < CUT_DEPTH:
+            hot = stage(todo.groupBy(*cell).count().filter(F.col("count") > limit).select(*cell), "hot-cells")
+        if depth == CUT_DEPTH or hot.isEmpty():
+            found.append(_contacts(todo, code))
+            break
+        found.append(_contacts(todo.join(hot, cell, "left_anti"), code))
+        corner = lambda c: F.col(f"_{c}0") + F.col(f"_g{c}") * F.col("_g")
+        inside = todo.join(hot, cell, "left_semi").withColumns({"_x0": corner("x"), "_y0": corner("y"), "_g": F.col("_g") / CELL_CUTS})
+        todo = stage(_walk(inside.drop("_gx", "_gy"), CELL_CUTS), "cell-segments")
+    return reduce(DataFrame.union, found).distinct()
+
+
 def _overlap(axis: str) -> Column:
     """Segments ``a`` and ``b`` share more than a point along an axis."""
     ends = {s: (F.col(f"{s}.{axis}1"), F.col(f"{s}.{axis}2")) for s in "ab"}

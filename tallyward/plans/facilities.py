@@ -82,8 +82,8 @@ def countable_points(points: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) ->
 
 def _matched(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag]) -> DataFrame:
     layer = profile_layer(polygons)
-    boxed = within_box(points, layer)
-    return match_points(countable_points(boxed, tags), polygons, size=layer.extent, crowding=boxed)
+    places = stage(countable_points(within_box(points, layer), tags), "places")
+    return match_points(places, polygons, size=layer.extent)
 
 
 def facility_counts(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:

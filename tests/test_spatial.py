@@ -93,6 +93,39 @@ def test_borders_that_are_not_exact_in_binary(spark, size):
     assert spatial.match_points(points(spark, corners), layer(spark, squares), size=size).count() == 4 * 144
 
 
+def circle(n, radius):
+    import math
+
+    ring = [(radius * math.cos(2 * math.pi * i / n), radius * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return ring + [ring[0]]
+
+
+def test_wide_and_tiny_polygons_get_grids_of_their_own(spark):
+    """One polygon a thousand times as wide as the median and many a thousandth as wide: few cells each, same matches."""
+    polygons = {f"m{i}": [[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0)]] for i in range(9)}
+    polygons |= {f"t{i}": [[(i / 999, 0), (i / 999 + 0.001, 0), (i / 999, 0.001), (i / 999, 0)]] for i in range(7)}
+    polygons["wide"] = [circle(40, 500.0)]
+    df = layer(spark, polygons)
+    rng = random.Random(11)
+    places = [(rng.uniform(-600, 600), rng.uniform(-600, 600)) for _ in range(150)]
+    places += [(rng.uniform(0, 9), rng.uniform(0, 1)) for _ in range(150)] + [(i / 999, 0.0005) for i in range(7)] + [(3, 0), (3, 1)]
+    got = spatial.match_points(points(spark, places), df, size=1.0)
+    assert sorted((r.poi_id, r.geo_code) for r in got.collect()) == brute_force(places, polygons)
+    levels = spatial.levels_of(df, 1.0)
+    assert levels == [-1, 0, 2]
+    assert spatial.grid_cover(df, 1.0, levels).groupBy("geo_code").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_cover_of_a_polygon_grows_linearly_with_its_vertices(spark):
+    def carried(n):
+        cover = spatial.grid_cover(layer(spark, {"round": [circle(n, 500.0)]}), 1.0, [1, 2])
+        return cover.agg(F.count("*"), F.sum(F.size("edges"))).first()
+
+    small, large = carried(1000), carried(100_000)
+    assert small[0] == large[0] <= 100
+    assert large[1] < 120 * small[1]
+
+
 def test_profile_of_an_empty_layer(spark):
     assert spatial.profile_layer(layer(spark, {}).limit(0)).extent == 1.0
 
@@ -153,8 +186,52 @@ def test_crossings_match_brute_force(spark):
         n = len(segs)
         if any(meet(*segs[i], *segs[j]) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)):
             want.add(code)
-    got = {r.geo_code for r in spatial.crossing_rings(layer(spark, polygons)).collect()}
-    assert got == want and 0 < len(want) < len(polygons)
+    for limit in (spatial.CELL_SEGMENTS, 2):  # the second cuts cells to the last level
+        got = {r.geo_code for r in spatial.crossing_rings(layer(spark, polygons), limit=limit).collect()}
+        assert got == want and 0 < len(want) < len(polygons)
+
+
+def comb(n, width, height):
+    """A simple ring of ``n`` long narrow teeth, all slanted."""
+    ring = []
+    for i in range(n):
+        ring += [(i * width, 0.0), (i * width + height, height)]
+    return ring + [(n * width + 9, -1.0), ring[0]]
+
+
+def test_segments_go_to_the_cells_they_pass(spark):
+    """Long diagonals: rows grow like segments times the side of the grid, not like its square."""
+    n = 200
+    boxed = layer(spark, {"comb": [comb(n, 0.01, 10.0)]}).selectExpr("geo_code", "rings", "0D AS _x0", "-1D AS _y0", "0.5D AS _g")
+    segments = spatial.ring_segments(boxed, ["geo_code", "_x0", "_y0", "_g"])
+    assert spatial._walk(segments).count() < segments.count() * 3 * 24
+
+
+def test_crowded_cells_of_segments_are_cut(spark):
+    """Most vertices of a ring lie in one corner; a crossing there is found, and without it none."""
+    fine = circle(3000, 0.01)
+    good = [(9.0, -9.0), (9.1, -9.0), (9.1, -8.9), (9.0, -8.9), (9.0, -9.0)]
+    bad = fine[:-1]
+    bad[700], bad[705] = bad[705], bad[700]
+    far = [(-90.0, -90.0), (90.0, -90.0), (90.0, 90.0), (-90.0, 90.0), (-90.0, -90.0)]
+    polygons = layer(spark, {"good": [far, fine, good], "bad": [far, [*bad, bad[0]], good], "comb": [comb(150, 0.1, 30.0)]})
+    for limit in (64, spatial.CELL_SEGMENTS):
+        assert rows(spatial.crossing_rings(polygons, limit=limit)) == [("bad",)]
+
+
+def test_contacts_on_uneven_numbers_match_without_a_grid(spark):
+    """Rings with coordinates that are not exact in binary, far from zero: every cut gives the same codes."""
+    rng = random.Random(4)
+    polygons = {}
+    for i in range(60):
+        ring = [(431000.1 + rng.random() / 3, 297000.7 + rng.random() / 7) for _ in range(5)]
+        polygons[f"r{i}"] = [[*ring, ring[0]]]
+    df = layer(spark, polygons)
+    one = spatial.ring_segments(df.selectExpr("geo_code", "rings", *(f"0D AS {c}" for c in spatial.SEGMENT_CELL)), ["geo_code", *spatial.SEGMENT_CELL])
+    want = rows(spatial._contacts(one, "geo_code"))
+    assert 0 < len(want) < 60
+    for limit in (2, 6, spatial.CELL_SEGMENTS):
+        assert rows(spatial.crossing_rings(df, limit=limit)) == want
 
 
 def poi(spark, data):
