@@ -83,7 +83,7 @@ def poi_counts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def poi_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = views.points_of_interest(spark, sf_dir).select("poi_id", "name", "value", "x", "y")
-    matched = spatial.match_points(points, views.boundaries(spark, sf_dir))
+    matched = spatial.match_points(points, stage(views.boundaries(spark, sf_dir), "layer"))
     return matched.select("geo_code", "poi_id", "name", "value")
 
 
@@ -154,7 +154,7 @@ SELECT {area("c_custkey")} AS geo_code, k <> 5 AS closed, k <> 11 AS enough_poin
 FROM (SELECT c_custkey, c_custkey % 40 AS k FROM customer)"""
 )
 def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.ring_validity(views.unchecked_boundaries(spark, sf_dir))
+    return spatial.ring_validity(stage(views.unchecked_boundaries(spark, sf_dir), "layer"))
 
 
 # Fixed values of the published definition, typed here once more so that the SQL does not share them with the library.

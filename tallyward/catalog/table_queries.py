@@ -13,6 +13,7 @@ from tallyward.operators.rows import bounded, drop_values, keep_values, left_mat
 from tallyward.operators.spatial import ring_validity
 from tallyward.plans.quality import quality_report as report
 from tallyward.sources import role_views as views
+from tallyward.sources.staging import stage
 
 
 @register(
@@ -125,7 +126,7 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT {area('c_custkey')} AS geo_code FROM customer WHERE c_custkey % 40 IN (5, 11, 23, 29, 31, 35)")
 def invalid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ring_validity(views.unchecked_boundaries(spark, sf_dir)).filter(~F.col("valid")).select("geo_code")
+    return ring_validity(stage(views.unchecked_boundaries(spark, sf_dir), "layer")).filter(~F.col("valid")).select("geo_code")
 
 
 def _missing(name: str, condition: str) -> str:

@@ -294,7 +294,8 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code", limit: int = CEL
     boxed = with_box(polygons.select(code, "rings")).select(
         code, "rings", F.col("minx").alias("_x0"), F.col("miny").alias("_y0"), F.when(width > 0, width).otherwise(1.0).alias("_g")
     )
-    todo, found, cell = _walk(ring_segments(boxed, [code, "_x0", "_y0", "_g"])), [], [code, *SEGMENT_CELL]
+    todo = stage(_walk(ring_segments(boxed, [code, "_x0", "_y0", "_g"])), "cell-segments")
+    found, cell = [], [code, *SEGMENT_CELL]
     for depth in range(CUT_DEPTH + 1):
         if depth < CUT_DEPTH:
             hot = stage(todo.groupBy(*cell).count().filter(F.col("count") > limit).select(*cell), "hot-cells")
