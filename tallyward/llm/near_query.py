@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.llm.bk_shards import RADIUS, links
 from tallyward.llm.components import components
+from tallyward.llm.near_copies import near_groups  # noqa: F401  (groups by verified similarity, beside those by fingerprint)
 from tallyward.llm.simhash import SHINGLE, fingerprints
 from tallyward.sources.staging import stage
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc``, ``mark``, ``fp``, ``root`` (the group) and ``component`` (its smallest id, itself included) of every row.
+def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Groups of SimHash links alone, as op5's contract has them; ``near_groups`` is for removing near copies.
+
+    ``doc``, ``mark``, ``fp``, ``root`` (the group) and ``component`` (its smallest id, itself included) of every row.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get a component but name none.
     Copies meet in their fingerprint before any search, so a fingerprint takes part once however many rows have it.
@@ -27,7 +30,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every document."""
-    found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = fingerprint_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select(F.col("doc").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
