@@ -2,9 +2,10 @@
 
 A document leaks an item if one of its windows of the item's number of words has a weighted-shingle similarity of at least
 ``SIMILAR`` with it: the sum of the smaller over the sum of the larger counts of each shingle, over word shingles of five.
+Of a document shorter than the item the whole document is the window.
 
-1. *Windows.* Both sides have n shingles, so a similarity t needs at least 2nt / (1 + t) of a window's shingles in the
-   item. Shingles of documents are looked up in the benchmark's, and only windows that reach this number are kept. This
+1. *Windows.* A window of w shingles and an item of n need at least (w + n)t / (1 + t) of the window's shingles in the
+   item for a similarity t, and w >= nt. Shingles of documents are looked up in the benchmark's, and only windows that reach this number are kept. This
    loses no window that the last step would accept; it only spares the fingerprints of windows that cannot match.
 2. *Fingerprints.* Windows and items get a 64-bit SimHash of their shingles with their multiplicities.
 3. *Multi-index.* Fingerprints are cut into ``BLOCKS`` blocks. Two within ``RADIUS`` bits differ by at most
@@ -76,7 +77,7 @@ def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text")
 
 def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The best window of each document and item that it leaks: ``doc_id``, ``item_id``, ``start`` (word, from 0),
-    ``n_words``, ``similarity``, ``distance`` (bits), and ``mark``, which tells rows of one id with other texts apart.
+    ``n_words`` (of the window), ``similarity``, ``distance`` (bits), and ``mark``, which tells rows of one id with other texts apart.
 
     Items of fewer than five words are compared as one shingle of their words. Items and documents without words and
     items without an id match nothing; a null document id is kept. Of equal windows the first counts. Rows that repeat
@@ -104,7 +105,8 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     own = stage(hashed.select("item", "n", "n_words", F.explode("hashes").alias("h")), "item-shingles")
     known = stage(own.groupBy("h").agg(F.count("*").alias("uses")), "known")
     blocks = max(1, -(-known.count() // MOST_BROADCAST))
-    each = tokens_of(rows).select("doc", "mark", F.posexplode(shingles(F.col("tokens"), k)).alias("pos", "h"))
+    hashes = tokens_of(rows).select("doc", "mark", shingles(F.col("tokens"), k).alias("hashes"))
+    each = hashes.select("doc", "mark", F.size("hashes").alias("m"), F.posexplode("hashes").alias("pos", "h"))
     hits = None
     for b in range(blocks):  # a block has at most about MOST_BROADCAST rows
         part = F.broadcast(known.filter(F.pmod("h", F.lit(blocks)) == b).select("h"))
@@ -113,21 +115,23 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     hits = stage(hits, "hits").distinct()
 
     # Windows with enough hits, from the sorted places of an item's shingles in a document.
-    need = F.ceil(F.col("n") * (2 * similar / (1 + similar)) - 1e-9).cast("int")
+    width = F.least("n", "m")
+    need = F.ceil((F.col("w") + F.col("n")) * (similar / (1 + similar)) - 1e-9).cast("int")
     sizes = own.select("item", "n", "n_words", "h").distinct()
-    places = hits.join(sizes, "h").groupBy("doc", "mark", "item", "n", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    met = hits.join(sizes, "h").withColumn("w", width).filter(F.col("w") >= F.col("n") * similar - 1e-9)
+    places = met.groupBy("doc", "mark", "item", "n", "n_words", "w").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     places = places.withColumn("need", F.greatest(need, F.lit(1))).filter("size(at) >= need")
-    span = "transform(sequence(need - 1, size(at) - 1), i -> struct(greatest(at[i] - n + 1, 0) AS a, at[i - need + 1] AS b))"
+    span = "transform(sequence(need - 1, size(at) - 1), i -> struct(greatest(at[i] - w + 1, 0) AS a, at[i - need + 1] AS b))"
     ranges = places.withColumn("r", F.explode(F.expr(span))).filter("r.a <= r.b")
-    windows = ranges.select("doc", "mark", "item", "n", "n_words", F.explode(F.sequence("r.a", "r.b")).alias("start")).distinct()
+    windows = ranges.select("doc", "mark", "item", "n", "n_words", "w", F.explode(F.sequence("r.a", "r.b")).alias("start")).distinct()
     windows = stage(windows, "windows")
 
     # Candidate documents' shingles; the windows are hashed, texts stream past them.
-    wanted = windows.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", "n", "n_words", "start")).alias("w"))
+    wanted = windows.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", "n", "n_words", "w", "start")).alias("win"))
     texts = rows.join(wanted.hint("shuffle_hash"), ["doc", "mark"])
-    texts = tokens_of(texts).select("doc", "mark", shingles(F.col("tokens"), k).alias("hashes"), "w")
-    cut = texts.select("doc", "mark", F.explode("w").alias("w"), "hashes").filter("w.start + w.n <= size(hashes)")
-    cut = cut.select("doc", "mark", "w.*", F.slice("hashes", F.col("w.start") + 1, F.col("w.n")).alias("hashes"))
+    texts = tokens_of(texts).select("doc", "mark", shingles(F.col("tokens"), k).alias("hashes"), "win")
+    cut = texts.select("doc", "mark", F.explode("win").alias("win"), "hashes").filter("win.start + win.w <= size(hashes)")
+    cut = cut.select("doc", "mark", "win.*", F.slice("hashes", F.col("win.start") + 1, F.col("win.w")).alias("hashes"))
     cut = stage(cut.dropDuplicates(["doc", "mark", "item", "start"]), "cut")
     keys = ["doc", "mark", "item", "start"]
     prints = simhash(cut.select(*keys, F.explode("hashes").alias("h")), keys)
@@ -143,11 +147,11 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")
     close = close.select(*keys, distance).filter(F.col("distance") <= RADIUS).distinct()
 
-    candidates = cut.join(close, keys).select(*keys, "n", "n_words", "distance", F.explode("hashes").alias("h"))
-    counts = candidates.groupBy(*keys, "n", "n_words", "distance", "h").agg(F.count("*").alias("c"))
+    candidates = cut.join(close, keys).select(*keys, "n", "n_words", "w", "distance", F.explode("hashes").alias("h"))
+    counts = candidates.groupBy(*keys, "n", "n_words", "w", "distance", "h").agg(F.count("*").alias("c"))
     item_counts = own.groupBy("item", "h").agg(F.count("*").alias("d"))
-    both = counts.join(item_counts, ["item", "h"]).groupBy(*keys, "n", "n_words", "distance").agg(F.sum(F.least("c", "d")).alias("same"))
-    similarity = F.col("same") / (2 * F.col("n") - F.col("same"))
+    both = counts.join(item_counts, ["item", "h"]).groupBy(*keys, "n", "n_words", "w", "distance").agg(F.sum(F.least("c", "d")).alias("same"))
+    similarity = F.col("same") / (F.col("w") + F.col("n") - F.col("same"))
     return both.withColumn("similarity", similarity).filter(F.col("similarity") >= similar).select(
-        "doc", "mark", "item", "start", "n_words", "similarity", "distance"
+        "doc", "mark", "item", "start", (F.col("n_words") - F.col("n") + F.col("w")).alias("n_words"), "similarity", "distance"
     )
