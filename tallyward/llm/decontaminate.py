@@ -105,8 +105,8 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     own = stage(hashed.select("item", "n", "n_words", F.explode("hashes").alias("h")), "item-shingles")
     known = stage(own.groupBy("h").agg(F.count("*").alias("uses")), "known")
     blocks = max(1, -(-known.count() // MOST_BROADCAST))
-    hashes = tokens_of(rows).select("doc", "mark", shingles(F.col("tokens"), k).alias("hashes"))
-    each = hashes.select("doc", "mark", F.size("hashes").alias("m"), F.posexplode("hashes").alias("pos", "h"))
+    m = F.greatest(F.size("tokens") - (k - 1), F.lit(0)).alias("m")  # from the tokens: a column of hashes stalls the optimizer
+    each = tokens_of(rows).select("doc", "mark", m, F.posexplode(shingles(F.col("tokens"), k)).alias("pos", "h"))
     hits = None
     for b in range(blocks):  # a block has at most about MOST_BROADCAST rows
         part = F.broadcast(known.filter(F.pmod("h", F.lit(blocks)) == b).select("h"))
