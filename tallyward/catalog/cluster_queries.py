@@ -19,7 +19,7 @@ from tallyward.sources.staging import stage
 
 YEAR = "2000"
 K = 6
-CANDIDATES = (3, 4, 5, 6)
+CANDIDATES = tuple(range(3, 11))
 
 _WIDE = ", ".join(
     f"CAST(sum(CASE WHEN month = '{p}' THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for p, name in zip(study_periods(YEAR), MONTH_NAMES)
