@@ -65,6 +65,8 @@ def sf_dir(spark, tmp_path_factory, documents):
     as_frame(spark, documents).repartition(3).write.parquet(f"{folder}/documents.parquet")
     items = [(1, prose(1, 70)), (2, prose(1, 70)), (3, prose(30, 4)), (4, None), (5, ""), (None, prose(31, 20)), (6, prose(9, 20000)[:400])]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    marks = [(d, 0, int(d % 3 == 0)) for d, _, _, _ in documents if d is not None and d != 6] + [(6, None, None), (None, 1, 1), (9, 0, 0), (999, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c\r\nX: y", ""), (4, "u", None), (5, "u", "é" * 3000)]
     pages += [(5, "u", "é" * 3000), (6, "u", "other"), (None, "u", "same"), (None, "u", "alone"), (-7, "u", "same")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
@@ -79,6 +81,7 @@ def empty_dir(spark, tmp_path_factory):
         ("benchmark", "item_id long, text string"),
         ("pages", "page_id long, url string, html string"),
         ("embeddings", "vec_id long, embedding array<float>, label int"),
+        ("labels", "doc_id long, quality int, toxic int"),
     ):
         spark.createDataFrame([], shape).write.parquet(f"{folder}/{name}.parquet")
     return folder
