@@ -21,6 +21,7 @@ _MODULES = (
     "language_query",
     "repeats_query",
     "warc_query",
+    "spelling_query",
     "toxicity_query",
 )
 
