@@ -22,6 +22,7 @@ _MODULES = (
     "repeats_query",
     "warc_query",
     "spelling_query",
+    "negatives_query",
     "toxicity_query",
 )
 
