@@ -24,6 +24,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyward.llm.marks import text_mark
 from tallyward.sources.staging import stage
 
 SHINGLE = 5
@@ -87,7 +88,7 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, doc_id: s
     sizes = [r[0] for r in classes.select(F.least(F.size("tokens"), F.lit(SHINGLE)).alias("k")).distinct().collect()]
     # A struct with a null id equals another such, so null ids need no care in joins.
     doc = F.struct(F.col(doc_id).alias("doc_id")).alias("doc")
-    rows = docs.select(doc, F.hash(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
+    rows = docs.select(doc, text_mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = [_leaks_of_size(rows, classes.filter(F.least(F.size("tokens"), F.lit(SHINGLE)) == k), k, similar) for k in sorted(sizes)]
     if not found:
         empty = rows.select("doc.doc_id", "mark", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance"))

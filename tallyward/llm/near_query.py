@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.llm.bk_shards import RADIUS, links
 from tallyward.llm.components import components
-from tallyward.llm.near_copies import near_groups  # noqa: F401  (groups by verified similarity, beside those by fingerprint)
 from tallyward.llm.simhash import SHINGLE, fingerprints
 from tallyward.sources.staging import stage
 
 
 def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Groups of SimHash links alone, as op5's contract has them; ``near_groups`` is for removing near copies.
+    """Groups of SimHash links.
 
     ``doc``, ``mark``, ``fp``, ``root`` (the group) and ``component`` (its smallest id, itself included) of every row.
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tallyward.llm.marks import MARK, text_mark
+
 SEED = 42
 SHINGLE = 3
 _BLOCK = 1 << 16
@@ -41,7 +43,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``doc`` (the id), ``mark`` (a hash of the text, which tells rows of one id apart) and ``fp`` (long, the 64 bits) of
+    """``doc`` (the id), ``mark`` (see ``text_mark``) and ``fp`` (long, the 64 bits) of
     each row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +52,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             bits = np.fromiter((fingerprint(shingle_hashes(t, k)) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(bits.view(np.int64))], ["doc", "mark", "fp"])
 
-    mark = F.hash(F.coalesce(F.col(text), F.lit(""))).alias("mark")
-    rows = docs.select(F.col(doc_id).alias("doc"), mark, F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc_id]}, mark int, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc"), text_mark(F.col(text)).alias("mark"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc_id]}, mark {MARK}, fp long")

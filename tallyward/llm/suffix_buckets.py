@@ -197,9 +197,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     an id or have none: the same row twice removes all strings of both.
     """
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    # Null ids share a stand-in here; the mark of the text tells them apart.
+    # Rows are told apart by 96 bits of id and text, so null and repeated ids need nothing of their own.
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"))
-    rows = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.hash("text")})
+    rows = rows.withColumns({"doc": F.xxhash64("doc_id", "text"), "mark": F.hash("text")})
     ranges = repeated_starts(rows.select("doc", "mark", "text"), length, gram)
     gone = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     gone = stage(gone, "gone").hint("shuffle_hash")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyward.llm import bk_shards, projected_search
 from tallyward.llm.components import components
 from tallyward.llm.mixing import emit, mix
-from tallyward.llm.near_query import near_groups
+from tallyward.llm.near_query import fingerprint_groups
 from tallyward.llm.projected_search import chi_square_quantile, nearest
 from tallyward.llm.rolling import word_hashes, windows
 from tallyward.llm.secret_ledger import BASE_RULES, Ledger, Rule, RuleSet, report, versions_of
@@ -68,8 +68,8 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: r for n, r in want.items() if n != r}
 
 
-def test_near_groups_keep_every_row(spark, documents):
-    found = near_groups(as_frame(spark, documents)).collect()
+def test_fingerprint_groups_keep_every_row(spark, documents):
+    found = fingerprint_groups(as_frame(spark, documents)).collect()
     assert len(found) == len(documents)
     assert {r.component for r in found if r.doc in (6, 7) and r.fp == next(x.fp for x in found if x.doc == 6)} == {6}
 

@@ -30,12 +30,43 @@ def test_one_of_each_near_group_stays(spark, sf_dir, documents):
     ids = Counter(r.doc_id for r in kept)
     assert ids[6] == 1 and ids[1] == 1 and 2 not in ids and 3 not in ids
     assert [r.text for r in kept if r.doc_id == 7] == [prose(4, 30)]
-    from tallyward.llm.near_query import near_groups
+    from tallyward.llm.near_query import fingerprint_groups
 
-    roots = near_groups(docs).select("root").distinct().count()
+    roots = fingerprint_groups(docs).select("root").distinct().count()
     assert len(kept) == roots
 
 
+def same_hash_texts(spark, n=200_000):
+    """Two texts whose 32-bit hashes are equal."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(n).select(F.concat(F.lit("word"), F.md5(F.col("id").cast("string"))).alias("text"))
+    return list(texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("two")).filter(F.size("two") > 1).first().two)
+
+
+def test_rows_without_id_are_not_taken_for_copies(spark, sf_dir):
+    from tallyward.llm.suffix_buckets import remove_repeats
+
+    one, two = same_hash_texts(spark)
+    docs = as_frame(spark, [(None, t + " " + prose(301 + i, 90), "en", "a") for i, t in enumerate((one, two))] + [(None, one, "en", "a"), (None, two, "en", "a")])
+    kept = pipeline.without_benchmark(spark, docs, sf_dir)
+    assert kept.count() == 4
+    assert pipeline.without_near_copies(spark, docs, sf_dir).count() == 4
+    found = remove_repeats(docs, length=30, gram=8).collect()  # each text of 36 letters occurs twice in one row less its prose
+    assert sorted(r.n_removed for r in found) == [36, 36, 36, 36]
+
+
+def near_copies(spark, rows):
+    docs = as_frame(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
+    return {r.doc_id for r in pipeline.without_near_copies(spark, docs, "").collect()}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    base = prose(80, 4000)
+    rows = [base, base, base.upper(), base + " end", prose(81, 4000), prose(82, 50), "", " ", None]
+    assert near_copies(spark, rows) == {0, 4, 5, 6}
+
+
 def test_leaking_documents_go(spark, sf_dir, documents):
     kept = pipeline.without_benchmark(spark, as_frame(spark, documents), sf_dir).collect()
     gone = Counter(r[0] for r in documents) - Counter(r.doc_id for r in kept)
