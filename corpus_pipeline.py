@@ -1,18 +1,19 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Each stage takes ``(spark, docs, sf_dir)``. Rows that repeat an id are told apart by a hash of their text; columns that the
+Each stage takes ``(spark, docs, sf_dir)``. Rows that repeat an id are told apart by 128 bits of their text; columns that the
 stages do not know are carried along. Null texts and texts without a letter go in the first stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyward.llm.byte_cnn import UNKNOWN, Network, has_letter, predict, train
 from tallyward.llm.decontaminate import leaks
 from tallyward.llm.language_query import held_out
+from tallyward.llm.marks import text_mark
 from tallyward.llm.mixing import emit, mix, word_count
-from tallyward.llm.near_copies import near_groups
+from tallyward.llm.near_query import fingerprint_groups
 from tallyward.llm.secret_ledger import Ledger, redacted, versions_of
 from tallyward.sources.staging import stage
 
@@ -38,19 +39,22 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score(docs, net))).select(docs.columns)
 
 
+def _key(doc_id: Column) -> Column:
+    """The id as text; a null id is the empty text, which no other id is."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``_key`` and ``_mark``: the id as text and a hash of the text; neither is null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_mark": F.hash(text)})
+    """``_key`` and ``_mark``, neither null: rows that agree in both have the same id and text."""
+    return docs.withColumns({"_key": _key(F.col("doc_id")), "_mark": text_mark(F.col("text"))})
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, which are pairs with a similarity of at least
-    0.8 of their 5-word shingles; a row without id only if no other has one."""
+    """The document with the smallest id of each group of SimHash links, with the shingles and the distance of op5; a row
+    without id only if no other has one."""
     first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("mark"))).alias("first")
-    chosen = near_groups(docs).groupBy("root").agg(first)
-    key = F.coalesce(F.col("first.doc").cast("string"), F.lit("null")).alias("_key")
-    chosen = stage(chosen.select(key, F.col("first.mark").alias("_mark")).distinct(), "chosen")
+    chosen = fingerprint_groups(docs).groupBy("root").agg(first)
+    chosen = stage(chosen.select(_key(F.col("first.doc")).alias("_key"), F.col("first.mark").alias("_mark")).distinct(), "chosen")
     found = _keyed(docs).join(chosen.hint("shuffle_hash"), ["_key", "_mark"], "left_semi")
     # Rows that agree in id and text are still together: one stays.
     same = Window.partitionBy("_key", "_mark").orderBy(F.lit(0))
@@ -60,7 +64,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = leaks(docs, items).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"), F.col("mark").alias("_mark"))
+    found = leaks(docs, items).select(_key(F.col("doc_id")).alias("_key"), F.col("mark").alias("_mark"))
     return _keyed(docs).join(stage(found.distinct(), "leaks"), ["_key", "_mark"], "left_anti").select(docs.columns)
 
 
