@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tallyward.sources.staging import stage
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -31,6 +33,7 @@ RATE = 0.01
 UNKNOWN = "und"
 _ROWS = 64
 _SHARE_BYTES = 1 << 20
+_PLACES = 1 << 30
 
 
 @dataclass
@@ -153,15 +156,19 @@ def has_letter(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, keep: Column, doc_id: str, text: str, lang: str) -> DataFrame:
-    """``lang`` and windows of text (binary) of the bounded sample."""
+    """``lang`` and windows of text (binary) of the bounded sample; rows that repeat an id and text count once."""
     usable = docs.filter(keep & F.col(lang).isNotNull() & has_letter(F.col(text)))
     rows = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
-    chosen = rows.select("id", "lang", F.xxhash64("id", "text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
+    h, place = F.xxhash64("id", "text").alias("h"), F.pmod("h", F.lit(_PLACES))
+    known = stage(rows.select("lang", h).distinct(), "training")
+    # About twice the sample passes the first test, so a language's rank sees little more than the sample.
+    sizes = known.groupBy("lang").agg((F.lit(2.0 * SAMPLE_DOCS * _PLACES) / F.count("*") + 1).alias("most"))
+    some = known.join(sizes, "lang").filter(place <= F.col("most"))
+    order = Window.partitionBy("lang").orderBy(place, "h")
+    chosen = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
     # At most SAMPLE_DOCS small rows a language, so they are sent to the texts and not the texts to them.
-    sent = F.broadcast(chosen.select("h", "lang").distinct())
-    picked = rows.withColumn("h", F.xxhash64("id", "text")).join(sent, ["h", "lang"])
+    sent = F.broadcast(chosen.select("h", "lang"))
+    picked = rows.withColumn("h", h).join(sent, ["h", "lang"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     size = F.octet_length("text")
     steps = F.transform(
         F.sequence(F.lit(0), F.least(F.lit(SAMPLE_WINDOWS - 1), F.floor((size - 1) / WINDOW).cast("int"))),

@@ -216,11 +216,11 @@ def nearest(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vect
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` largest inner products found for each query row.
 
     ``is_query`` is a condition on the id. Null ids take no part. Vectors meet only vectors of their own dimension. Ties
-    go to the smaller id; a query's own row is no candidate. Of rows with the same vector the ``k`` + 1 smallest ids are
-    candidates, which loses nothing: no result can name another. Empty tables give an empty result.
+    go to the smaller id; a query's own row is no candidate. Of rows that share an id the one with the smallest vector counts.
+    Of ids with the same vector the ``k`` + 1 smallest are candidates, which loses nothing: no result can name another. Empty tables give an empty result.
     """
     named = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    good = usable(named.filter("id IS NOT NULL"), "v").withColumn("dims", F.size("v"))
+    good = usable(named.filter("id IS NOT NULL"), "v").groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
     good = stage(good, "vectors")
     kinds = [r[0] for r in good.select("dims").distinct().collect()]
     if not kinds:

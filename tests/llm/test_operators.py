@@ -194,3 +194,26 @@ def test_mix_emits_its_copies(spark, documents):
     for r in emit(mixed).collect():
         copies.setdefault((r.doc_id, r.text), []).append(r.copy)
     assert sum(map(len, copies.values())) == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_repeated_ids_are_one_neighbour(spark):
+    rows = [(20, [1.0, 0.0])] * 22 + [(21, [1.0, 0.0]), (40, [0.5, 0.0]), (40, [0.9, 0.0]), (41, [0.2, 0.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q: [(r.vec_id, r.score) for r in sorted(rs, key=lambda r: r["rank"])] for q, rs in _by_query(nearest(frame, lambda i: i % 20 == 0, 20)).items()}
+    assert got[20] == [(21, 1.0), (40, 0.5), (41, 0.2)] and got[40] == [(20, 0.5), (21, 0.5), (41, 0.1)]
+
+
+def _by_query(frame):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r.query_id, []).append(r)
+    return out
+
+
+def test_training_sample_is_bounded_on_repeated_rows(spark):
+    from tallyward.llm.byte_cnn import SAMPLE_DOCS, SAMPLE_WINDOWS, training_rows
+
+    rows = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("a b c " * 200).alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(3000).select(F.col("id").cast("int").alias("doc_id"), F.concat(F.lit("x"), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    found = training_rows(rows.union(more), F.lit(True), "doc_id", "text", "lang").collect()
+    assert sum(r.lang == "en" for r in found) == SAMPLE_WINDOWS and sum(r.lang == "de" for r in found) == SAMPLE_DOCS
