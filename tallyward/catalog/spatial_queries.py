@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FACILITY_COLUMNS, FIXED_LABELS, POI, SPATIAL, area, using
 from tallyward.functions.national_grid import project, unproject
-from tallyward.operators import spatial
+from tallyward.operators import ring_nesting, spatial
 from tallyward.operators.reshape import widen
 from tallyward.operators.rows import top_per_group
 from tallyward.plans import facilities as plans
@@ -150,11 +150,12 @@ def points_of_top_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     f"""
 SELECT {area("c_custkey")} AS geo_code, k <> 5 AS closed, k <> 11 AS enough_points, k <> 17 AS no_repeats,
-       k NOT IN (23, 31, 35) AS uncrossed, k <> 29 AS holes_inside, k NOT IN (5, 11, 23, 29, 31, 35) AS valid
+       k NOT IN (23, 31, 35) AS uncrossed, k NOT IN (29, 9) AS holes_inside, k NOT IN (1, 7) AS rings_apart, k NOT IN (2, 3, 9) AS interior_whole,
+       k NOT IN (1, 2, 3, 5, 7, 9, 11, 23, 29, 31, 35) AS valid
 FROM (SELECT c_custkey, c_custkey % 40 AS k FROM customer)"""
 )
 def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.ring_validity(stage(views.unchecked_boundaries(spark, sf_dir), "layer"))
+    return ring_nesting.ring_validity(stage(views.unchecked_boundaries(spark, sf_dir), "layer"))
 
 
 # Fixed values of the published definition, typed here once more so that the SQL does not share them with the library.

@@ -257,8 +257,9 @@ def _walk(segments: DataFrame, cuts: int | None = None) -> DataFrame:
     return spread(rows, "_gx", low, high, "_x0")
 
 
-def _contacts(placed: DataFrame, code: str) -> DataFrame:
-    """Codes with two segments in one cell that meet in a way that rings must not."""
+def _contact_rows(placed: DataFrame, code: str) -> DataFrame:
+    """Two segments in one cell that meet: ``crossed`` if in a way that rings must not, and the end ``points`` of one that lie
+    on the other; ``ring_a``, ``seg_a``, ``ring_b``, ``seg_b``."""
     cell = [code, *SEGMENT_CELL]
     a = placed.select(*cell, F.struct("ring_no", "ring_size", "seg_no", "x1", "y1", "x2", "y2").alias("a"))
     b = a.withColumnRenamed("a", "b")
@@ -269,19 +270,30 @@ def _contacts(placed: DataFrame, code: str) -> DataFrame:
     met = a.join(b, cell).filter(later)
     sides = _pair_sides(F.col("a"), F.col("b"))
     proper = (F.signum(sides[0]) * F.signum(sides[1]) < 0) & (F.signum(sides[2]) * F.signum(sides[3]) < 0)
-    ends = [("b", "x1", "y1", "a"), ("b", "x2", "y2", "a"), ("a", "x1", "y1", "b"), ("a", "x2", "y2", "b")]
-    touch = F.lit(False)
-    for p, px, py, e in ends:
-        touch = touch | _on_edge(F.col(e), F.col(f"{p}.{px}"), F.col(f"{p}.{py}"))
+    ends = [(F.col(f"{p}.x{i}"), F.col(f"{p}.y{i}"), F.col(e)) for p, e in ("ba", "ab") for i in (1, 2)]
+    on = [F.when(_on_edge(e, x, y), F.struct(x.alias("x"), y.alias("y"))) for x, y, e in ends]
+    touch = F.coalesce(*on).isNotNull()
     line = F.lit(True)
     for side in sides:
         line = line & (side == 0)
     stretch = line & (_overlap("x") | _overlap("y"))
-    return met.filter(proper | (same_ring & touch) | stretch).select(code).distinct()
+    found = met.filter(proper | touch | stretch)
+    names = [F.col(f"{p}.{c}_no").alias(f"{c}_{p}") for p in "ab" for c in ("ring", "seg")]
+    return found.select(code, (proper | (same_ring & touch) | stretch).alias("crossed"), *names, F.array_compact(F.array(*on)).alias("points"))
+
+
+def _contacts(placed: DataFrame, code: str) -> DataFrame:
+    """Codes with two segments in one cell that meet in a way that rings must not."""
+    return _contact_rows(placed, code).filter("crossed").select(code).distinct()
 
 
 def crossing_rings(polygons: DataFrame, code: str = "geo_code", limit: int = CELL_SEGMENTS) -> DataFrame:
-    """Codes of polygons with segments that cross.
+    """Codes of polygons with segments that cross (see ``ring_contacts``)."""
+    return ring_contacts(polygons, code, limit, _contacts).distinct()
+
+
+def ring_contacts(polygons: DataFrame, code: str = "geo_code", limit: int = CELL_SEGMENTS, rows_of=_contact_rows) -> DataFrame:
+    """What ``rows_of`` finds among the segments of each cell; a pair may come up once a cell.
 
     Each polygon gets its own grid with about as many cells as segments, and a segment goes to the cells that it passes;
     only segments that share a cell are compared, so even one huge polygon is spread over many keys. Cells with more than
@@ -300,13 +312,13 @@ def crossing_rings(polygons: DataFrame, code: str = "geo_code", limit: int = CEL
         if depth < CUT_DEPTH:
             hot = stage(todo.groupBy(*cell).count().filter(F.col("count") > limit).select(*cell), "hot-cells")
         if depth == CUT_DEPTH or hot.isEmpty():
-            found.append(_contacts(todo, code))
+            found.append(rows_of(todo, code))
             break
-        found.append(_contacts(todo.join(hot, cell, "left_anti"), code))
+        found.append(rows_of(todo.join(hot, cell, "left_anti"), code))
         corner = lambda c: F.col(f"_{c}0") + F.col(f"_g{c}") * F.col("_g")
         inside = todo.join(hot, cell, "left_semi").withColumns({"_x0": corner("x"), "_y0": corner("y"), "_g": F.col("_g") / CELL_CUTS})
         todo = stage(_walk(inside.drop("_gx", "_gy"), CELL_CUTS), "cell-segments")
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found)
 
 
 def _overlap(axis: str) -> Column:
@@ -315,46 +327,5 @@ def _overlap(axis: str) -> Column:
     return F.greatest(*(F.least(*e) for e in ends.values())) < F.least(*(F.greatest(*e) for e in ends.values()))
 
 
-def stray_holes(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
-    """Codes of polygons with a hole outside the shell of its part.
-
-    The first ring of a part is its shell (``part_sizes`` has the rings of each part; without it all rings are one
-    part). For rings that do not cross, three points of a hole tell, as at most two touch the shell by chance.
-    """
-    sizes = F.col("part_sizes") if "part_sizes" in polygons.columns else F.array(F.size("rings"))
-    before = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda s, n: s + n))
-    parts = F.zip_with(before, sizes, lambda at, n: F.slice("rings", at + 1, n))
-    part = polygons.filter(F.size(sizes) > 0).select(code, F.explode(parts).alias("part")).filter(F.size("part") > 1)
-    shells = with_edges(part.select(code, F.slice("part", 1, 1).alias("rings"), F.expr("slice(part, 2, size(part) - 1)").alias("holes")))
-    outside = lambda p: ~covers(F.col("edges"), p["x"], p["y"])
-    stray = F.exists("holes", lambda hole: F.exists(F.slice(hole, 1, 3), outside))
-    return shells.filter(stray).select(code).distinct()
-
-
 def _pair_sides(a: Column, b: Column) -> list[Column]:
     return [_side(a, b["x1"], b["y1"]), _side(a, b["x2"], b["y2"]), _side(b, a["x1"], a["y1"]), _side(b, a["x2"], a["y2"])]
-
-
-def ring_validity(polygons: DataFrame, code: str = "geo_code") -> DataFrame:
-    """Per polygon: rings closed, at least four points, no crossing or common stretch, holes inside, and all of it.
-
-    A repeated point is flagged too, but does not make a polygon invalid.
-    """
-    every = lambda test: F.forall("rings", test)
-
-    def no_repeat(ring: Column) -> Column:
-        n = F.greatest(F.size(ring) - 1, F.lit(0))
-        return F.forall(F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: p != q), lambda differs: differs)
-
-    flagged = polygons.select(
-        code,
-        every(lambda r: F.element_at(r, 1) == F.element_at(r, -1)).alias("closed"),
-        every(lambda r: F.size(r) >= 4).alias("enough_points"),
-        every(no_repeat).alias("no_repeats"),
-    )
-    crossing = crossing_rings(polygons, code).withColumn("_crossed", F.lit(True))
-    stray = stray_holes(polygons, code).withColumn("_stray", F.lit(True))
-    joined = flagged.join(crossing, code, "left").join(stray, code, "left")
-    joined = joined.withColumns({"uncrossed": F.col("_crossed").isNull(), "holes_inside": F.col("_stray").isNull()})
-    valid = F.col("closed") & F.col("enough_points") & F.col("uncrossed") & F.col("holes_inside")
-    return joined.drop("_crossed", "_stray").withColumn("valid", valid)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tallyward.operators.rows import bounded
-from tallyward.operators.spatial import ring_validity
+from tallyward.operators.ring_nesting import ring_validity
 from tallyward.plans.facilities import places_per_tag
 from tallyward.plans.panel import CountPanel
 

@@ -145,6 +145,13 @@ def metric_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BAD_RINGS = {
+    1: [SQUARE, [(1, 1), (9, 1), (9, 9), (1, 9), (1, 1)], [(3, 3), (6, 3), (6, 6), (3, 6), (3, 3)]],
+    2: [SQUARE, [(0, 5), (5, 2), (10, 5), (5, 8), (0, 5)]],
+    3: [SQUARE, [(2, 2), (5, 2), (3, 5), (5, 8), (2, 8), (2, 2)], [(5, 2), (8, 2), (8, 8), (5, 8), (7, 5), (5, 2)]],
+    7: [SQUARE, [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]],
+    9: [[(0, 0), (10, 0), (10, 10), (7, 5), (5, 4), (3, 5), (0, 10), (0, 0)], [(10, 10), (5, 4), (0, 10), (5, 9), (10, 10)]],
+    13: [SQUARE, [(0, 5), (4, 7), (4, 3), (0, 5)]],
+    15: [SQUARE, [(2, 2), (8, 2), (8, 8), (2, 8), (2, 2)], [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]],
     5: [[(0, 0), (10, 0), (10, 10), (0, 10)]],
     11: [[(0, 0), (10, 0), (0, 0)]],
     17: [[(0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)]],
@@ -154,17 +161,24 @@ BAD_RINGS = {
     35: [SQUARE, [(0, 3), (0, 7), (4, 7), (4, 3), (0, 3)]],
     37: [SQUARE, [(3, 3), (3, 7), (7, 5), (3, 3)]],
 }
+SEVERAL_PARTS = {7: [1, 1], 15: [2, 1]}
 
 
 def unchecked_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of which some are unclosed, too short, repeat a point or cross themselves, or have a hole outside
-    the shell, a ring twice, a hole along an edge; and one good hole."""
+    the shell, a ring twice, a hole along an edge, a hole in a hole, holes that cut the interior, a part in a part; and good
+    ones, a hole that touches once and a part in a hole among them."""
     customer = table(spark, sf_dir, "customer").select("c_custkey")
     kind = F.col("c_custkey") % 40
     shape = F.array(_ring(SQUARE))
     for residue, rings in BAD_RINGS.items():
         shape = F.when(kind == residue, F.array(*map(_ring, rings))).otherwise(shape)
-    return customer.select(area_code(F.col("c_custkey")).alias("geo_code"), shape.alias("rings"))
+    sizes = F.array(F.size("rings"))
+    for residue, parts in SEVERAL_PARTS.items():
+        sizes = F.when(F.col("_kind") == residue, F.array(*map(F.lit, parts))).otherwise(sizes)
+    return customer.select(area_code(F.col("c_custkey")).alias("geo_code"), shape.alias("rings"), kind.alias("_kind")).select(
+        "geo_code", "rings", sizes.alias("part_sizes")
+    )
 
 
 def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tallyward.operators import spatial
+from tallyward.operators import ring_nesting, spatial
+from tallyward.operators.graph import components
 from tallyward.plans import facilities
 
 LAYER = "geo_code string, geo_label string, rings array<array<struct<x:double,y:double>>>"
@@ -154,7 +155,7 @@ def test_ring_validity(spark):
             "touching hole": [SQUARE, [(0, 5), (4, 7), (4, 3), (0, 5)]],
         },
     )
-    got = {r.geo_code: (r.closed, r.enough_points, r.no_repeats, r.uncrossed, r.holes_inside, r.valid) for r in spatial.ring_validity(polygons).collect()}
+    got = {r.geo_code: (r.closed, r.enough_points, r.no_repeats, r.uncrossed, r.holes_inside, r.valid) for r in ring_nesting.ring_validity(polygons).collect()}
     assert got["fine"] == got["touching hole"] == (True, True, True, True, True, True)
     assert got["open"] == (False, True, True, True, True, False)
     assert got["short"] == (True, False, True, True, True, False)
@@ -165,6 +166,80 @@ def test_ring_validity(spark):
     assert not got["twice"][5] and not got["shared edge"][5]
 
 
+def box(x, y, w, h=None):
+    h = w if h is None else h
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+
+def diamond(x, y, r):
+    return [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+
+
+BIG = box(0, 0, 20)
+TOPOLOGY = {  # name: (parts, flags that are false)
+    "hole in hole": ([[BIG, box(2, 2, 16), box(5, 5, 5)]], {"rings_apart"}),
+    "hole from side to side": ([[BIG, [(0, 10), (10, 5), (20, 10), (10, 15), (0, 10)]]], {"interior_whole"}),
+    "two holes meeting twice": ([[BIG, [(5, 5), (10, 5), (7, 8), (10, 11), (5, 11), (5, 5)], [(10, 5), (15, 5), (15, 11), (10, 11), (12, 8), (10, 5)]]], {"interior_whole"}),
+    "two holes meeting once": ([[BIG, diamond(5, 10, 2), diamond(9, 10, 2)]], set()),
+    "part in a part": ([[BIG], [box(3, 3, 4)]], {"rings_apart"}),
+    "part in a part that touches": ([[BIG], [[(0, 10), (5, 8), (5, 12), (0, 10)]]], {"rings_apart"}),
+    "part in a hole": ([[BIG, box(2, 2, 10)], [box(4, 4, 3)]], set()),
+    "part fills a hole at its corners": ([[BIG, box(4, 4, 8)], [diamond(8, 8, 4)]], set()),
+    "parts side by side": ([[BIG], [box(30, 0, 5)]], set()),
+    "parts meeting in a point": ([[BIG], [[(20, 10), (25, 8), (25, 12), (20, 10)]]], set()),
+    "hole touching once": ([[BIG, [(0, 5), (4, 7), (4, 3), (0, 5)]]], set()),
+    "hole in a notch": ([[[(0, 0), (10, 0), (10, 10), (7, 5), (5, 4), (3, 5), (0, 10), (0, 0)], [(10, 10), (5, 4), (0, 10), (5, 9), (10, 10)]]], {"holes_inside", "interior_whole"}),
+    "hole through a corner": ([[BIG, [(10, 20), (12, 24), (14, 20), (12, 16), (10, 20)]]], {"uncrossed"}),
+    "hole leaves through a corner": ([[[(0, 0), (20, 0), (10, 10), (20, 20), (0, 20), (0, 0)], [(5, 9), (15, 9.5), (15, 10.5), (5, 11), (5, 9)]]], {"uncrossed"}),
+    "hole over the tip of a notch": ([[[(0, 0), (20, 0), (10, 10), (20, 20), (0, 20), (0, 0)], [(8, 9), (10, 10), (14, 10), (8, 11), (8, 9)]]], {"uncrossed"}),
+    "hole passing a corner": ([[[(0, 0), (20, 0), (10, 10), (20, 20), (0, 20), (0, 0)], [(8, 10), (10, 10), (16, 11), (16, 9), (10, 10), (8, 10)]]], {"uncrossed"}),
+    "ring of holes": ([[BIG, box(4, 4, 2), box(6, 6, 2), box(4, 8, 2), box(2, 6, 2)]], {"interior_whole"}),
+    "hole outside": ([[BIG, box(25, 5, 3)]], {"holes_inside"}),
+    "hole in the wrong part": ([[BIG, box(31, 1, 2)], [box(30, 0, 5)]], {"holes_inside"}),
+    "deep": ([[BIG, box(1, 1, 18)], [box(2, 2, 16), box(3, 3, 14)], [box(4, 4, 12)]], set()),
+    "one ring": ([[BIG]], set()),
+}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_topology(spark, turned):
+    data = []
+    for name, (parts, _) in TOPOLOGY.items():
+        rings = [[(y, x) if turned else (x, y) for x, y in r] for part in parts for r in part]
+        data.append((name, [[(float(x) * 3 - 7, float(y) * 3 + 1) for x, y in r] for r in rings], [len(p) for p in parts]))
+    shape = "geo_code string, rings array<array<struct<x: double, y: double>>>, part_sizes array<int>"
+    found = {r.geo_code: r for r in ring_nesting.ring_validity(spark.createDataFrame(data, shape)).collect()}
+    assert len(found) == len(TOPOLOGY)
+    flags = ["closed", "enough_points", "uncrossed", "holes_inside", "rings_apart", "interior_whole"]
+    for name, (_, wrong) in TOPOLOGY.items():
+        got = {f for f in flags if not found[name][f]}
+        if name in ("hole through a corner", "hole leaves through a corner", "hole over the tip of a notch", "hole passing a corner"):
+            assert got  # one of the tests sees it
+        else:
+            assert got == wrong, name
+        assert found[name].valid == (not got)
+
+
+def test_many_holes_in_one_area(spark):
+    shell = box(0, 0, 1000)
+    holes = [box(10 + 20 * (i % 40), 10 + 20 * (i // 40), 9) for i in range(600)]
+    rows_ = {"good": [shell, *holes], "bad": [shell, *holes, box(12, 12, 3)]}
+    got = {r.geo_code: r.valid for r in ring_nesting.ring_validity(layer(spark, rows_)).collect()}
+    assert got == {"good": True, "bad": False}
+
+
+def test_components_of_any_type(spark):
+    rng = random.Random(5)
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("s", f"t{i}") for i in range(30)]
+    pairs += [(f"r{rng.randrange(80)}", f"r{rng.randrange(80)}") for _ in range(50)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    group = {x: x for p in pairs for x in p}
+    for _ in range(len(group)):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {r.node: r.root for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()} == group
+
+
 def test_crossings_match_brute_force(spark):
     rng = random.Random(3)
     polygons = {f"r{i}": [[(rng.randrange(9), rng.randrange(9)) for _ in range(6)]] for i in range(40)}
