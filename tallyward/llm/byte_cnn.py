@@ -163,7 +163,8 @@ def training_rows(docs: DataFrame, keep: Column, doc_id: str, text: str, lang: s
     known = stage(rows.select("lang", h).distinct(), "training")
     # About twice the sample passes the first test, so a language's rank sees little more than the sample.
     sizes = known.groupBy("lang").agg((F.lit(2.0 * SAMPLE_DOCS * _PLACES) / F.count("*") + 1).alias("most"))
-    some = known.join(sizes, "lang").filter(place <= F.col("most"))
+    # A row a language, of which the network has an output for each.
+    some = known.join(F.broadcast(sizes), "lang").filter(place <= F.col("most"))
     order = Window.partitionBy("lang").orderBy(place, "h")
     chosen = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
     # At most SAMPLE_DOCS small rows a language, so they are sent to the texts and not the texts to them.
