@@ -11,7 +11,7 @@ from tallyward.catalog.spatial_queries import facilities_of
 from tallyward.catalog.sql_views import BOUNDARIES, FACILITIES, INCIDENTS, PANEL, using
 from tallyward.operators.clustering import assign, fit_restarts, load_centres, save_centres
 from tallyward.plans.settings import MONTH_NAMES
-from tallyward.sources import files, role_views as views
+from tallyward.sources import files, role_views as views, shapefile
 from tallyward.sources.staging import fresh_path, stage
 
 
@@ -83,13 +83,38 @@ def boundary_geojson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary layer, areas of two parts included, through newline-delimited GeoJSON; all coordinates."""
     path = fresh_path(spark, "boundaries")
     files.write_boundary_lines(views.boundaries_in_parts(spark, sf_dir), path)
-    back = files.read_boundary_lines(spark, path)
-    parts = back.select("geo_code", "geo_label", F.posexplode(files.parts_of(F.col("rings"), F.col("part_sizes"))).alias("part", "rings"))
+    return _coordinates(files.read_boundary_lines(spark, path))
+
+
+def _coordinates(layer: DataFrame) -> DataFrame:
+    parts = layer.select("geo_code", "geo_label", F.posexplode(files.parts_of(F.col("rings"), F.col("part_sizes"))).alias("part", "rings"))
     rings = parts.select("geo_code", "geo_label", "part", F.posexplode("rings").alias("ring", "points"))
     points = rings.select("geo_code", "geo_label", "part", "ring", F.posexplode("points").alias("point", "p"))
     return points.select("geo_code", "geo_label", "part", "ring", "point", "p.x", "p.y")
 
 
+@register(using(BOUNDARIES) + PARTS_SQL)
+def boundary_shapefile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary layer, areas of two parts included, written in two appends and read as shapefiles; all coordinates."""
+    path = fresh_path(spark, "shapes")
+    shapefile.register(spark)
+    layer = views.boundaries_in_parts(spark, sf_dir)
+    odd = F.crc32(F.col("geo_code").cast("binary")) % 2 == 1
+    for some in (layer.filter(odd), layer.filter(~odd)):
+        some.write.format("polygons").mode("append").save(path)
+    return _coordinates(spark.read.format("polygons").load(path))
+
+
+@register(using(BOUNDARIES) + " SELECT geo_code, geo_label, x0 AS minx, y0 + 10 AS maxy FROM (SELECT geo_code, geo_label, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0 FROM boundaries) WHERE x0 <= 300 AND x0 + 10 >= 100")
+def boundary_shapefile_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas whose box meets a range of x, tested by the source in front of each shape."""
+    path = fresh_path(spark, "shapes")
+    shapefile.register(spark)
+    views.boundaries_in_parts(spark, sf_dir).write.format("polygons").mode("append").save(path)
+    found = spark.read.format("polygons").load(path).filter("minx <= 300 AND maxx >= 100")
+    return found.select("geo_code", "geo_label", "minx", "maxy")
+
+
 @register(using(BOUNDARIES) + " SELECT geo_code, geo_label, k AS traj FROM (SELECT *, kind % 3 AS k FROM boundaries) WHERE k <> 2")
 def labelled_layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer with a label of each area, written as GeoJSON and as parquet; rows where both come back the same."""
