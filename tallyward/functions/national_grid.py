@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values from the published national grid definition.
@@ -58,41 +59,90 @@ def project(df: DataFrame, lon: str = "lon", lat: str = "lat", easting: str = "e
     )
 
 
-INVERSE_STEPS = 12
+def unproject(df: DataFrame, easting: str = "easting", northing: str = "northing", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Add longitude and latitude of grid positions: the published series backwards, the shift inverted as a linear map, and the
+    closed formula on the other ellipsoid. Undoes ``project`` to well below a millimetre."""
+    start = F.struct((F.col(easting) - GRID_E0).alias("e"), (F.col(northing) - GRID_N0).alias("n"))
+    steps = (_footpoint, _from_grid, lambda at: _cartesian_on(at, AIRY_A, AIRY_E2), _unshifted, _degrees)
+    found = start
+    for step in steps:
+        found = _let(found, step)
+    return df.select("*", found.alias("_degrees")).select(*df.columns, F.col("_degrees.lon").alias(lon), F.col("_degrees.lat").alias(lat))
+
+
+def _footpoint(at: Column) -> Column:
+    """Latitude on the central meridian with the same northing, by the series in the third flattening, and what depends on it."""
+    n, arc0 = GRID_N, _arc_number(math.radians(GRID_LAT0_DEG))
+    mu = (at["n"] + arc0) / (AIRY_B * GRID_F0 * (1 + n + 1.25 * n**2 + 1.25 * n**3))
+    sines = [1.5 * n - 27 / 32 * n**3, 21 / 16 * n**2 - 55 / 32 * n**4, 151 / 96 * n**3, 1097 / 512 * n**4]
+    value = _let(mu, lambda m: m + sum((F.sin(2 * (k + 1) * m) * c for k, c in enumerate(sines)), F.lit(0.0)))
+    return F.struct(at["e"].alias("e"), value.alias("f"))
+
+
+def _arc_number(lat: float) -> float:
+    """Length of the meridian from the equator, as a number, to the order of ``_meridian_arc``."""
+    n = GRID_N
+    return (AIRY_B * GRID_F0) * (
+        (1 + n + 1.25 * n**2 + 1.25 * n**3) * lat
+        - (3 * n + 3 * n**2 + 2.625 * n**3) / 2 * math.sin(2 * lat)
+        + (1.875 * n**2 + 1.875 * n**3) / 2 * math.sin(4 * lat)
+        - (35 / 24 * n**3) / 2 * math.sin(6 * lat)
+    )
 
 
-def unproject(df: DataFrame, easting: str = "easting", northing: str = "northing", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Add longitude and latitude of grid positions: steps of the remaining distance, measured by the projection itself.
+def _from_grid(at: Column) -> Column:
+    """Latitude ``phi`` and longitude ``lam`` on the grid's ellipsoid."""
+    w = 1 - AIRY_E2 * F.pow(F.sin(at["f"]), 2)
+    v = F.lit(AIRY_A * GRID_F0) / F.sqrt(w)
+    terms = F.struct(
+        at["f"].alias("f"), F.tan(at["f"]).alias("tan"), F.cos(at["f"]).alias("c"), v.alias("v"), (v * (1 - AIRY_E2) / w).alias("r"),
+        (at["e"] / v).alias("q"),
+    )
 
-    A step leaves about a fiftieth of the distance, so the fixed number of steps ends below a millimetre.
-    """
-    metres = math.pi / 180 * AIRY_A
+    def series(x: Column) -> Column:
+        t, ratio, q = x["tan"] * x["tan"], x["v"] / x["r"], x["q"]
+        h, q2 = ratio - 1, q * q
+        phi = x["f"] - x["tan"] * ratio * q2 / 2 * (1 - q2 / 12 * (5 + 3 * t + h - 9 * t * h) + q2 * q2 / 360 * (61 + 90 * t + 45 * t * t))
+        lam = q / x["c"] * (
+            1 - q2 / 6 * (ratio + 2 * t) + q2 * q2 / 120 * (5 + 28 * t + 24 * t * t) - F.pow(q2, 3) / 5040 * (61 + 662 * t + 1320 * t * t + 720 * F.pow(t, 3))
+        )
+        return F.struct(phi.alias("phi"), (lam + math.radians(GRID_LON0_DEG)).alias("lam"))
 
-    def step(at: Column, _: Column) -> Column:
-        degrees = F.struct(F.radians(at["lat"]).alias("phi"), F.radians(at["lon"]).alias("lam"))
-        grid = _let(_let(_let(degrees, _cartesian), _shifted), _geodetic)
-        return _let(
-            F.struct(transverse_mercator(grid).alias("g"), at.alias("at")),
-            lambda s: F.struct(
-                (s["at"]["lon"] + (F.col(easting) - s["g"]["east"]) / (metres * F.cos(F.radians(s["at"]["lat"])))).alias("lon"),
-                (s["at"]["lat"] + (F.col(northing) - s["g"]["north"]) / metres).alias("lat"),
-            ),
-        )
+    return _let(terms, series)
 
-    start = F.struct(F.lit(GRID_LON0_DEG).alias("lon"), (F.lit(GRID_LAT0_DEG) + (F.col(northing) - GRID_N0) / metres).alias("lat"))
-    found = F.aggregate(F.array(*[F.lit(i) for i in range(INVERSE_STEPS)]), start, step)
-    return df.select("*", found.alias("_degrees")).select(
-        *df.columns, F.col("_degrees.lon").alias(lon), F.col("_degrees.lat").alias(lat)
-    )
+
+def _unshifted(at: Column) -> Column:
+    """The shift backwards: its matrix inverted."""
+    k = 1 + SCALE_PPM * 1e-6
+    rx, ry, rz = (_seconds(v) for v in (ROTATE_X_SEC, ROTATE_Y_SEC, ROTATE_Z_SEC))
+    back = np.linalg.inv(np.array([[k, -rz, ry], [rz, k, -rx], [-ry, rx, k]]))
+    moved = [at["x"] - SHIFT_X, at["y"] - SHIFT_Y, at["z"] - SHIFT_Z]
+    return F.struct(*(sum((m * float(c) for m, c in zip(moved, row)), F.lit(0.0)).alias(name) for name, row in zip("xyz", back)))
+
+
+def _degrees(at: Column) -> Column:
+    """Longitude and latitude in degrees of a place on the satellite ellipsoid."""
+    e2, ep2 = WGS84_E2, (WGS84_A * WGS84_A - WGS84_B * WGS84_B) / (WGS84_B * WGS84_B)
+    away = F.struct(F.sqrt(at["x"] * at["x"] + at["y"] * at["y"]).alias("p"), at["z"].alias("z"), F.atan2(at["y"], at["x"]).alias("lam"))
+
+    def latitude(c: Column) -> Column:
+        closed = lambda q: F.atan2(c["z"] + ep2 * WGS84_B * F.pow(F.sin(q), 3), c["p"] - e2 * WGS84_A * F.pow(F.cos(q), 3))
+        return F.struct(F.degrees(c["lam"]).alias("lon"), F.degrees(_let(F.atan2(c["z"] * WGS84_A, c["p"] * WGS84_B), closed)).alias("lat"))
+
+    return _let(away, latitude)
 
 
 def _cartesian(at: Column) -> Column:
+    return _cartesian_on(at, WGS84_A, WGS84_E2)
+
+
+def _cartesian_on(at: Column, a: float, e2: float) -> Column:
     phi, lam = at["phi"], at["lam"]
-    nu = F.lit(WGS84_A) / F.sqrt(1 - WGS84_E2 * F.pow(F.sin(phi), 2))
+    nu = F.lit(a) / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
     return F.struct(
         (nu * F.cos(phi) * F.cos(lam)).alias("x"),
         (nu * F.cos(phi) * F.sin(lam)).alias("y"),
-        ((1 - WGS84_E2) * nu * F.sin(phi)).alias("z"),
+        ((1 - e2) * nu * F.sin(phi)).alias("z"),
     )
 
 

@@ -97,5 +97,5 @@ def exact_quantiles(
         high = F.least(low + 1, F.col("_total"))
         hit = lambda rank: F.max(F.when((F.col("below") < rank) & (rank <= last), F.col(value)))
         part = F.max(place - F.floor(place))
-        picks.append((hit(low) * (1 - part) + hit(high) * part).alias(name))
+        picks.append(F.when(part == 0, hit(low)).otherwise(hit(low) * (1 - part) + hit(high) * part).alias(name))
     return ranked.groupBy(*keys).agg(*picks)
