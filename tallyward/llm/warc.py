@@ -2,7 +2,8 @@
 
 Writing: each task writes archives of at most ``roll`` bytes, a gzip member for each record. The member's header has
 an ``sl`` extra field with its compressed and plain length, as Annex D of the WARC standard allows. The commit writes a
-manifest; a reader takes the archives that a manifest lists, so files of lost or repeated task attempts are never read.
+manifest, one for each write; a reader takes the archives that the manifests list, so files of lost or repeated task attempts are
+never read, an append adds, and an overwrite takes the place of all earlier writes.
 
 Reading: a partition is one archive. Type and header predicates are pushed to the reader. For each record it inflates the
 headers only, tests the predicates, and skips an unwanted record by its length without reading or inflating the rest.
@@ -54,7 +55,7 @@ FIELDS = {
 }
 LENGTH_FIELD = "X-Payload-Length"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 ROLL = 256 << 20
 LEVEL = 4
 BATCH_BYTES = 16 << 20
@@ -112,9 +113,15 @@ class Written(WriterCommitMessage):
     archives: list[str]
 
 
+def manifests(system: fs.FileSystem, folder: str) -> list[str]:
+    """The files of a folder that name the archives of one commit each."""
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.path.rsplit("/", 1)[-1].startswith(f"{MANIFEST}-"))
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, roll: int) -> None:
-        self.path, self.roll = path, roll
+    def __init__(self, path: str, roll: int, overwrite: bool) -> None:
+        self.path, self.roll, self.overwrite = path, roll, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = file_system(self.path)
@@ -141,8 +148,9 @@ class WarcWriter(DataSourceArrowWriter):
         system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         names = sorted(a for m in messages if m for a in m.archives)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps(names).encode())
+        earlier = [p.rsplit("/", 1)[-1] for p in manifests(system, folder)] if self.overwrite else []
+        with system.open_output_stream(f"{folder}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps({"archives": names, "replaces": earlier}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         system, folder = file_system(self.path)
@@ -263,9 +271,13 @@ class WarcReader(DataSourceReader):
         system, folder = file_system(self.path)
         if system.get_file_info(folder).type == fs.FileType.File:
             return [Archive(folder)]
-        if system.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{folder}/{MANIFEST}") as source:
-                return [Archive(f"{folder}/{name}") for name in json.loads(source.read())]
+        commits = {}
+        for path in manifests(system, folder):
+            with system.open_input_stream(path) as source:
+                commits[path.rsplit("/", 1)[-1]] = json.loads(source.read())
+        if commits:
+            gone = {name for c in commits.values() for name in c["replaces"]}
+            return [Archive(f"{folder}/{a}") for name in sorted(commits) if name not in gone for a in commits[name]["archives"]]
         found = system.get_file_info(fs.FileSelector(folder, recursive=True))
         return [Archive(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))]
 
@@ -321,7 +333,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self._flag("payload", "true"), self._flag("verify", "false"))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("roll", ROLL)))
+        return WarcWriter(self.options["path"], int(self.options.get("roll", ROLL)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

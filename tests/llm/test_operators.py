@@ -1,5 +1,6 @@
 """The operators' own interfaces: bounds, hot groups, increments, push-down, recall."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -134,6 +135,23 @@ def test_warc_pushes_predicates(spark, tmp_path):
     assert read.filter("payload_bytes > 10").count() == 20
 
 
+def test_warc_appends_add_and_overwrites_replace(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "w")
+
+    def write(mode, *bodies):
+        rows = [("response", f"<urn:{b}>", "u", "2020-01-01T00:00:00Z", hashlib.sha1(b.encode()).hexdigest(), len(b), None, bytearray(b.encode())) for b in bodies]
+        names = "warc_type string, record_id string, target_uri string, warc_date string, payload_sha1 string, payload_bytes long, refers_to string, payload binary"
+        spark.createDataFrame(rows, names).write.format("warc").mode(mode).save(path)
+        return sorted(bytes(r.payload).decode() for r in spark.read.format("warc").load(path).collect())
+
+    assert write("append", "a", "b") == ["a", "b"]
+    assert write("append", "c") == ["a", "b", "c"]
+    (tmp_path / "w" / "part-lost.warc.gz").write_bytes(b"half a record of a lost attempt")
+    assert write("overwrite", "d") == ["d"]
+    assert write("append", "e") == ["d", "e"]
+
+
 def test_warc_of_other_writers(spark, tmp_path):
     import gzip
 
