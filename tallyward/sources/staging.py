@@ -61,3 +61,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths directly below a folder; none if it is missing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f"{path}/{s.getPath().getName()}" for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, the last step of a commit."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(where):
+        raise FileExistsError(path)
