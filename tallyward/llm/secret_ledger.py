@@ -8,21 +8,23 @@ is a folder with three tables that only grow:
 ``findings``  (blob, rule_version, kind, start, end)    code points, end exclusive
 
 A run hashes all versions, removes the pairs that the ledger has, and scans each remaining blob once, however many paths
-hold it. Findings are joined back to every path. A run is one commit: its files go to a folder of their own, so a run
-that dies leaves nothing that a later run would read.
+hold it. Findings are joined back to every path. A run is one commit: its files go to a folder of their own, and a marker
+that is written last makes it count. A run that dies leaves nothing that a later run would read, and can be run again.
+``Ledger.open`` finds the commits of earlier jobs, so a later job scans only what none of them has. Paths have one type
+in all commits. Two runs at once may both scan a pair; its findings count once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyward.sources.staging import fresh_path, stage_at
+from tallyward.sources.staging import children, fresh_path, mark, remove, stage_at
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,8 @@ BASE_RULES = RuleSet(
 )
 
 FINDING = "blob string, rule_version string, kind string, start long, end long"
-TABLES = {"scanned": "blob string, rule_version string", "findings": FINDING}
+TABLES = {"paths": "path string, blob string", "scanned": "blob string, rule_version string", "findings": FINDING}
+MARKER = "_committed"
 
 
 def scan_text(text: str, compiled: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int, int]]:
@@ -93,28 +96,53 @@ def _scan(rule_sets: tuple[RuleSet, ...]):
 
 @dataclass
 class Ledger:
-    """The ledger in ``folder``; ``commits`` are the runs that ended."""
+    """The ledger in ``folder``; ``commits`` are the runs that ended, those of other jobs included."""
 
     spark: SparkSession
     folder: str
     commits: list[str] = field(default_factory=list)
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Ledger:
+        """The ledger that earlier jobs left in a shared folder; a folder that is missing is an empty ledger."""
+        ledger = cls(spark, folder.rstrip("/"))
+        ledger.refresh()
+        return ledger
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Ledger:
         return cls(spark, fresh_path(spark, "ledger"))
 
+    def refresh(self) -> None:
+        """See the commits that ended until now."""
+        self.commits = sorted(c for c in children(self.spark, self.folder) if f"{c}/{MARKER}" in children(self.spark, c))
+
     def table(self, name: str) -> DataFrame:
         if not self.commits:
             return self.spark.createDataFrame([], TABLES[name])
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{c}/{name}") for c in self.commits])
+        reader = self.spark.read if name == "paths" else self.spark.read.schema(TABLES[name])
+        rows = reader.parquet(*(f"{c}/{name}" for c in self.commits))
+        return rows.distinct() if name == "findings" and len(self.commits) > 1 else rows
 
     def scan(self, versions: DataFrame, rule_sets: tuple[RuleSet, ...] = (BASE_RULES,)) -> DataFrame:
         """Scan the blobs in ``versions`` (``path``, ``blob``, ``text``) that the ledger lacks for a rule version.
 
         Returns the pairs scanned now. ``text`` has no nulls. A blob's text is taken from one version that holds it:
-        the (path, blob) pairs are reduced before any text moves, so the shuffle carries each text once.
+        the (path, blob) pairs are reduced before any text moves, so the shuffle carries each text once. An attempt that
+        fails is removed; one whose driver is lost stays without a marker and is never read.
         """
-        commit = f"{self.folder}/commit-{len(self.commits):06d}"
+        self.refresh()
+        commit = f"{self.folder}/commit-{uuid.uuid4().hex}"
+        try:
+            scanned = self._scan_into(commit, versions, rule_sets)
+            mark(self.spark, f"{commit}/{MARKER}")
+        except BaseException:
+            remove(self.spark, commit)
+            raise
+        self.commits.append(commit)
+        return scanned
+
+    def _scan_into(self, commit: str, versions: DataFrame, rule_sets: tuple[RuleSet, ...]) -> DataFrame:
         paths = stage_at(versions.select("path", "blob"), f"{commit}/paths")
         named = paths.groupBy("blob").agg(F.min("path").alias("path"))
         wanted = named.withColumn("rule_version", F.explode(F.array(*(F.lit(s.version) for s in rule_sets))))
@@ -129,7 +157,7 @@ class Ledger:
         findings = todo.mapInPandas(_scan(rule_sets), FINDING).distinct()
         stage_at(findings, f"{commit}/findings")
         scanned = stage_at(pairs.select("blob", "rule_version"), f"{commit}/scanned")
-        self.commits.append(commit)
+        remove(self.spark, f"{commit}/pairs")
         return scanned
 
 
