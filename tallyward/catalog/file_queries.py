@@ -8,10 +8,10 @@ from tallyward.catalog.cluster_queries import K, wide_of
 from tallyward.catalog.panel_queries import panel_of
 from tallyward.catalog.registry import register
 from tallyward.catalog.spatial_queries import facilities_of
-from tallyward.catalog.sql_views import BOUNDARIES, FACILITIES, INCIDENTS, PANEL, using
+from tallyward.catalog.sql_views import BOUNDARIES, EXTRACT_POINTS, FACILITIES, INCIDENTS, PANEL, POI, using
 from tallyward.operators.clustering import assign, fit_restarts, load_centres, save_centres
 from tallyward.plans.settings import MONTH_NAMES
-from tallyward.sources import files, role_views as views, shapefile
+from tallyward.sources import extract, files, role_views as views, shapefile
 from tallyward.sources.staging import fresh_path, stage
 
 
@@ -158,3 +158,29 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = assign(wide, MONTH_NAMES, loaded).select("area_code", F.col("cluster").alias("again"))
     same = F.every(F.coalesce(F.col("cluster") == F.col("again"), F.lit(False)))
     return before.join(after, "area_code", "full").agg(same.alias("same_labels")).withColumn("same_centres", F.lit(bool((centres == loaded).all())))
+
+
+def _extract_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "extract")
+    extract.write_extract(views.map_extract(spark, sf_dir), path)
+    return extract.read_extract(spark, path)
+
+
+@register(using(POI, EXTRACT_POINTS) + """ SELECT poi_id, key, value, name, own,
+  CAST(round(lon * 1e7) AS BIGINT) AS lon_e7, CAST(round(lat * 1e7) AS BIGINT) AS lat_e7 FROM extract_points""")
+def extract_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of the listed tags with the vertices of ways and relations, from an extract written as lines."""
+    found = extract.tagged_points(_extract_of(spark, sf_dir), views.POI_TAGS)
+    place = lambda c: F.round(F.col(c) * 1e7).cast("long").alias(f"{c}_e7")
+    return found.select("poi_id", "key", "value", "name", "own", place("lon"), place("lat"))
+
+
+@register(using(POI, EXTRACT_POINTS) + """ SELECT key, value, count(*) AS n_points, count(*) FILTER (WHERE own) AS n_nodes, count(name) AS n_named,
+  count(DISTINCT (lon, lat)) AS n_places FROM extract_points GROUP BY key, value""")
+def extract_points_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each tag with and without vertices, those with a name, and their distinct places."""
+    found = extract.tagged_points(_extract_of(spark, sf_dir), views.POI_TAGS)
+    at = found.groupBy("key", "value", "lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own"), F.count("name").alias("named"))
+    return at.groupBy("key", "value").agg(
+        F.sum("n").alias("n_points"), F.sum("own").alias("n_nodes"), F.sum("named").alias("n_named"), F.count(F.lit(1)).alias("n_places")
+    )

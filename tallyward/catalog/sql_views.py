@@ -138,3 +138,19 @@ facilities AS (
          CASE WHEN bus > 0 THEN 1 ELSE 0 END AS bus_bin
   FROM (SELECT geo_code, geo_label, {_PIVOT} FROM counts GROUP BY geo_code, geo_label) w
 )"""
+
+
+# To come after POI: the points of each tag with the vertices of its shapes.
+EXTRACT_POINTS = """
+ways AS (SELECT poi_id AS id, key, value, UNNEST([poi_id, poi_id + 1, poi_id + 2, poi_id + 3, 7]) AS node FROM poi WHERE poi_id % 10 = 1 AND poi_id % 50 <> 1),
+relations AS (SELECT poi_id AS id, key, value FROM poi WHERE poi_id % 100 = 5),
+handed AS (
+  SELECT key, value, node FROM ways
+  UNION SELECT key, value, id + 1 FROM relations
+  UNION SELECT r.key, r.value, w.node FROM relations r JOIN ways w ON w.id = r.id + 6
+  UNION SELECT key, value, poi_id FROM poi WHERE poi_id % 3 = 0
+),
+extract_points AS (
+  SELECT p.poi_id, h.key, h.value, p.name, p.lon, p.lat, p.poi_id % 3 = 0 AND p.key = h.key AND p.value = h.value AS own
+  FROM handed h JOIN poi p ON p.poi_id = h.node
+)"""

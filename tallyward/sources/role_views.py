@@ -203,6 +203,36 @@ def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REF = "struct<kind:string,id:bigint,role:string>"
+HUB = 7
+
+
+def map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as nodes, of which a third have their tag themselves; every tenth point also gives a way over it, the next
+    three and one node that all ways share, every hundredth a relation of a node, a way and a relation. Some ways are
+    deleted, and the last ones name nodes that are missing."""
+    points = points_of_interest(spark, sf_dir).withColumnRenamed("poi_id", "id")
+    tag = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    listed = F.array(tag(F.col("key"), F.col("value")))
+    named = lambda name: F.filter(F.array(tag(F.lit("name"), name)), lambda t: t["value"].isNotNull())
+    ref = lambda kind, key, role: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("id"), F.lit(role).alias("role"))
+    id_ = F.col("id")
+    none = F.lit(None).cast("double")
+    nodes = points.select(
+        F.lit("n").alias("kind"), "id", F.lit(1).alias("version"), F.lit(True).alias("visible"),
+        F.concat(F.when(id_ % 3 == 0, listed).otherwise(F.slice(listed, 1, 0)), named(F.col("name"))).alias("tags"),
+        "lon", "lat", F.array().cast(f"array<{REF}>").alias("refs"),
+    )
+    shape = lambda rows, kind, visible, refs: rows.select(
+        F.lit(kind).alias("kind"), "id", F.lit(1).alias("version"), visible.alias("visible"),
+        F.concat(listed, named(F.lit("caf\u00e9, 100% = @home"))).alias("tags"), none.alias("lon"), none.alias("lat"), refs.cast(f"array<{REF}>").alias("refs"),
+    )
+    corners = F.array(*(ref("n", k, "") for k in (id_, id_ + 1, id_ + 2, id_ + 3, F.lit(HUB))))
+    ways = shape(points.filter(id_ % 10 == 1), "w", id_ % 50 != 1, corners)
+    members = F.array(ref("n", id_ + 1, "entrance"), ref("w", id_ + 6, "outer"), ref("r", id_ + 100, ""))
+    return nodes.union(ways).union(shape(points.filter(id_ % 100 == 5), "r", F.lit(True), members))
+
+
 def fixed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster letter per area from its key: sizes fall from A to F."""
     key = F.col("c_custkey")
