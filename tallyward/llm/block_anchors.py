@@ -7,10 +7,11 @@ the smaller document, a whole reference block: one of its non-overlapping blocks
 2. a hit is extended over all runs of ``window`` words that contain it, and of each run the smallest id is found;
 3. runs with a smaller id than their own document's are removed; overlapping ones make up the maximal repeats.
 
-Probes are the bulk: one for each word of the corpus. They travel packed: a task cuts its probes into buckets (as many as
-the session has shuffle partitions) by some hash bits and sends 32 further bits of each, with the ids as run lengths. In
-a bucket the index comes first and probes stream past it, so a task holds the distinct reference blocks of its buckets
-however often a block occurs. 32 bits and the bucket only choose candidates; runs are compared by 96 bits.
+Probes are the bulk: one for each word of the corpus. They travel packed: a task cuts its probes into buckets by some hash
+bits and sends 32 further bits of each, with the ids as differences and run lengths. The number of buckets follows the
+bytes of text, so a task's share is the same at every size. In a bucket the index comes first and probes stream past it, so a
+task holds the distinct reference blocks of its bucket however often a block occurs. 32 bits and the bucket only choose
+candidates; runs are compared by 96 bits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from tallyward.llm.rolling import BASES, windows, word_hashes
 from tallyward.sources.staging import fresh_path, remove, stage, stage_at
 
 WINDOW = 50
+BUCKET_BYTES = 16 << 20
+# Beyond some 300 GB buckets grow instead: more of them would leave a task's probes a few words a row.
+MOST_BUCKETS = 20_000
 _FLUSH = 1 << 21
 _PROBE = "bucket int, kind int, docs binary, counts binary, sigs binary"
 
@@ -44,7 +48,8 @@ def _packed(codes: np.ndarray, docs: np.ndarray, kind: int) -> Iterator[tuple]:
         if len(rows):
             a, b = rows[0], rows[-1] + 1
             turns = np.concatenate(([0], np.flatnonzero(np.diff(docs[a:b])) + 1, [b - a]))
-            yield int(bucket[a]), kind, docs[a:b][turns[:-1]].tobytes(), np.diff(turns).astype(np.int32).tobytes(), sigs[a:b].tobytes()
+            steps = np.diff(docs[a:b][turns[:-1]], prepend=np.int64(0))  # small numbers, which shuffle files compress well
+            yield int(bucket[a]), kind, steps.tobytes(), np.diff(turns).astype(np.int32).tobytes(), sigs[a:b].tobytes()
 
 
 def _batch(rows: list[tuple], schema: list[tuple]) -> pa.RecordBatch:
@@ -101,7 +106,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != bucket:
                 out += close()
                 bucket, refs, known = at, [], None
-            ids = np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int32))
+            ids = np.repeat(np.cumsum(np.frombuffer(docs, np.int64)), np.frombuffer(counts, np.int32))
             sigs = np.frombuffer(sigs, np.uint32)
             if kind == 0:
                 refs.append((sigs, ids))
@@ -178,6 +183,12 @@ def _kept(window: int):
     return run
 
 
+def buckets_for(docs: DataFrame, size: int = BUCKET_BYTES, most: int = MOST_BUCKETS) -> int:
+    """Buckets of about ``size`` bytes of text: one pass that counts bytes. No bucket count changes a result."""
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(most, max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // size)))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space) of every row.
 
@@ -185,12 +196,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other's words; a run that a smaller id has goes from all of them. Texts under ``window`` words stay whole.
     """
     spark, block = docs.sparkSession, window // 2
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), whole.alias("text"))
     named = rows.filter("doc IS NOT NULL")
+    buckets = buckets_for(named)
     packed = named.mapInArrow(_probes(block, buckets), _PROBE)
-    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_hits, "doc long, codes binary")
+    met = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_hits, "doc long, codes binary")
     hits = stage(met, "hits").groupBy("doc").agg(F.collect_list("codes").alias("codes"))
     # Hits are hashed, texts stream past them unsorted.
     found = named.join(hits.hint("shuffle_hash"), "doc").select("doc", "text", "codes")
