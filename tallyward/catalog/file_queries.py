@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.cluster_queries import K, wide_of
-from tallyward.catalog.panel_queries import panel_of
+from tallyward.catalog.panel_queries import panel_of, write_drops
 from tallyward.catalog.registry import register
 from tallyward.catalog.spatial_queries import facilities_of
 from tallyward.catalog.sql_views import BOUNDARIES, EXTRACT_POINTS, FACILITIES, INCIDENTS, PANEL, POI, using
@@ -22,20 +22,9 @@ FROM (SELECT year, month, category AS crime_type, area_code AS lsoa_code FROM in
 )
 def csv_glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly CSV drops below one folder, read back in one scan with the year taken from the path."""
-    rows = views.incidents(spark, sf_dir)
-    by_name = {
-        "Month": F.col("month"),
-        "Reported by": F.col("reported_by"),
-        "Longitude": F.col("x"),
-        "Latitude": F.col("y"),
-        "LSOA code": F.col("area_code"),
-        "Crime type": F.col("category"),
-    }
-    schema = files.INCIDENT_FILE_SCHEMA
-    drop = rows.select(*[by_name.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], F.col("month").alias("drop"))
     root = fresh_path(spark, "drops")
-    drop.hint("rebalance", "drop").write.partitionBy("drop").option("header", True).csv(root)
-    back = files.read_csv_tree(spark, root, schema, "*.csv", r"/drop=(\d{4})-\d{2}/")
+    write_drops(views.incidents(spark, sf_dir), root)
+    back = files.read_csv_tree(spark, root, files.INCIDENT_FILE_SCHEMA, "*.csv", r"/drop=(\d{4})-\d{2}/")
     return back.groupBy("year", "month", "crime_type").agg(
         F.count(F.lit(1)).alias("n"), F.count("lsoa_code").alias("n_located"), F.count_distinct("lsoa_code").alias("n_areas")
     )

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyward.catalog.registry import register
 from tallyward.catalog.sql_views import BOUNDARIES, INCIDENTS, PANEL, using
 from tallyward.operators.rows import keep_values, not_in
+from tallyward.plans.drops import PanelFiles
 from tallyward.plans.panel import CountPanel, build_panel, dense_counts, excluded_areas, usable_incidents
 from tallyward.plans.reconcile import analysed_boundaries, area_counts, missing_areas
 from tallyward.plans.settings import TOTAL_CATEGORY
 from tallyward.plans.trends import long_run_trend as category_trend, main_measure_trend, trend_table as trends
 from tallyward.sources import role_views as views
+from tallyward.sources.files import INCIDENT_FILE_SCHEMA, read_csv_tree
 from tallyward.sources.staging import fresh_path
 
 
@@ -40,6 +44,42 @@ def panel_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CountPanel(year(loaded.cells), year(loaded.levels)).dense()
 
 
+def write_drops(rows: DataFrame, root: str) -> None:
+    """Incidents as CSV files of the published shape, those of a month below ``drop=<month>``."""
+    by_name = {
+        "Month": F.col("month"),
+        "Reported by": F.col("reported_by"),
+        "Longitude": F.col("x"),
+        "Latitude": F.col("y"),
+        "LSOA code": F.col("area_code"),
+        "Crime type": F.col("category"),
+    }
+    drop = rows.select(
+        *[by_name.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INCIDENT_FILE_SCHEMA], F.col("month").alias("drop")
+    )
+    drop.hint("rebalance", "drop").write.partitionBy("drop").mode("append").option("header", True).csv(root)
+
+
+def _month_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files written below ``drop=<month>``, with the names that the panel uses."""
+    rows = read_csv_tree(spark, paths, INCIDENT_FILE_SCHEMA, "*.csv", r"/drop=(\d{4})-\d{2}/", with_path=True)
+    return rows.withColumnsRenamed({"lsoa_code": "area_code", "crime_type": "category"})
+
+
+@register(using(PANEL) + " SELECT category, month, area_code, year, n FROM panel WHERE n > 0")
+def incremental_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly files counted in three additions, the last of them a repeat, then put into one commit."""
+    root, folder = fresh_path(spark, "drops"), fresh_path(spark, "panel-files")
+    for some in (F.col("month") < "1996-01", F.col("month") >= "1996-01"):
+        write_drops(views.incidents(spark, sf_dir).filter(some), root)
+        PanelFiles(spark, folder).add(root, "*.csv", _month_files)
+    ledger = PanelFiles(spark, folder)
+    if ledger.add(root, "*.csv", _month_files):
+        raise ValueError("a file was counted twice")
+    ledger.compact()
+    return ledger.panel(views.boundaries(spark, sf_dir), views.EXCLUDED_PROVIDERS, views.EXCLUDED_LABELS, views.EXCLUDED_PREFIX).cells
+
+
 @register(
     using(INCIDENTS)
     + """

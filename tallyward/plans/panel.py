@@ -87,6 +87,11 @@ def build_panel(
     """
     wanted = incidents if years is None else keep_values(incidents, "year", years)
     counts = count_by(usable_incidents(wanted, excluded_providers), CELL)
+    return panel_of_counts(counts, boundaries, label_pattern, prefix)
+
+
+def panel_of_counts(counts: DataFrame, boundaries: DataFrame, label_pattern: str, prefix: str) -> CountPanel:
+    """The panel of usable counts, one row a cell: excluded areas are marked, the rows staged once."""
     gone = excluded_areas(boundaries, label_pattern, prefix).distinct().withColumn("_gone", F.lit(True))
     marked = counts.join(gone, counts["area_code"] == gone["geo_code"], "left").select(
         *CELL, "n", F.col("_gone").isNull().alias("kept")

@@ -66,32 +66,51 @@ def read_csv_tree(
     schema: T.StructType,
     name_glob: str = "*.csv",
     year_pattern: str | None = None,
+    with_path: bool = False,
 ) -> DataFrame:
     """Every matching CSV below ``root``, one scan for each order of columns that occurs.
 
     Columns are bound by the names in the files' first lines: a column that is not in ``schema`` is left out, one that a
     file lacks is NULL there. ``year_pattern`` (one capture group, matched on the file path) adds a ``year`` column
-    taken from the file, not from the rows.
+    taken from the file, not from the rows; ``with_path`` adds ``file_path``.
     """
     roots = [root] if isinstance(root, str) else list(root)
     kinds = {f.name: f.dataType for f in schema.fields}
+    of_file = {} if year_pattern is None else {"_file_year": F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1)}
+    if with_path:
+        of_file["_file_path"] = F.col("_metadata.file_path")
     frames = []
     for names, paths in csv_headers(spark, roots, name_glob).items():
         own = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
         df = spark.read.schema(own).option("header", True).option("enforceSchema", False).csv(paths)
         columns = [F.col(f"`{n}`") if n in names else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
-        year = [] if year_pattern is None else [F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1).alias("_file_year")]
-        frames.append(df.select(*columns, *year))
+        frames.append(df.select(*columns, *(e.alias(n) for n, e in of_file.items())))
     if not frames:
-        empty = schema if year_pattern is None else T.StructType([*schema.fields, T.StructField("_file_year", T.StringType())])
-        frames.append(spark.createDataFrame([], empty))
+        frames.append(spark.createDataFrame([], T.StructType([*schema.fields, *(T.StructField(n, T.StringType()) for n in of_file)])))
     return clean_names(union_all(frames)).withColumnsRenamed({"file_year": "year"})
 
 
+STREET_YEAR = r"/(\d{4})[^/]*street\.csv$"
+
+
 def read_incident_years(spark: SparkSession, root: str, years: Sequence[str]) -> DataFrame:
     """Monthly street-level drops of the given years, named ``<year>-<month>-<force>-street.csv``."""
     names = "{" + ",".join(f"{y}*street.csv" for y in years) + "}"
-    return read_csv_tree(spark, root, INCIDENT_FILE_SCHEMA, names, r"/(\d{4})[^/]*street\.csv$")
+    return read_csv_tree(spark, root, INCIDENT_FILE_SCHEMA, names, STREET_YEAR)
+
+
+def list_files(spark: SparkSession, roots: str | Sequence[str], name_glob: str) -> DataFrame:
+    """``path`` (as an URI), ``size`` and ``changed`` of the files below ``roots``. Spark lists them; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name_glob).option("recursiveFileLookup", True)
+    found = found.load([roots] if isinstance(roots, str) else list(roots))
+    parts = {"path": "file_path", "size": "file_size", "changed": "file_modification_time"}
+    return found.select(*(F.col(f"_metadata.{c}").alias(n) for n, c in parts.items()))
+
+
+def read_incident_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Street-level files by path, with the names that the panel uses and ``file_path``."""
+    rows = read_csv_tree(spark, paths, INCIDENT_FILE_SCHEMA, "*street.csv", STREET_YEAR, with_path=True)
+    return rows.withColumnsRenamed({"lsoa_code": "area_code", "crime_type": "category"})
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
