@@ -69,10 +69,14 @@ def block(fingerprint: Column, number: int) -> Column:
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``fp`` of each group of ``h``: a bit is set if more than half of the hashes have it."""
-    votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(1)).alias(f"_v{b}") for b in range(64)]
+    """``fp`` of each group of ``h``: a bit is set if more than half of the hashes have it.
+
+    A sum counts two bits, 32 apart, in its halves; a text has fewer than 2**31 shingles, so no half overflows.
+    """
+    votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(1 << 32 | 1)).alias(f"_v{b}") for b in range(32)]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *votes)
-    one = lambda b: F.when(F.col(f"_v{b}") * 2 > F.col("_n"), F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0).cast("long"))
+    half = lambda b: F.col(f"_v{b}").bitwiseAND((1 << 32) - 1) if b < 32 else F.shiftrightunsigned(f"_v{b - 32}", 32)
+    one = lambda b: F.when(half(b) * 2 > F.col("_n"), F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0).cast("long"))
     return counted.select(*keys, reduce(Column.bitwiseOR, map(one, range(64))).alias("fp"))
 
 
@@ -141,8 +145,10 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     kinds = cut.groupBy("cls").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.first("hashes").alias("hashes"))
     kinds = stage(kinds.withColumn("repeats", _repeats(F.col("hashes"))).withColumn("need", need), "window-classes")
 
-    found = _by_index(kinds.filter("NOT repeats"), own.filter("NOT repeats")).union(_by_rare_shingles(kinds, own, known, similar))
-    found = found.distinct()
+    # Written once, so that no later plan, which the driver holds, has the steps before it again.
+    item_prints = stage(simhash(own, ["item", "n", "repeats"]), "item-prints")
+    found = _by_index(kinds.filter("NOT repeats"), item_prints.filter("NOT repeats")).union(_by_rare_shingles(kinds, own, known, similar))
+    found = stage(found.distinct(), "candidates")
 
     # Exact similarity of each class and item, then of each window.
     candidates = kinds.join(found, "cls").select("cls", "item", "n", "w", F.explode("hashes").alias("h"))
@@ -151,10 +157,11 @@ def _leaks_of_size(rows: DataFrame, classes: DataFrame, k: int, similar: float)
     both = counts.join(item_counts, ["item", "h"]).groupBy("cls", "item", "n", "w").agg(F.sum(F.least("c", "d")).alias("same"))
     similarity = F.col("same") / (F.col("w") + F.col("n") - F.col("same"))
     alike = both.select("cls", "item", similarity.alias("similarity")).filter(F.col("similarity") >= similar)
+    alike = stage(alike, "alike")
     prints = simhash(kinds.join(alike.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode("hashes").alias("h")), ["cls"])
-    alike = alike.join(prints, "cls").join(simhash(own, ["item"]).withColumnRenamed("fp", "item_fp"), "item")
+    alike = alike.join(prints, "cls").join(item_prints.select("item", F.col("fp").alias("item_fp")), "item")
     alike = alike.select("cls", "item", "similarity", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"))
-    return cut.select("doc", "mark", "cls", "start", (F.col("w") + (k - 1)).alias("n_words")).join(stage(alike, "alike"), "cls").select(
+    return cut.select("doc", "mark", "cls", "start", (F.col("w") + (k - 1)).alias("n_words")).join(stage(alike, "distances"), "cls").select(
         "doc", "mark", "item", "start", "n_words", "similarity", "distance"
     )
 
@@ -163,10 +170,9 @@ def _repeats(hashes: Column) -> Column:
     return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
 
-def _by_index(kinds: DataFrame, own: DataFrame) -> DataFrame:
+def _by_index(kinds: DataFrame, item_prints: DataFrame) -> DataFrame:
     """``cls`` and ``item`` of window classes and items of one size within the radius, through the index."""
     prints = stage(simhash(kinds.select("cls", "n", F.explode("hashes").alias("h")), ["cls", "n"]), "prints")
-    item_prints = simhash(own, ["item", "n"])
     values = F.array(*(F.lit(v) for v in near_values(RADIUS // BLOCKS)))
     entries = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS))))
     index = item_prints.select("item", "n", F.col("fp").alias("item_fp"), entries.alias("e"))
