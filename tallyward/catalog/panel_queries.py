@@ -13,6 +13,7 @@ from tallyward.plans.drops import PanelFiles
 from tallyward.plans.panel import CountPanel, build_panel, dense_counts, excluded_areas, usable_incidents
 from tallyward.plans.reconcile import analysed_boundaries, area_counts, missing_areas
 from tallyward.plans.settings import TOTAL_CATEGORY
+from tallyward.plans.sketches import estimate, load_area_sketches, save_area_sketches, within_bound
 from tallyward.plans.trends import long_run_trend as category_trend, main_measure_trend, trend_table as trends
 from tallyward.sources import role_views as views
 from tallyward.sources.files import INCIDENT_FILE_SCHEMA, read_csv_tree
@@ -80,6 +81,25 @@ def incremental_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.panel(views.boundaries(spark, sf_dir), views.EXCLUDED_PROVIDERS, views.EXCLUDED_LABELS, views.EXCLUDED_PREFIX).cells
 
 
+@register(
+    using(PANEL)
+    + """
+SELECT year, span, count(DISTINCT area_code) AS n_areas, true AS within
+FROM (SELECT *, UNNEST(CASE WHEN substr(month, 6) BETWEEN '02' AND '08' THEN ['season', 'year'] ELSE ['year'] END) AS span FROM panel WHERE n > 0)
+GROUP BY year, span"""
+)
+def sketched_area_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas with incidents in each season and year from saved monthly sketches, held against the exact counts of the cells."""
+    path, panel = fresh_path(spark, "sketched-panel"), panel_of(spark, sf_dir)
+    save_area_sketches(panel, path)
+    part = F.substring("month", 6, 2).between("02", "08")
+    spans = F.explode(F.when(part, F.array(F.lit("season"), F.lit("year"))).otherwise(F.array(F.lit("year")))).alias("span")
+    found = estimate(load_area_sketches(spark, path).select("year", spans, "sketch"), ["year", "span"])
+    exact = panel.cells.select("year", spans, "area_code").groupBy("year", "span").agg(F.count_distinct("area_code").alias("n_areas"))
+    both = exact.join(found, ["year", "span"])
+    return both.select("year", "span", "n_areas", within_bound(F.col("n_distinct"), F.col("n_areas")).alias("within"))
+
+
 @register(
     using(INCIDENTS)
     + """
