@@ -205,7 +205,8 @@ def match_points(
         .drop("_parts")
     )
     hit = F.col("edges").isNull() | covers(F.col("edges"), F.col("x"), F.col("y"))
-    return placed.join(cover, [*cell, "_part"]).filter(hit).drop("edges", *cell, "_part")
+    # The size of a file says little about its rows; a side sent to all tasks would be whole in each executor.
+    return placed.join(cover.hint("merge"), [*cell, "_part"]).filter(hit).drop("edges", *cell, "_part")
 
 
 def distinct_points(points: DataFrame, tag: Sequence[str] = ("key", "value")) -> DataFrame:

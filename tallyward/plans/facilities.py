@@ -92,10 +92,20 @@ def facility_counts(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag]
 
 
 def zero_filled_facilities(counts: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:
-    """Every polygon with every facility; absent pairs count 0."""
-    names = F.explode(F.array(*[F.lit(t.column) for t in tags])).alias("facility")
-    zeros = polygons.select("geo_code", names, F.lit(0).cast("long").alias("n"))
-    return counts.unionByName(zeros).groupBy("geo_code", "facility").agg(F.sum("n").alias("n"))
+    """Every polygon with every facility; absent pairs count 0.
+
+    Counts and polygons meet by code, a row each, and become a row per facility only after that: one task may scan the whole
+    layer, and must not group every pair of it.
+    """
+    entry = F.struct("facility", "n")
+    found = counts.select("geo_code", entry.alias("found"), F.lit(False).alias("drawn"))
+    drawn = polygons.select("geo_code", F.lit(None).cast(found.schema["found"].dataType).alias("found"), F.lit(True).alias("drawn"))
+    met = found.union(drawn).groupBy("geo_code").agg(F.collect_list("found").alias("found"), F.max("drawn").alias("drawn"))
+    all_names = F.array(*[F.lit(t.column) for t in tags])
+    names = F.array_union(F.when(F.col("drawn"), all_names).otherwise(F.slice(all_names, 1, 0)), F.col("found")["facility"])
+    long = met.select("geo_code", F.explode(names).alias("facility"), "found")
+    own = F.filter("found", lambda f: f["facility"].eqNullSafe(F.col("facility")))
+    return long.select("geo_code", "facility", F.aggregate(own, F.lit(0).cast("long"), lambda total, f: total + F.coalesce(f["n"], F.lit(0))).alias("n"))
 
 
 def facility_table(points: DataFrame, polygons: DataFrame, tags: Sequence[Tag] = FACILITY_TAGS) -> DataFrame:

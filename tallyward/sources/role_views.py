@@ -114,7 +114,8 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(_ring(SQUARE)))
     )
     names = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return customer.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    # By its compressed size Spark may send out the larger side instead, and make all polygons in one task.
+    return customer.join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select(
         area_code(F.col("c_custkey")).alias("geo_code"),
         F.concat_ws(" ", "n_name", "r_name", F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("geo_label"),
         shape.alias("rings"),
