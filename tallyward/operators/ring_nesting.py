@@ -5,6 +5,9 @@ points are cut there: between two such points a ring lies on one side of each ot
 tells where the piece lies. These places meet the segments of the other rings by a join on horizontal bands, and the parity of
 the crossings to their right says which rings contain them. A part's interior is in one piece if the graph of its rings and the
 points where they touch has no cycle.
+
+Tables of segments, rings and polygons are joined by sorting: by the size of their files, far below that of their rows, Spark would
+send some of them whole to every executor.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def _is_hole(ring_no: str) -> Column:
 def _nodes(touches: DataFrame, segments: DataFrame, code: str) -> DataFrame:
     """``ring_no``, ``seg_no``, ``x``, ``y`` of each place where a ring touches another one; an end of a segment is the start of the next."""
     sides = [touches.select(code, F.col(f"ring_{s}").alias("ring_no"), F.col(f"seg_{s}").alias("seg_no"), F.explode("points").alias("p")) for s in "ab"]
-    at = sides[0].union(sides[1]).distinct().join(segments, [code, "ring_no", "seg_no"])
+    at = sides[0].union(sides[1]).distinct().join(segments.hint("merge"), [code, "ring_no", "seg_no"])
     at_end = (F.col("p.x") == F.col("x2")) & (F.col("p.y") == F.col("y2"))
     seg = F.when(at_end, (F.col("seg_no") + 1) % F.col("ring_size")).otherwise(F.col("seg_no"))
     return at.select(code, "ring_no", seg.alias("seg_no"), "p.x", "p.y").distinct()
@@ -46,12 +49,12 @@ def _nodes(touches: DataFrame, segments: DataFrame, code: str) -> DataFrame:
 def _places(rings: DataFrame, segments: DataFrame, nodes: DataFrame, code: str) -> DataFrame:
     """``ring_no``, ``x``, ``y``: a place on each piece of each ring of ``rings``; an untouched ring is one piece."""
     key = [code, "ring_no"]
-    cut = nodes.join(segments, [*key, "seg_no"])
+    cut = nodes.join(segments.hint("merge"), [*key, "seg_no"])
     along = Window.partitionBy(*key, "seg_no").orderBy(F.pow(F.col("x") - F.col("x1"), 2) + F.pow(F.col("y") - F.col("y1"), 2))
     middle = lambda c: ((F.col(c) + F.coalesce(F.lead(c).over(along), F.col(f"{c}2"))) / 2).alias(c)
     pieces = cut.select(*key, middle("x"), middle("y"))
-    alone = segments.filter("seg_no = 0").join(nodes.select(*key).distinct(), key, "left_anti")
-    return pieces.union(alone.select(*key, F.col("x1"), F.col("y1"))).join(rings.select(code), code, "left_semi")
+    alone = segments.filter("seg_no = 0").join(nodes.select(*key).distinct().hint("merge"), key, "left_anti")
+    return pieces.union(alone.select(*key, F.col("x1"), F.col("y1"))).join(rings.select(code).hint("merge"), code, "left_semi")
 
 
 def _containing(places: DataFrame, segments: DataFrame, polygons: DataFrame, code: str) -> DataFrame:
@@ -67,16 +70,16 @@ def _containing(places: DataFrame, segments: DataFrame, polygons: DataFrame, cod
     band = lambda y: F.floor((y - F.col("_y0")) / F.col("_h"))
     spans = F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))
     edge = F.struct("x1", "y1", "x2", "y2").alias("e")
-    held = segments.filter("y1 <> y2").join(grid, code).select(code, F.col("ring_no").alias("other"), edge, F.explode(spans).alias("_band"))
-    asked = places.join(grid, code).select(code, "ring_no", "x", "y", band(F.col("y")).alias("_band"))
-    met = asked.join(held, [code, "_band"]).filter((F.col("ring_no") != F.col("other")) & _crosses_ray(F.col("e"), F.col("x"), F.col("y")))
+    held = segments.filter("y1 <> y2").join(grid.hint("merge"), code).select(code, F.col("ring_no").alias("other"), edge, F.explode(spans).alias("_band"))
+    asked = places.join(grid.hint("merge"), code).select(code, "ring_no", "x", "y", band(F.col("y")).alias("_band"))
+    met = asked.join(held.hint("merge"), [code, "_band"]).filter((F.col("ring_no") != F.col("other")) & _crosses_ray(F.col("e"), F.col("x"), F.col("y")))
     crossings = met.groupBy(code, "ring_no", "x", "y", "other").count()
     return crossings.filter(F.col("count") % 2 == 1).drop("count")
 
 
 def _misplaced(polygons: DataFrame, segments: DataFrame, nodes: DataFrame, code: str) -> DataFrame:
     """``code``, ``stray`` (a hole not inside its shell), ``nested`` (a hole in a hole, a part in a part's interior)."""
-    starts = polygons.select(code, "starts")
+    starts = polygons.select(code, "starts").hint("merge")
     places = stage(_places(polygons, segments, nodes, code).distinct(), "ring-places")
     around = _containing(places, segments, polygons, code).join(starts, code)
     around = around.withColumns({"part": _part("ring_no"), "hole": _is_hole("ring_no"), "other_part": _part("other"), "other_hole": _is_hole("other")})
@@ -86,14 +89,14 @@ def _misplaced(polygons: DataFrame, segments: DataFrame, nodes: DataFrame, code:
     same = F.col("part") == F.col("other_part")
     nested = F.when(F.col("hole"), same & F.col("in_hole")).otherwise(~same & F.col("in_shell") & ~F.col("in_hole"))
     found = by_part.groupBy(*place).agg(F.max(F.col("own")).alias("own"), F.max(nested).alias("nested"))
-    judged = places.join(starts, code).withColumn("hole", _is_hole("ring_no")).join(found, place, "left")
+    judged = places.join(starts, code).withColumn("hole", _is_hole("ring_no")).join(found.hint("merge"), place, "left")
     stray = F.col("hole") & ~F.coalesce("own", F.lit(False))
     return judged.groupBy(code).agg(F.max(stray).alias("stray"), F.max(F.coalesce("nested", F.lit(False))).alias("nested"))
 
 
 def _cut_interiors(polygons: DataFrame, touches: DataFrame, code: str) -> DataFrame:
     """Codes of polygons with a part whose rings and touching points make a cycle: as many edges as nodes, or more."""
-    pairs = touches.join(polygons.select(code, "starts"), code).withColumns({"part": _part("ring_a"), "part_b": _part("ring_b")})
+    pairs = touches.join(polygons.select(code, "starts").hint("merge"), code).withColumns({"part": _part("ring_a"), "part_b": _part("ring_b")})
     pairs = pairs.filter("part = part_b").select(code, "part", F.array("ring_a", "ring_b").alias("rings"), F.explode("points").alias("p"))
     meets = pairs.select(code, "part", F.explode("rings").alias("ring_no"), "p").distinct()
     no_ring, nowhere = F.lit(None).cast("int"), F.lit(None).cast("double")
@@ -131,15 +134,15 @@ def ring_validity(polygons: DataFrame, code: str = "geo_code", limit: int = CELL
     )
     contacts = stage(ring_contacts(polygons, code, limit).distinct(), "ring-contacts")
     crossing = contacts.filter("crossed").select(code).distinct().withColumn("_crossed", F.lit(True))
-    joined = flagged.join(crossing, code, "left").withColumn("uncrossed", F.col("_crossed").isNull())
+    joined = flagged.join(crossing.hint("merge"), code, "left").withColumn("uncrossed", F.col("_crossed").isNull())
     sound = joined.filter("closed AND enough_points AND uncrossed").select(code)
-    several = stage(_numbered(polygons, code).join(sound, code, "left_semi"), "several-rings")
+    several = stage(_numbered(polygons, code).join(sound.hint("merge"), code, "left_semi"), "several-rings")
     segments = stage(ring_segments(several, [code]), "ring-segments")
-    touches = contacts.join(several.select(code), code, "left_semi").filter("ring_a <> ring_b")
+    touches = contacts.join(several.select(code).hint("merge"), code, "left_semi").filter("ring_a <> ring_b")
     nodes = stage(_nodes(touches, segments, code), "ring-nodes")
     misplaced = _misplaced(several, segments, nodes, code)
     cut = _cut_interiors(several, touches, code).withColumn("_cut", F.lit(True))
-    joined = joined.join(misplaced, code, "left").join(cut, code, "left")
+    joined = joined.join(misplaced.hint("merge"), code, "left").join(cut.hint("merge"), code, "left")
     joined = joined.withColumns(
         {
             "holes_inside": ~F.coalesce("stray", F.lit(False)),

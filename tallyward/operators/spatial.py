@@ -19,6 +19,7 @@ CROWDED_POINTS = 1_000_000
 LEVEL_STEP = 64.0
 FINEST_LEVEL = -1
 CELL_SEGMENTS = 512
+TASK_SEGMENTS = 400_000
 CELL_CUTS = 8
 CUT_DEPTH = 6
 
@@ -268,7 +269,7 @@ def _contact_rows(placed: DataFrame, code: str) -> DataFrame:
     same_ring = F.col("a.ring_no") == F.col("b.ring_no")
     apart = (gap > 1) & (gap < F.col("a.ring_size") - 1)
     later = (F.col("a.ring_no") < F.col("b.ring_no")) | (same_ring & apart)
-    met = a.join(b, cell).filter(later)
+    met = a.join(b.hint("merge"), cell).filter(later)
     sides = _pair_sides(F.col("a"), F.col("b"))
     proper = (F.signum(sides[0]) * F.signum(sides[1]) < 0) & (F.signum(sides[2]) * F.signum(sides[3]) < 0)
     ends = [(F.col(f"{p}.x{i}"), F.col(f"{p}.y{i}"), F.col(e)) for p, e in ("ba", "ab") for i in (1, 2)]
@@ -283,6 +284,12 @@ def _contact_rows(placed: DataFrame, code: str) -> DataFrame:
     return found.select(code, (proper | (same_ring & touch) | stretch).alias("crossed"), *names, F.array_compact(F.array(*on)).alias("points"))
 
 
+def _dealt(segments: DataFrame, cell: Sequence[str], size: int = TASK_SEGMENTS) -> DataFrame:
+    """Staged segments by cell, about ``size`` in a task; a given number of tasks is not merged again by their compressed size."""
+    tasks = max(segments.sparkSession.sparkContext.defaultParallelism, -(-segments.count() // size))
+    return segments.repartition(tasks, *cell)
+
+
 def _contacts(placed: DataFrame, code: str) -> DataFrame:
     """Codes with two segments in one cell that meet in a way that rings must not."""
     return _contact_rows(placed, code).filter("crossed").select(code).distinct()
@@ -299,7 +306,7 @@ def ring_contacts(polygons: DataFrame, code: str = "geo_code", limit: int = CELL
     Each polygon gets its own grid with about as many cells as segments, and a segment goes to the cells that it passes;
     only segments that share a cell are compared, so even one huge polygon is spread over many keys. Cells with more than
     ``limit`` segments are cut into finer ones, up to ``CUT_DEPTH`` times. Only segments that all pass one spot remain
-    together after that. Inside a ring, any contact of segments that do not follow each other counts; between rings a true
+    together after that. Cells are dealt over as many tasks as their segments ask, ``TASK_SEGMENTS`` for each. Inside a ring, any contact of segments that do not follow each other counts; between rings a true
     crossing or a common stretch does, a common point does not.
     """
     bands = F.ceil(F.sqrt(F.size(F.flatten("rings"))))
@@ -310,6 +317,7 @@ def ring_contacts(polygons: DataFrame, code: str = "geo_code", limit: int = CELL
     todo = stage(_walk(ring_segments(boxed, [code, "_x0", "_y0", "_g"])), "cell-segments")
     found, cell = [], [code, *SEGMENT_CELL]
     for depth in range(CUT_DEPTH + 1):
+        todo = _dealt(todo, cell)
         if depth < CUT_DEPTH:
             hot = stage(todo.groupBy(*cell).count().filter(F.col("count") > limit).select(*cell), "hot-cells")
         if depth == CUT_DEPTH or hot.isEmpty():

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# A scan never cuts a file inside a row group, so what one task wrote into one file one task would read.
+FILE_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,10 +51,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def stage_at(df: DataFrame, path: str) -> DataFrame:
-    """As ``stage``, at a path that the caller knows and can ``remove`` when no later step reads it."""
+    """As ``stage``, at a path that the caller knows and can ``remove`` when no later step reads it.
+
+    Files have at most ``FILE_ROWS`` rows, so many tasks share the later scan also of what few tasks wrote.
+    """
     spark = df.sparkSession
     with shuffle_files_freed(spark):
-        df.write.mode("errorifexists").parquet(path)
+        df.write.option("maxRecordsPerFile", FILE_ROWS).mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

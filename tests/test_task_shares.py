@@ -1,10 +1,10 @@
-"""What one task holds: the layer, pairs of areas and facilities."""
+"""What one task holds: staged files, the layer, pairs of areas and facilities, segments of a cell."""
 
 from pyspark.sql import functions as F
 
-from tallyward.operators import spatial
+from tallyward.operators import ring_nesting, spatial
 from tallyward.plans import facilities as plans
-from tallyward.sources import role_views as views
+from tallyward.sources import role_views as views, staging
 
 from conftest import rows
 
@@ -16,6 +16,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_staged_task_writes_several_files(spark, monkeypatch):
+    monkeypatch.setattr(staging, "FILE_ROWS", 10)
+    back = staging.stage(spark.range(95).coalesce(1), "parts")
+    assert len(back.inputFiles()) == 10 and back.count() == 95
+
+
 def test_layer_is_made_by_the_tasks_that_scan_it(spark, tmp_path):
     customer = spark.range(40).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"))
     customer.repartition(4).write.parquet(f"{tmp_path}/customer.parquet")
@@ -40,6 +46,15 @@ def test_pairs_of_areas_and_facilities_are_made_after_grouping(spark):
     assert text.index("Generate") < text.index("Aggregate")
 
 
+def test_segments_are_not_sent_whole_to_every_task(spark, monkeypatch):
+    layer = spark.createDataFrame([(f"E{i}", [SQUARE]) for i in range(30)], f"geo_code string, {RINGS}").coalesce(1)
+    monkeypatch.setattr(spatial._dealt, "__defaults__", (20,), raising=False)
+    contacts = spatial.ring_contacts(layer)
+    assert "BroadcastHashJoin" not in plan(contacts)
+    assert "REPARTITION_BY_NUM" in plan(contacts)
+    assert [r.valid for r in ring_nesting.ring_validity(layer).collect()] == [True] * 30
+
+
 def test_cover_is_not_sent_whole_to_every_task(spark):
     layer = spark.createDataFrame([("E1", [SQUARE])], f"geo_code string, {RINGS}")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 1.0)], "poi long, x double, y double")
