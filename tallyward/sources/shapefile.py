@@ -14,7 +14,7 @@ Files have shells clockwise and holes the other way; rows have it the other way
 in a record, and come after the shell that contains them. A row without rings is a null shape. Blank attributes are null;
 the format cannot tell empty text from it. Text is UTF-8 of at most 254 bytes, names have at most 10.
 
-A write makes one set of files for each ``ROLL_BYTES`` of a task, and names them in a commit file of its own, written last. Folders
+A write makes one set of files for each ``ROLL_BYTES`` of shapes and attributes of a task, held as bytes until then, and names them in a commit file of its own, written last. Folders
 with commit files are read through these alone, so what a lost attempt leaves behind is never seen; ``overwrite`` takes
 the place of all earlier commits. Paths go through ``pyarrow.fs``, so the folder must be one that all executors reach.
 """
@@ -25,6 +25,7 @@ import datetime
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,8 @@ PART_BYTES = 8 << 20
 PART_RECORDS = 50_000
 ROLL_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
+BATCH_RECORDS = 8_000
+WRITE_ROWS = 2_000
 COMMITS = "_commits"
 BOX = ("minx", "miny", "maxx", "maxy")
 # Fixed values of the published format.
@@ -191,54 +194,64 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+class Held:
+    """Records of the next set of files: ``.shp`` and ``.dbf`` records as bytes, 16-bit words of each shape, and the box of all."""
+
+    def __init__(self) -> None:
+        self.shapes, self.rows, self.words, self.box = bytearray(), bytearray(), array("q"), None
+
+    def add(self, content: bytes, box: np.ndarray | None, row: bytes) -> None:
+        self.words.append(len(content) // 2)
+        self.shapes += struct.pack(">ii", len(self.words), len(content) // 2) + content
+        self.rows += row
+        if box is not None:
+            self.box = box if self.box is None else np.concatenate([np.minimum(self.box[:2], box[:2]), np.maximum(self.box[2:], box[2:])])
+
+
 class PolygonWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: T.StructType, overwrite: bool) -> None:
         self.path, self.fields, self.overwrite = path, fields_of(schema), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        names, shapes, rows, boxes, size = [], [], [], [], 0
+        names, held = [], Held()
         for batch in iterator:
-            for row in batch.to_pylist():
-                content, box = encode(row.get("rings"), row.get("part_sizes"))
-                shapes.append(content)
-                rows.append(b" " + b"".join(f.text(row[f.name]) for f in self.fields))
-                boxes += [] if box is None else [box]
-                size += len(content)
-                if size > ROLL_BYTES:
-                    names.append(self._set(shapes, rows, boxes))
-                    shapes, rows, boxes, size = [], [], [], 0
-        if shapes:
-            names.append(self._set(shapes, rows, boxes))
+            for at in range(0, batch.num_rows, WRITE_ROWS):
+                for row in batch.slice(at, WRITE_ROWS).to_pylist():
+                    held.add(*encode(row.get("rings"), row.get("part_sizes")), b" " + b"".join(f.text(row[f.name]) for f in self.fields))
+                    if len(held.shapes) + len(held.rows) > ROLL_BYTES:
+                        names.append(self._set(held))
+                        held = Held()
+        if held.words:
+            names.append(self._set(held))
         return Written(names)
 
-    def _set(self, shapes: list[bytes], rows: list[bytes], boxes: list[np.ndarray]) -> str:
+    def _set(self, held: Held) -> str:
         """One set of files; its name."""
         system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         name = f"part-{uuid.uuid4().hex}"
-        each = np.stack(boxes) if boxes else np.zeros((1, 4))
-        box = np.concatenate([each[:, :2].min(axis=0), each[:, 2:].max(axis=0)]).astype("<f8").tobytes() + bytes(32)
-        words = np.array([len(c) // 2 for c in shapes], np.int64)
+        box = (np.zeros(4) if held.box is None else held.box).astype("<f8").tobytes() + bytes(32)
+        words = np.array(held.words, np.int64)
         ends = HEADER // 2 + np.cumsum(words + RECORD_HEAD // 2)
         index = np.stack([ends - words - RECORD_HEAD // 2, words], axis=1).astype(">i4")
 
         def head(size: int) -> bytes:
             return struct.pack(">i20xi", FILE_CODE, size) + struct.pack("<ii", VERSION, POLYGON) + box
 
-        body = b"".join(struct.pack(">ii", n + 1, w) + c for n, (w, c) in enumerate(zip(words.tolist(), shapes)))
         width = 1 + sum(f.width for f in self.fields)
         columns = b"".join(
             f.name.encode().ljust(11, b"\0") + f.kind.encode() + bytes(4) + bytes([f.width, f.decimals]) + bytes(14) for f in self.fields
         )
-        header = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), DBF_HEADER + len(columns) + 1, width)
-        for suffix, data in (
-            ("shp", head(int(ends[-1])) + body),
-            ("shx", head((HEADER + INDEX_ENTRY * len(shapes)) // 2) + index.tobytes()),
-            ("dbf", header + columns + bytes([DBF_END]) + b"".join(rows) + b"\x1a"),
-            ("cpg", b"UTF-8"),
+        header = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(words), DBF_HEADER + len(columns) + 1, width)
+        for suffix, parts in (
+            ("shp", (head(int(ends[-1])), held.shapes)),
+            ("shx", (head((HEADER + INDEX_ENTRY * len(words)) // 2), index.tobytes())),
+            ("dbf", (header, columns, bytes([DBF_END]), held.rows, b"\x1a")),
+            ("cpg", (b"UTF-8",)),
         ):
             with system.open_output_stream(f"{folder}/{name}.{suffix}") as out:
-                out.write(data)
+                for part in parts:
+                    out.write(part)
         return name
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -332,7 +345,7 @@ class PolygonReader(DataSourceReader):
                 parts = self.shape(head + source.read(length - len(head)))
                 held.append(({f.name: f.value(row) for f in fields}, parts, box))
                 size += length
-                if size > BATCH_BYTES:
+                if size > BATCH_BYTES or len(held) >= BATCH_RECORDS:
                     yield self._batch(held)
                     held, size = [], 0
         if held:

@@ -4,7 +4,9 @@ import datetime
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
 from tallyward.sources import shapefile
@@ -138,3 +140,19 @@ def test_what_the_format_cannot_hold(spark):
     (field,) = fields_of(spark.createDataFrame([], "s string").schema)
     with pytest.raises(ValueError, match="do not fit"):
         field.text("é" * 128)
+
+
+def test_a_set_of_files_ends_by_the_bytes_of_attributes_too(tmp_path, monkeypatch):
+    monkeypatch.setattr(shapefile, "ROLL_BYTES", 2_000)
+    monkeypatch.setattr(shapefile, "WRITE_ROWS", 7, raising=False)
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))]
+    batch = pa.RecordBatch.from_pylist([{"geo_code": f"E{i}", "label": "x" * 200, "rings": [ring], "part_sizes": [1]} for i in range(20)])
+    schema = T.StructType([T.StructField("geo_code", T.StringType()), T.StructField("label", T.StringType()), *shapefile.GEOMETRY[:2]])
+    writer = shapefile.PolygonWriter(str(tmp_path), schema, False)
+    written = writer.write(iter([batch]))
+    assert len(written.names) >= 5
+    writer.commit([written])
+    reader = shapefile.PolygonReader(str(tmp_path), T.StructType(schema.fields + shapefile.GEOMETRY[2:]))
+    found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["geo_code"] for r in found) == sorted(f"E{i}" for i in range(20))
+    assert all(r["rings"] == [ring] and (r["minx"], r["maxy"]) == (0.0, 1.0) for r in found)
