@@ -15,6 +15,7 @@ from tallyward.functions.numbers import ratio
 from tallyward.sources.staging import stage
 
 STILL = 1e-9
+TASK_ROWS = 2_000
 
 
 def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -64,7 +65,13 @@ def _draw(rows: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    """Squared distances, a row for each centre; column by column, as whole rows of numbers are fast and short sums are not."""
+    out = np.zeros((len(centres), len(rows)))
+    for x, c in zip(np.ascontiguousarray(rows.T), centres.T):
+        gap = x[None] - c[:, None]
+        gap *= gap
+        out += gap
+    return out
 
 
 def first_centres(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -> dict[tuple[int, int], np.ndarray]:
@@ -78,7 +85,7 @@ def first_centres(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -
     for turn in range(max(ks)):
         def race(rows: np.ndarray) -> Iterator[tuple]:
             for i, seed in enumerate(seeds):
-                weight = _squared(rows, chosen[i]).min(axis=1) if turn else np.ones(len(rows))
+                weight = _squared(rows, chosen[i]).min(axis=0) if turn else np.ones(len(rows))
                 with np.errstate(divide="ignore"):
                     time = -np.log(_draw(rows, seed + 1000003 * turn)) / weight
                 best = int(time.argmin())
@@ -93,32 +100,38 @@ def first_centres(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -
     return {(k, i): chosen[i][:k] for k in ks for i in range(len(seeds)) if i in chosen}
 
 
-def settle(vectors: DataFrame, starts: dict) -> dict:
+def settle(vectors: DataFrame, starts: dict, weight: str | None = None) -> dict:
     """Lloyd steps for many sets of centres at once, each until none of its centres moves: (centres, cost, steps).
 
-    A step is one pass over the rows for all runs that still move. Rows meet centres of bounded number (runs x k) in
+    A row counts as many times as its ``weight`` says. A step is one pass over the rows for all runs that still move. Rows meet centres of bounded number (runs x k) in
     arrays; what comes back is a row for each run and cluster. An empty cluster keeps its centre. A step never raises the
     cost and there are finitely many partitions, so every run ends.
     """
-    width, names = len(vectors.columns), list(starts)
+    columns = [c for c in vectors.columns if c != weight]
+    weighted = vectors.select(*columns, F.lit(1.0).alias("_weight") if weight is None else F.col(weight))
+    width, names = len(columns), list(starts)
     moving, done = {i: np.asarray(starts[n], float) for i, n in enumerate(names)}, {}
     steps = 0
     while moving:
         steps += 1
         now = dict(moving)
 
-        def sums(rows: np.ndarray) -> Iterator[tuple]:
+        def sums(block: np.ndarray) -> Iterator[tuple]:
+            rows, times = block[:, :-1], block[:, -1:]
+            weighed = np.concatenate((times, times, rows * times), axis=1)
             for i, centres in now.items():
                 d = _squared(rows, centres)
-                near = d.argmin(axis=1)
-                cost = d[np.arange(len(rows)), near]
-                for c in np.unique(near):
-                    own = near == c
-                    yield (i, int(c)), np.concatenate(([own.sum(), cost[own].sum()], rows[own].sum(axis=0)))
+                near = d.argmin(axis=0)
+                values = weighed.copy()
+                values[:, 1] *= d[near, np.arange(len(rows))]
+                own = near[None] == np.arange(len(centres))[:, None]
+                total = own.astype(np.float64) @ values
+                for c in np.flatnonzero(own.any(axis=1)):
+                    yield (i, int(c)), total[c]
 
         total = [F.sum(f"v{i}").alias(f"v{i}") for i in range(width + 2)]
         after, cost = {i: c.copy() for i, c in now.items()}, dict.fromkeys(now, 0.0)
-        for r in _over_rows(vectors, sums, np.add, width + 2).groupBy("run", "part").agg(*total).collect():
+        for r in _over_rows(weighted, sums, np.add, width + 2).groupBy("run", "part").agg(*total).collect():
             after[int(r.run)][int(r.part)] = np.array(r[4:]) / r[2]
             cost[int(r.run)] += r[3]
         for i, centres in after.items():
@@ -135,10 +148,16 @@ def fit_restarts(
 ) -> dict[int, BestFit]:
     """K-means for every k with several seeds; the lowest cost wins, the first of equals.
 
-    All runs move together: a step is one job however many runs there are.
+    All runs move together: a step is one job however many runs there are. Equal rows are one row with their number as weight.
+    A step reads few bytes for much work, and by its size Spark would give it to one task; so each ``TASK_ROWS`` rows
+    are a file, up to one for each core.
     """
-    vectors = stage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "vectors")
-    fits = settle(vectors, first_centres(vectors, ks, [seed + i for i in range(restarts)]))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    vectors = stage(rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_weight")), "vectors")
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // TASK_ROWS))
+    if tasks > 1:
+        vectors = stage(vectors.repartition(tasks, *columns), "dealt-vectors")
+    fits = settle(vectors, first_centres(vectors.drop("_weight"), ks, [seed + i for i in range(restarts)]), "_weight")
     best = {}
     for (k, i), (centres, cost, steps) in sorted(fits.items()):
         if k not in best or cost < best[k].cost:

@@ -124,3 +124,16 @@ def test_letters_break_size_ties_by_id(spark):
 
 def clustering_letters(df):
     return trajectories.letters_by_size(df).select(F.col("cluster").cast("string"), "traj")
+
+
+def test_equal_rows_are_one_row_of_many_tasks(spark, planted, monkeypatch):
+    seen = []
+    real = clustering.stage
+    monkeypatch.setattr(clustering, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(clustering, "stage", lambda df, label: seen.append(real(df, label)) or seen[-1])
+    once = clustering.fit_restarts(planted, MONTH_NAMES, [4], restarts=2)[4]
+    four = planted.union(planted).union(planted.union(planted)).coalesce(1)
+    fit = clustering.fit_restarts(four, MONTH_NAMES, [4], restarts=2)[4]
+    assert seen[-1].count() == planted.select(*MONTH_NAMES).distinct().count() < four.count()
+    assert len(seen[-1].inputFiles()) > 1
+    assert np.allclose(fit.centres, once.centres) and np.isclose(fit.cost, 4 * once.cost)
